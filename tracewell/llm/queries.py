@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+from tracewell.llm.near_dedup import op7_near_dedup
+from tracewell.llm.quality import op8_quality
 from tracewell.llm.substring_dedup import op2_substring_dedup
+from tracewell.llm.topk_search import op5_topk_search
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_topk_search": op5_topk_search,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL = {
+    "op5_topk_search": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+    WHERE a.vec_id % 50 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op2_substring_dedup": r"""
 WITH w AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), win AS (
     SELECT doc_id, i, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS s
     FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
@@ -21,7 +41,7 @@ WITH w AS (
     SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM late) GROUP BY doc_id
 ), pos AS (
     SELECT w.doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed,
-           CASE WHEN js IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), k -> NOT list_contains(js, k)), k -> ws[k]) END AS kept
+           CASE WHEN js IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(js, k)), lambda k: ws[k]) END AS kept
     FROM w LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM pos
