@@ -1,15 +1,16 @@
 """Quality classifier by positive-unlabelled learning (operator 8).
 
 Trusted positives are labelled rows of quality 1; the web text itself is the unlabelled
-sample; the class prior is estimated from the training labels. With logistic loss l and
-prior p the non-negative unbiased risk is
+sample; the class prior is estimated from the training labels. With a loss l, prior p and
+z = w . x, the non-negative unbiased risk is
 
-    p * E_pos[l(z)] + max(0, E_unl[l(-z)] - p * E_pos[l(-z)]),   z = w . x
+    p * E_pos[l(z)] + max(0, E_unl[l(-z)] - p * E_pos[l(-z)])
 
-whose unclipped form is convex, so it is minimised by Newton steps, each one pass over
-the feature table; a step that raises the non-negative risk, or whose clipped part would
-turn negative, is halved. Every pass covers all unlabelled rows of the training fold; only
-sums of the size of the Hessian reach the driver. The model is a few dozen numbers.
+A few Newton steps on its convex form (logistic loss) give a start. Then the risk with the
+sigmoid loss, which bounds what one row can add, is minimised by preconditioned gradient
+steps; where the second part is negative, the step raises that part instead. Each step is
+one pass over all unlabelled rows of the training fold; only sums of the size of the
+Hessian reach the driver. The model is a few dozen numbers.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
 
 def _sums(rows: DataFrame, of) -> np.ndarray:
-    """Sum over rows of of(x, positive, unlabelled), first in each task, then over SUMS tasks, then here."""
+    """Sum over rows of of(x, positive, unlabelled), first in each task, then (beyond SUMS tasks) over SUMS tasks, then here."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -129,11 +130,14 @@ def _sums(rows: DataFrame, of) -> np.ndarray:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([np.sum(found, axis=0).tobytes()], pa.binary())], names=["s"])
 
-    found = rows.mapInArrow(partial, "s binary").repartition(SUMS).mapInArrow(add, "s binary").collect()
+    parts = rows.mapInArrow(partial, "s binary")
+    if rows.rdd.getNumPartitions() > SUMS:
+        parts = parts.repartition(SUMS).mapInArrow(add, "s binary")
+    found = parts.collect()
     return np.sum([np.frombuffer(r.s) for r in found], axis=0) if found else np.empty(0)
 
 
-def fit_quality(table: DataFrame, labels: DataFrame, ridge: float = 1e-3, steps: int = 12) -> QualityModel:
+def fit_quality(table: DataFrame, labels: DataFrame, ridge: float = 2e-3, start: int = 4, steps: int = 15) -> QualityModel:
     """Fit on the training fold: crc32(doc_id as text) mod 5 is not 0.
 
     table: doc_id, f; labels: doc_id, quality. Conflicting labels of one doc_id count as 0; null labels are
@@ -160,38 +164,32 @@ def fit_quality(table: DataFrame, labels: DataFrame, ridge: float = 1e-3, steps:
     scale = np.sqrt(np.maximum(got[2 + width :] / n - mean**2, 0))
     scale[scale < 1e-9] = 1.0
 
-    def passed(w):
+    def passed(w: np.ndarray, sigmoid: bool):
+        """(second part of the risk, gradients of both parts, curvature) at w."""
+
         def of(x, pos, unl):
             x = np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / scale, -8, 8)])
-            z = x @ w
-            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            soft = np.logaddexp(0, z)
-            return np.r_[soft.sum(), soft[pos].sum(), z[pos].sum(), x[pos].sum(0), p @ x, ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+            slope = p * (1 - p)
+            bend = np.maximum(slope, 0.02) if sigmoid else slope
+            pull = slope if sigmoid else p
+            return np.r_[p.sum(), p[pos].sum(), slope[pos] @ x[pos], x[pos].sum(0), pull @ x, ((x * bend[:, None]).T @ x).ravel()]
 
         s = _sums(rows, of)
         d = width + 1
-        negative = s[0] / n - prior * s[1] / n_pos
-        positive = prior * (s[1] - s[2]) / n_pos  # l(z) = softplus(z) - z
-        penalty = ridge * (w[1:] @ w[1:]) / 2
-        grad = s[3 + d : 3 + 2 * d] / n - prior * s[3 : 3 + d] / n_pos + ridge * np.r_[0, w[1:]]
-        hess = s[3 + 2 * d :].reshape(d, d) / n + ridge * np.diag(np.r_[1e-6, np.ones(width)])
-        return positive + max(0.0, negative) + penalty, negative, grad, hess
+        pos_slope, pos_x, unl_x = s[2 : 2 + d] / n_pos, s[2 + d : 2 + 2 * d] / n_pos, s[2 + 2 * d : 2 + 3 * d] / n
+        curve = s[2 + 3 * d :].reshape(d, d) / n
+        if sigmoid:
+            return s[0] / n - prior * s[1] / n_pos, -prior * pos_slope, unl_x - prior * pos_slope, curve
+        return 1.0, -prior * pos_x, unl_x, curve
 
     w = np.r_[np.log(prior / (1 - prior)), np.zeros(width)]
-    risk, _, grad, hess = passed(w)
-    size, left = 1.0, steps
-    step = np.linalg.solve(hess, grad)
-    while left and size > 1e-3:
-        left -= 1
-        new_risk, negative, new_grad, new_hess = passed(w - size * step)
-        if new_risk > risk + 1e-12 or negative < 0:
-            size /= 2
-            continue
-        done = risk - new_risk < 1e-7
-        w, risk = w - size * step, new_risk
-        if done:
-            break
-        step, size = np.linalg.solve(new_hess, new_grad), 1.0
+    own = np.r_[0.0, np.ones(width)]
+    for turn in range(start + steps):
+        sigmoid = turn >= start
+        second, grad_first, grad_second, curve = passed(w, sigmoid)
+        grad = (grad_first + grad_second if second >= 0 else -grad_second) + (ridge if sigmoid else 1e-2) * own * w
+        w = w - np.linalg.solve(curve + 1e-2 * np.diag(own if not sigmoid else np.ones(width + 1)) + 1e-8 * np.eye(width + 1), grad)
     return QualityModel(mean, scale, w, prior)
 
 
