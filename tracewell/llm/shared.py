@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,18 +54,38 @@ def bucket_count(entries: float, least: int = 12) -> int:
     return max(least, int(np.ceil(entries / BUCKET_ENTRIES)))
 
 
+_packer, _unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def code(values: np.ndarray) -> bytes:
+    """Integers as differences, byte planes apart, compressed: near-sorted ones shrink to a byte or less each."""
+    step = np.diff(values, prepend=values.dtype.type(0))
+    planes = step.view(np.uint8).reshape(len(values), values.itemsize).T
+    return _packer.compress(planes.tobytes())
+
+
+def decode(raw: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(_unpacker.decompress(raw), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel(), dtype=dtype)
+
+
 def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-    """One row per bucket present: its number and, for each column, the bytes of its entries in order."""
+    """One row per bucket present: its number and, for each column, its entries in order.
+
+    Unsigned columns are hashes and stay raw bytes; signed ones are coded.
+    """
     if not len(bucket):
         return None
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.int16) if bucket.max() < 2**15 else bucket, kind="stable")
     sorted_bucket = bucket[order]
     starts = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]])
     ends = np.r_[starts[1:], len(order)]
     arrays = [pa.array(sorted_bucket[starts].astype(np.int64))]
     for values in columns.values():
         values = values[order]
-        arrays.append(pa.array([values[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()))
+        form = code if values.dtype.kind == "i" else np.ndarray.tobytes
+        arrays.append(pa.array([form(values[s:e]) for s, e in zip(starts, ends)], pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", *columns])
 
 
@@ -73,7 +94,10 @@ def packed_schema(*columns: str) -> str:
 
 
 def unpack(table: pa.Table | pa.RecordBatch, column: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=dtype)
+    parts = table.column(column).to_pylist()
+    if np.dtype(dtype).kind == "i":
+        return np.concatenate([decode(p, dtype) for p in parts]) if parts else np.empty(0, dtype)
+    return np.frombuffer(b"".join(parts), dtype=dtype)
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

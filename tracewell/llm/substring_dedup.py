@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import batches_of, bucket_count, pack, packed_schema, runs, text_bytes, unpack
-from tracewell.llm.textops import gram_hashes, text_slices, tokenize
+from tracewell.llm.textops import Words, gram_hashes, text_slices, tokenize
 
 _U, _I = np.uint64, np.int64
 
@@ -37,8 +37,8 @@ def _doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return docs % buckets
 
 
-def _settle_local(h: list[np.ndarray], doc: np.ndarray, pos: np.ndarray):
-    """Sort entries by hash, then doc; return the order, run numbers and each run's first entry."""
+def _settle_local(h: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by hash, then doc, and for each in that order whether its hash is new."""
     order = np.lexsort((doc, *h[::-1]))
     sorted_h = [x[order] for x in h]
     first = np.zeros(len(order), bool)
@@ -49,6 +49,16 @@ def _settle_local(h: list[np.ndarray], doc: np.ndarray, pos: np.ndarray):
     return order, first
 
 
+def _version(text: Words, i: int) -> int:
+    """Tells texts of one doc_id apart."""
+    own = text.hashes[text.bounds[i] : text.bounds[i + 1]]
+    return int((own * (np.arange(len(own), dtype=_U) * _U(2) + _U(1))).sum(dtype=_U).astype(_I))
+
+
+def _nothing(*columns: str) -> pa.Table:
+    return pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in columns)]).empty_table()
+
+
 def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7) -> DataFrame:
     """Remove each word covered by a window that also starts in a document with a smaller doc_id.
 
@@ -82,18 +92,18 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
             return
         h, pos = gram_hashes(found.hashes, anchor)[at], place[at].astype(np.int32)
         doc = np.array([i or 0 for i in ids], _I)[found.owners()[at]]
-        order, first = _settle_local([h], doc, pos)
-        h, doc, pos = h[order], doc[order], pos[order]
+        order, first = _settle_local([h], doc)
         run = np.cumsum(first) - 1
         start = np.flatnonzero(first)
         last = np.r_[start[1:], len(h)] - 1
-        many = doc[start] != doc[last]  # shared inside this slice already
-        shared = many[run]
+        many = doc[order[start]] != doc[order[last]]  # shared inside this slice already
         # One entry stands for all documents of a locally shared anchor; the flag says that it needs no answer.
-        send = ~shared | first
+        shared, send = np.empty(len(h), bool), np.empty(len(h), bool)
+        shared[order] = many[run]
+        send[order] = ~many[run] | first
         yield pack((h[send] % _U(buckets)).astype(_I), {"h": h[send], "doc": doc[send], "pos": pos[send], "flag": shared[send].astype(np.int8)})
         # Settled answers ride along in buckets chosen by document.
-        yield pack(_doc_bucket(doc[shared], buckets), {"h": np.empty(shared.sum(), "V0"), "doc": doc[shared], "pos": pos[shared], "flag": np.full(shared.sum(), 2, np.int8)})
+        yield pack(_doc_bucket(doc[shared], buckets), {"h": np.empty((shared.sum(), 0), _U), "doc": doc[shared], "pos": pos[shared], "flag": np.full(shared.sum(), 2, np.int8)})
 
     def shared_anchors(table: pa.Table) -> pa.Table:
         flag, doc, pos = unpack(table, "flag", np.int8), unpack(table, "doc", _I), unpack(table, "pos", np.int32)
@@ -109,8 +119,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
             shared = (d[start] != d[last]) | (np.maximum.reduceat(f, start) == 1)
         answer = shared[run] & (f == 0) if len(h) else np.zeros(0, bool)
         doc, pos = np.r_[doc[settled], d[answer]], np.r_[pos[settled], p[answer]]
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order]
         out = pack(_doc_bucket(doc, doc_buckets), {"doc": doc, "pos": pos})
-        return pa.Table.from_batches([out]) if out else pa.schema([("bucket", pa.int64()), ("doc", pa.binary()), ("pos", pa.binary())]).empty_table()
+        return pa.Table.from_batches([out]) if out else _nothing("doc", "pos")
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, pos = unpack(right, "doc", _I), unpack(right, "pos", np.int32)
@@ -134,46 +146,47 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
             if not len(at):
                 continue
             h1, h2 = gram_hashes(text.hashes, window, 1)[at], gram_hashes(text.hashes, window, 2)[at]
+            h2 = (h2 >> _U(32)).astype(np.uint32)
             owner = text.owners()[at]
-            d, p = ids[owner], (at - text.bounds[owner]).astype(np.int32)
-            order, first = _settle_local([h1, h2], d, p)
-            h1, h2, d, p = h1[order], h2[order], d[order], p[order]
-            least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-            late = d > least  # a smaller document of this group has the window
-            ask = ~late  # a document may hold a window more than once
-            found.append(pack((h1[ask] % _U(buckets)).astype(_I), {"h1": h1[ask], "h2": h2[ask], "doc": d[ask], "pos": p[ask], "flag": np.zeros(ask.sum(), np.int8)}))
-            found.append(pack(_doc_bucket(d[late], buckets), {"h1": h1[late], "h2": h2[late], "doc": d[late], "pos": p[late], "flag": np.full(late.sum(), 2, np.int8)}))
+            d, p, v = ids[owner], (at - text.bounds[owner]).astype(np.int32), np.array([_version(text, r) for r in range(e - s)], _I)[owner]
+            order, first = _settle_local([h1, h2], d)
+            # Late here: a smaller document of this group has the window. A document may hold a window more than once.
+            late = np.empty(len(d), bool)
+            late[order] = d[order] > d[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+            for part, flag in ((~late, 0), (late, 2)):
+                where = _doc_bucket(d[part], buckets) if flag else (h1[part] % _U(buckets)).astype(_I)
+                n = part.sum()
+                found.append(pack(where, {"h1": h1[part] if not flag else np.empty((n, 0), _U), "h2": h2[part] if not flag else np.empty((n, 0), np.uint32), "doc": d[part], "pos": p[part], "ver": v[part], "flag": np.full(n, flag, np.int8)}))
         found = list(batches_of(found))
-        return pa.Table.from_batches(found) if found else pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("h1", "h2", "doc", "pos", "flag"))]).empty_table()
+        return pa.Table.from_batches(found) if found else _nothing("h1", "h2", "doc", "pos", "ver", "flag")
 
     def late_windows(table: pa.Table) -> pa.Table:
-        h1, h2, d, p, f = unpack(table, "h1", _U), unpack(table, "h2", _U), unpack(table, "doc", _I), unpack(table, "pos", np.int32), unpack(table, "flag", np.int8)
-        settled = f == 2
-        x1, x2, xd, xp = h1[~settled], h2[~settled], d[~settled], p[~settled]
-        order, first = _settle_local([x1, x2], xd, xp)
-        x1, xd, xp = x1[order], xd[order], xp[order]
-        late = xd > xd[np.flatnonzero(first)][np.cumsum(first) - 1] if len(xd) else np.zeros(0, bool)
-        doc, pos, h = np.r_[d[settled], xd[late]], np.r_[p[settled], xp[late]], np.r_[h1[settled], x1[late]]
-        out = pack(_doc_bucket(doc, doc_buckets), {"doc": doc, "pos": pos, "h": h})
-        return pa.Table.from_batches([out]) if out else pa.schema([("bucket", pa.int64()), ("doc", pa.binary()), ("pos", pa.binary()), ("h", pa.binary())]).empty_table()
+        x1, x2 = unpack(table, "h1", _U), unpack(table, "h2", np.uint32)
+        d, p, v, f = unpack(table, "doc", _I), unpack(table, "pos", np.int32), unpack(table, "ver", _I), unpack(table, "flag", np.int8)
+        ask = np.flatnonzero(f == 0)
+        order, first = _settle_local([x1, x2], d[ask])
+        gone = f == 2
+        if len(ask):
+            sorted_d = d[ask][order]
+            gone[ask[order]] = sorted_d > sorted_d[np.flatnonzero(first)][np.cumsum(first) - 1]
+        doc, pos, ver = d[gone], p[gone], v[gone]
+        order = np.lexsort((pos, doc))
+        out = pack(_doc_bucket(doc[order], doc_buckets), {"doc": doc[order], "pos": pos[order], "ver": ver[order]})
+        return pa.Table.from_batches([out]) if out else _nothing("doc", "pos", "ver")
 
     def kept(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, pos, h = unpack(right, "doc", _I), unpack(right, "pos", np.int32), unpack(right, "h", _U)
+        doc, pos, ver = unpack(right, "doc", _I), unpack(right, "pos", np.int32), unpack(right, "ver", _I)
         order = np.argsort(doc, kind="stable")
-        doc, pos, h = doc[order], pos[order], h[order]
+        doc, pos, ver = doc[order], pos[order], ver[order]
         ids, all_texts = left.column("doc_id").to_pylist(), left.column("text").to_pylist()
         n, removed, texts = [], [], []
         for s, e in text_slices(all_texts, 32_000_000):
             text = tokenize(all_texts[s:e])
-            grams = gram_hashes(text.hashes, window, 1)
             gone = np.zeros(len(text.hashes) + 1, _I)
-            for i, b0, b1 in zip(ids[s:e], text.bounds[:-1].tolist(), text.bounds[1:].tolist()):
+            for r, (i, b0) in enumerate(zip(ids[s:e], text.bounds[:-1].tolist())):
                 f, t = np.searchsorted(doc, [i, i + 1]) if i is not None else (0, 0)
-                if f < t and b1 - b0 >= window:
-                    at = pos[f:t] + b0
-                    inside = at <= b1 - window
-                    at, want = at[inside], h[f:t][inside]
-                    at = at[grams[at] == want]  # rows that repeat a doc_id may differ
+                if f < t:
+                    at = pos[f:t][ver[f:t] == _version(text, r)] + b0  # rows that repeat a doc_id may differ
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
             out = np.cumsum(gone[:-1]) > 0
@@ -191,8 +204,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
     # Null ids get a bucket of their own text, so that they do not pile up.
     by_doc = docs.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(doc_buckets)))
     near = docs.mapInArrow(anchors, packed_schema("h", "doc", "pos", "flag")).groupBy("bucket").applyInArrow(shared_anchors, packed_schema("doc", "pos"))
-    asked = by_doc.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(windows, packed_schema("h1", "h2", "doc", "pos", "flag"))
-    late = asked.groupBy("bucket").applyInArrow(late_windows, packed_schema("doc", "pos", "h"))
+    asked = by_doc.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(windows, packed_schema("h1", "h2", "doc", "pos", "ver", "flag"))
+    late = asked.groupBy("bucket").applyInArrow(late_windows, packed_schema("doc", "pos", "ver"))
     return by_doc.groupBy("bucket").cogroup(late.groupBy("bucket")).applyInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
