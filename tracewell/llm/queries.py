@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewell.llm.near_dedup import op7_near_dedup
+from tracewell.llm.packing import op9_packing
 from tracewell.llm.quality import op8_quality
 from tracewell.llm.substring_dedup import op2_substring_dedup
 from tracewell.llm.topk_search import op5_topk_search
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_topk_search": op5_topk_search,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
