@@ -4,19 +4,61 @@ from __future__ import annotations
 
 from tracewell.llm.near_dedup import op7_near_dedup
 from tracewell.llm.packing import op9_packing
+from tracewell.llm.pii import op4_pii
 from tracewell.llm.quality import op8_quality
 from tracewell.llm.substring_dedup import op2_substring_dedup
 from tracewell.llm.topk_search import op5_topk_search
+from tracewell.llm.url_filter import op6_url_filter
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_pii": op4_pii,
     "op5_topk_search": op5_topk_search,
+    "op6_url_filter": op6_url_filter,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
+    "op6_url_filter": r"""
+WITH RECURSIVE p AS (
+    SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+           CASE WHEN contains(url, '://') THEN concat(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                CASE WHEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) END) END AS k,
+           url, html
+    FROM pages
+), found AS (
+    SELECT k, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base, unnest([
+        regexp_extract(html, '(?i)<link[^>]*rel\s*=\s*["'']?canonical["'']?[^>]*href\s*=\s*["'']?([^"''\s>]+)', 1),
+        regexp_extract(html, '(?i)<link[^>]*href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*rel\s*=\s*["'']?canonical', 1),
+        regexp_extract(html, '(?i)<meta[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*content\s*=\s*["'']?[0-9.\s]*;\s*url\s*=\s*[''"]?([^"''\s>]+)', 1)]) AS t
+    FROM p
+), absolute AS (
+    SELECT k, replace(CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN base || t END, '&amp;', '&') AS u FROM found WHERE t <> ''
+), edge AS (
+    SELECT k AS a, concat(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           CASE WHEN regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) END) AS b
+    FROM absolute WHERE u IS NOT NULL
+), reach AS (
+    SELECT a, b FROM edge UNION SELECT b, a FROM edge UNION SELECT a, a FROM edge UNION SELECT b, b FROM edge
+    UNION SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM edge UNION SELECT b, a FROM edge) e ON r.b = e.a
+), rules(verdict, h, pre) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), node AS (
+    SELECT b, regexp_extract(b, '(?s)^([^/?]*)', 1) AS host, regexp_extract(b, '(?s)^[^/?]*([^?]*)', 1) AS path FROM (SELECT DISTINCT b FROM reach)
+), blocked AS (
+    SELECT b FROM node JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY b HAVING arg_max(verdict, length(h || pre)) = 'block'
+), tainted AS (
+    SELECT DISTINCT a FROM reach JOIN blocked USING (b)
+), judged AS (
+    SELECT rowid, page_id, host, path, k, arg_max(h || pre, length(h || pre)) FILTER (h IS NOT NULL) AS rule, arg_max(verdict, length(h || pre)) FILTER (h IS NOT NULL) AS own
+    FROM (SELECT *, row_number() OVER () AS rowid FROM p) LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)
+    GROUP BY rowid, page_id, host, path, k
+)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN tainted ON k = a
+""",
     "op5_topk_search": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
