@@ -9,9 +9,11 @@ from tracewell.llm.quality import op8_quality
 from tracewell.llm.substring_dedup import op2_substring_dedup
 from tracewell.llm.topk_search import op5_topk_search
 from tracewell.llm.url_filter import op6_url_filter
+from tracewell.llm.wrappers import op3_html_text
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_html_text": op3_html_text,
     "op4_pii": op4_pii,
     "op5_topk_search": op5_topk_search,
     "op6_url_filter": op6_url_filter,
