@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tracewell.llm.decontaminate import op10_decontamination
+from tracewell.llm.line_dedup import op1_line_dedup
 from tracewell.llm.near_dedup import op7_near_dedup
 from tracewell.llm.packing import op9_packing
 from tracewell.llm.pii import op4_pii
@@ -12,6 +14,7 @@ from tracewell.llm.url_filter import op6_url_filter
 from tracewell.llm.wrappers import op3_html_text
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_html_text": op3_html_text,
     "op4_pii": op4_pii,
@@ -20,6 +23,7 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
