@@ -90,15 +90,18 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= need(np.int64(len(x)), np.int64(len(y)))
 
 
-def remove_similar_lines(docs: DataFrame) -> DataFrame:
+def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Remove each line that has Jaccard similarity 3/4 or more to an earlier line of any document.
 
     docs: doc_id, text and any other columns. Returns doc_id, n_lines, n_removed, kept_text (kept lines joined by
-    a line feed), one row per input row. Lines are cut at line feeds; lines without words stay and match nothing.
+    a line feed), one row per input row, with the other columns of docs if ``carry``. Lines are cut at line feeds; lines without words stay and match nothing.
     Null text: no lines, null kept_text. Rows with a null doc_id stay whole and remove nothing. Rows that repeat a
     doc_id count as equally early; equal line numbers of such rows do not remove each other.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    taken = ("doc_id", "text", "bucket", "n_lines", "n_removed", "kept_text")
+    others = [c for c in docs.columns if c.lower() not in taken] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in others))
+    docs = rows.select("doc_id", "text")
     spark = docs.sparkSession
     words = text_bytes(docs) / 6
     buckets, doc_buckets = bucket_count(words / 4), bucket_count(words * 4)
@@ -291,9 +294,9 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
             n.append(len(lines))
             removed.append(len(bad))
             out.append(t if not bad else "\n".join([x for j, x in enumerate(lines) if j not in bad]))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(out, pa.string())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(out, pa.string()), **{c: texts.column(c) for c in others}})
 
-    by_doc = docs.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(doc_buckets))).groupBy("bucket")
+    by_doc = rows.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(doc_buckets))).groupBy("bucket")
     entries = docs.mapInArrow(prefixes, packed_schema("x", "lo", "hi", "n", "at", "doc", "no")).groupBy("bucket")
     pair_form, gone_form = packed_schema("doc", "no", "doc2", "no2", "more"), packed_schema("doc", "no")
     ask_form = packed_schema("to", "at", "doc", "no", "size", "set")
@@ -312,7 +315,7 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     still = pairs.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(again, gone_form)
     second = resolve(entries.cogroup(still.groupBy("bucket")).applyInArrow(meet_again, pair_form))
     gone = pairs.groupBy("bucket").applyInArrow(settled, gone_form).unionByName(first).unionByName(second)
-    return by_doc.cogroup(gone.groupBy("bucket")).applyInArrow(kept, "doc_id long, n_lines long, n_removed long, kept_text string")
+    return by_doc.cogroup(gone.groupBy("bucket")).applyInArrow(kept, ", ".join(["doc_id long, n_lines long, n_removed long, kept_text string", *(f"`{c}` {kind}" for c, kind in rows.dtypes if c in others)]))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

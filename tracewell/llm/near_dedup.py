@@ -224,7 +224,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.75,
         return pa.table({"a": a, "b": b})
 
     # One row of a repeated doc_id whose class it represents is enough; which, its own set tells below.
-    texts = placed.join(docs.where("doc_id is not null"), "doc_id").withColumn("bucket", F.pmod(F.col("cell"), F.lit(groups)))
+    # A merge join whatever the sizes, so that the plan does not change with them.
+    texts = placed.hint("merge").join(docs.where("doc_id is not null"), "doc_id").withColumn("bucket", F.pmod(F.col("cell"), F.lit(groups)))
     links = texts.groupBy("bucket").applyInArrow(confirm, "a long, b long")
     found = connected_components(links, "groups")
     rep_of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
