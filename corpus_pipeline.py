@@ -1,10 +1,73 @@
-"""A training-corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, packing."""
+"""A training-corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. ``run`` writes each stage's result as Parquet in the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.llm.decontaminate import find_leaks
+from tracewell.llm.line_dedup import remove_similar_lines
+from tracewell.llm.near_dedup import near_duplicate_groups
+from tracewell.llm.packing import default_tokenizer, pack_documents
+from tracewell.llm.quality import quality_filter
+from tracewell.llm.shared import keep
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line resembles; documents of which nothing is left go.
+
+    A document that held no line to begin with stays as it is.
+    """
+    lines = remove_similar_lines(docs, carry=True)
+    text = F.col("kept_text")
+    gone = (F.col("n_removed") > 0) & ~text.rlike(r"[^\x20\x09-\x0D]")
+    out = lines.where(~F.coalesce(gone, F.lit(False)))
+    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the smallest doc_id."""
+    kept = near_duplicate_groups(docs).where("kept or doc_id is null").select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy or paraphrase of a benchmark item."""
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    return pack_documents(docs, default_tokenizer())
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: SQL can express neither the classifier nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return docs
