@@ -26,8 +26,20 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
+
+
+def _load() -> None:
+    import importlib
+
+    for name in _MODULES:
+        importlib.import_module(f"tracewell.plans.{name}")
+
+
+_MODULES = ("feature_queries",)
