@@ -42,4 +42,4 @@ def _load() -> None:
         importlib.import_module(f"tracewell.plans.{name}")
 
 
-_MODULES = ("feature_queries",)
+_MODULES = ("feature_queries", "interval_queries", "cohort_queries")

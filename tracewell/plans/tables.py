@@ -19,11 +19,11 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as annotations in integer microseconds: rec, id, label, start, end (k seconds long), value."""
+    """events as annotations in integer microseconds: rec, id, label, start, end (k half hours long), value."""
     e = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
     k = F.get_json_object("props", "$.k").cast("long")
-    return e.select(F.col("user_id").alias("rec"), F.col("event_id").alias("id"), F.col("event_type").alias("label"), us.alias("start"), (us + k * 1000000).alias("end"), "value")
+    return e.select(F.col("user_id").alias("rec"), F.col("event_id").alias("id"), F.col("event_type").alias("label"), us.alias("start"), (us + k * 1800000000).alias("end"), "value")
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
