@@ -8,9 +8,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Two-sided normal tail of |z|."""
     return z.map(lambda x: None if x is None or pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
