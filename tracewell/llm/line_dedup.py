@@ -22,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tracewell.llm.shared import batches_of, bucket_count, code, decode, pack, packed_schema, text_bytes, unpack
+from tracewell.llm.shared import batches_of, bucket_count, bucketed_rows, code, decode, pack, packed_schema, rows_of, text_bytes, unpack
 from tracewell.llm.textops import Words, mix, text_slices, tokenize
 
 _U, _I = np.uint64, np.int64
 #: Counters of the rarity sketch (8 bytes each), and of the parts in which they are added up.
 SKETCH, PARTS = 1 << 19, 16
-FIRST = 4
+FIRST = 1
 _NUM, _DEN = 3, 4
 
 
@@ -104,9 +105,8 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
     docs = rows.select("doc_id", "text")
     spark = docs.sparkSession
     words = text_bytes(docs) / 6
-    buckets, doc_buckets = bucket_count(words / 4), bucket_count(words * 4)
+    buckets, doc_buckets = bucket_count(words / 4), bucket_count(words / 2)
     counts = spark.sparkContext.broadcast(word_counts(docs))
-    bits = _U(63)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,11 +128,10 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
                 asks[order] = new | ((doc[order] == doc[head]) & (lines.no[order] == lines.no[head]))
                 gone = ~asks
                 if gone.any():
-                    yield from batches_of([pack(doc[gone] % doc_buckets, {"x": np.empty((gone.sum(), 0), np.uint32), "lo": np.empty((gone.sum(), 0), _U), "hi": np.empty((gone.sum(), 0), _U), "n": np.zeros(gone.sum(), np.int32), "at": np.zeros(gone.sum(), np.int32), "doc": doc[gone], "no": lines.no[gone]})])
-                bit = _U(1) << (mixed & bits)
-                half = (mixed >> _U(6)) & _U(1)
-                lo = np.bitwise_xor.reduceat(np.where(half == 0, bit, _U(0)), lines.start)
-                hi = np.bitwise_xor.reduceat(np.where(half == 1, bit, _U(0)), lines.start)
+                    yield from batches_of([pack(doc[gone] % doc_buckets, {"x": np.empty((gone.sum(), 0), np.uint32), "lo": np.empty((gone.sum(), 0), _U), "hi": np.empty((gone.sum(), 0), np.uint32), "n": np.zeros(gone.sum(), np.int32), "at": np.zeros(gone.sum(), np.int32), "doc": doc[gone], "no": lines.no[gone]})])
+                place = mixed % _U(96)
+                lo = np.bitwise_xor.reduceat(np.where(place < 64, _U(1) << (place & _U(63)), _U(0)), lines.start)
+                hi = np.bitwise_xor.reduceat(np.where(place < 64, _U(0), _U(1) << (place & _U(31))), lines.start).astype(np.uint32)
                 of = np.repeat(np.arange(len(lines.start)), lines.size)
                 at = np.arange(len(lines.h)) - lines.start[of]
                 long = lines.size - (-(-_NUM * lines.size // _DEN)) + 1
@@ -144,7 +143,7 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
         """(later doc, no, earlier doc, no, asks again) of pairs that pass the filters."""
         n, doc, no = unpack(table, "n", np.int32).astype(_I), unpack(table, "doc", _I), unpack(table, "no", np.int32)
         real = n > 0  # the others are lines that went already
-        x, lo, hi, at = unpack(table, "x", np.uint32), unpack(table, "lo", _U), unpack(table, "hi", _U), unpack(table, "at", np.int32)[real].astype(_I)
+        x, lo, hi, at = unpack(table, "x", np.uint32), unpack(table, "lo", _U), unpack(table, "hi", np.uint32), unpack(table, "at", np.int32)[real].astype(_I)
         n, doc, no = n[real], doc[real], no[real]
         order = np.lexsort((n, x))
         x, lo, hi, n, at, doc, no = x[order], lo[order], hi[order], n[order], at[order], doc[order], no[order]
@@ -224,14 +223,15 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
     def sets_of(texts: pa.Table, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(doc, line number, set) of the lines of wanted documents."""
         want = set(wanted.tolist())
-        rows = [(i, t) for i, t in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()) if i in want]
+        rows = [(i, t) for i, t in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()) if i in want] if texts is not None else []
         for s, e in text_slices([t for _, t in rows], 16_000_000):
             lines = _Lines([t for _, t in rows[s:e]])
             for x in range(len(lines.start)):
                 yield rows[s + lines.text[x]][0], int(lines.no[x]), lines.set_of(x)
 
-    def ask(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+    def ask(blobs: pa.Table, pairs: pa.Table) -> pa.Table:
         """Send each later line's set to its earlier line's documents."""
+        texts = rows_of(blobs) if pairs.num_rows else None
         d, k, d2, k2 = unpack(pairs, "doc", _I), unpack(pairs, "no", np.int32), unpack(pairs, "doc2", _I), unpack(pairs, "no2", np.int32)
         real = d2 != -1
         d, k, d2, k2 = d[real], k[real], d2[real], k2[real]
@@ -257,7 +257,8 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
         cols = list(zip(*out))
         return pa.table({"bucket": pa.array(cols[0], pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in zip(("to", "at", "doc", "no", "size", "set"), cols[1:])}})
 
-    def answer(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    def answer(blobs: pa.Table, asked: pa.Table) -> pa.Table:
+        texts = rows_of(blobs) if asked.num_rows else None
         to, at, d, k, size = unpack(asked, "to", _I), unpack(asked, "at", np.int32), unpack(asked, "doc", _I), unpack(asked, "no", np.int32), unpack(asked, "size", np.int32)
         flat = unpack(asked, "set", _U)
         begin = np.cumsum(np.r_[0, size])
@@ -283,7 +284,10 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
         b, d, k = (np.array(c) for c in zip(*left))
         return _table([pack(b.astype(_I), {"doc": d.astype(_I), "no": k.astype(np.int32)})], "doc", "no")
 
-    def kept(texts: pa.Table, gone: pa.Table) -> pa.Table:
+    def kept(blobs: pa.Table, gone: pa.Table) -> pa.Table:
+        texts = rows_of(blobs)
+        if texts is None:
+            return pa.table({c: pa.array([], t) for c, t in out_form.items()})
         went: dict[int, set] = {}
         for x, y in zip(unpack(gone, "doc", _I).tolist(), unpack(gone, "no", np.int32).tolist()):
             went.setdefault(x, set()).add(y)
@@ -296,7 +300,9 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
             out.append(t if not bad else "\n".join([x for j, x in enumerate(lines) if j not in bad]))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(out, pa.string()), **{c: texts.column(c) for c in others}})
 
-    by_doc = rows.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(doc_buckets))).groupBy("bucket")
+    by_doc = bucketed_rows(rows, doc_buckets).groupBy("bucket")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    out_form = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), **{c: to_arrow_type(kinds[c]) for c in others}}
     entries = docs.mapInArrow(prefixes, packed_schema("x", "lo", "hi", "n", "at", "doc", "no")).groupBy("bucket")
     pair_form, gone_form = packed_schema("doc", "no", "doc2", "no2", "more"), packed_schema("doc", "no")
     ask_form = packed_schema("to", "at", "doc", "no", "size", "set")

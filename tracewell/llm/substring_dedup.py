@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import batches_of, bucket_count, pack, packed_schema, runs, text_bytes, unpack
+from tracewell.llm.shared import batches_of, bucket_count, bucketed_rows, pack, packed_schema, rows_of, runs, text_bytes, unpack
 from tracewell.llm.textops import Words, gram_hashes, text_slices, tokenize
 
 _U, _I = np.uint64, np.int64
@@ -75,7 +75,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_words = text_bytes(docs) / 6
     buckets = bucket_count(n_words * cover.mean())
-    doc_buckets = bucket_count(n_words * 4)
+    doc_buckets = bucket_count(n_words / 2)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +124,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
         out = pack(_doc_bucket(doc, doc_buckets), {"doc": doc, "pos": pos})
         return pa.Table.from_batches([out]) if out else _nothing("doc", "pos")
 
-    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
+    def windows(blobs: pa.Table, right: pa.Table) -> pa.Table:
+        left = rows_of(blobs) if right.num_rows else None
+        if left is None:
+            return _nothing("h1", "h2", "doc", "pos", "ver", "flag")
         doc, pos = unpack(right, "doc", _I), unpack(right, "pos", np.int32)
         order = np.argsort(doc, kind="stable")
         doc, pos = doc[order], pos[order]
@@ -174,7 +177,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
         out = pack(_doc_bucket(doc[order], doc_buckets), {"doc": doc[order], "pos": pos[order], "ver": ver[order]})
         return pa.Table.from_batches([out]) if out else _nothing("doc", "pos", "ver")
 
-    def kept(left: pa.Table, right: pa.Table) -> pa.Table:
+    def kept(blobs: pa.Table, right: pa.Table) -> pa.Table:
+        left = rows_of(blobs)
+        if left is None:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
         doc, pos, ver = unpack(right, "doc", _I), unpack(right, "pos", np.int32), unpack(right, "ver", _I)
         order = np.argsort(doc, kind="stable")
         doc, pos, ver = doc[order], pos[order], ver[order]
@@ -201,8 +207,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
                     texts.append(b" ".join([text.raw[u:v] for u, v in zip(text.starts[left_words].tolist(), text.ends[left_words].tolist())]).decode("utf-8", "surrogatepass"))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.string())})
 
-    # Null ids get a bucket of their own text, so that they do not pile up.
-    by_doc = docs.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(doc_buckets)))
+    by_doc = bucketed_rows(docs, doc_buckets)
     near = docs.mapInArrow(anchors, packed_schema("h", "doc", "pos", "flag")).groupBy("bucket").applyInArrow(shared_anchors, packed_schema("doc", "pos"))
     asked = by_doc.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(windows, packed_schema("h1", "h2", "doc", "pos", "ver", "flag"))
     late = asked.groupBy("bucket").applyInArrow(late_windows, packed_schema("doc", "pos", "ver"))
