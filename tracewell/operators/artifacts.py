@@ -91,8 +91,8 @@ def remove_beats(signal: DataFrame, beats: DataFrame, keys: Sequence[str], metho
         at, e = _epochs(x, np.sort(right[idx].to_numpy()) - base, before, after)
         if len(at) > rank:
             if method == "svd":
-                mean = e.mean(axis=1, keepdims=True)
-                u, s, v = np.linalg.svd(e - mean, full_matrices=False)
+                level = e[:, [0, -1]].mean(axis=1, keepdims=True)
+                u, s, v = np.linalg.svd(e - level, full_matrices=False)
                 e = e - (u[:, :rank] * s[:rank]) @ v[:rank]
                 for c, row in zip(at, e):
                     x[c - before : c + after + 1] = row

@@ -86,7 +86,7 @@ def welch(signal: DataFrame, keys: Sequence[str], rate: float, n_fft: int, low:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(idx)["value"].to_numpy(float)
         if len(x) < n_fft:
-            return pd.DataFrame({**{k: [] for k in keys}, "freq": [], "psd": []})
+            return pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, "freq": np.empty(0), "psd": np.empty(0)})
         p = np.abs(np.fft.rfft((x - x.mean()) * win)) ** 2 / (rate * (win**2).sum())
         p[1 : len(p) - (n_fft % 2 == 0)] *= 2
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "freq": freq[keep], "psd": p[keep]})
