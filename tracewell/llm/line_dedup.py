@@ -155,7 +155,8 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
             later, earlier, far, many = (np.concatenate(c) for c in zip(*parts))
             if only is not None:
                 return later, earlier, far, many
-            order = np.lexsort((earlier, far, later))
+            # Of equally near lines the earliest, so that a line asks the same one under all its words.
+            order = np.lexsort((no[earlier], doc[earlier], far, later))
             later, earlier, far, many = later[order], earlier[order], far[order], many[order]
             begin = np.flatnonzero(np.r_[True, later[1:] != later[:-1]][: len(later)])
             run = np.cumsum(np.r_[True, later[1:] != later[:-1]][: len(later)]) - 1
