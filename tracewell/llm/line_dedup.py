@@ -62,6 +62,40 @@ def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-_NUM * (n + m) // (_NUM + _DEN))
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """64-bit words of a line's bitmap: a power of two of at least 4/3 bits for each of its n words."""
+    return 1 << np.ceil(np.log2(np.maximum(n, 48) / 48)).astype(_I)
+
+
+class _Bitmaps:
+    """Parity bitmaps of one or two widths per pair; the wider one is folded to the narrower."""
+
+    def __init__(self, flat: np.ndarray, width: np.ndarray):
+        self.flat, self.width = flat, width
+        self.start = np.cumsum(width) - width
+
+    def sort(self, order: np.ndarray) -> None:
+        self.width, self.start = self.width[order], self.start[order]
+
+    def _rows(self, i: np.ndarray, width: int) -> np.ndarray:
+        own = self.flat[self.start[i][:, None] + np.arange(width)]
+        more = np.flatnonzero(self.width[i] > width)
+        if len(more):
+            own[more] ^= self.flat[self.start[i[more]][:, None] + width + np.arange(width)]
+        return own
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of each pair, no more than the differing words."""
+        out = np.zeros(len(i), _I)
+        width = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            for s in range(0, len(at), 200_000):
+                part = at[s : s + 200_000]
+                out[part] = np.bitwise_count(self._rows(i[part], w) ^ self._rows(j[part], w)).sum(axis=1)
+        return out
+
+
 class _Lines:
     """Sorted distinct word hashes of each line of some texts."""
 
@@ -128,28 +162,33 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
                 asks[order] = new | ((doc[order] == doc[head]) & (lines.no[order] == lines.no[head]))
                 gone = ~asks
                 if gone.any():
-                    yield from batches_of([pack(doc[gone] % doc_buckets, {"x": np.empty((gone.sum(), 0), np.uint32), "lo": np.empty((gone.sum(), 0), _U), "hi": np.empty((gone.sum(), 0), np.uint32), "n": np.zeros(gone.sum(), np.int32), "at": np.zeros(gone.sum(), np.int32), "doc": doc[gone], "no": lines.no[gone]})])
-                place = mixed % _U(96)
-                lo = np.bitwise_xor.reduceat(np.where(place < 64, _U(1) << (place & _U(63)), _U(0)), lines.start)
-                hi = np.bitwise_xor.reduceat(np.where(place < 64, _U(0), _U(1) << (place & _U(31))), lines.start).astype(np.uint32)
+                    yield from batches_of([pack(doc[gone] % doc_buckets, {"x": np.empty((gone.sum(), 0), np.uint32), "bits": np.empty((gone.sum(), 0), _U), "n": np.zeros(gone.sum(), np.int32), "at": np.zeros(gone.sum(), np.int32), "doc": doc[gone], "no": lines.no[gone]})])
                 of = np.repeat(np.arange(len(lines.start)), lines.size)
                 at = np.arange(len(lines.h)) - lines.start[of]
                 long = lines.size - (-(-_NUM * lines.size // _DEN)) + 1
-                take = np.flatnonzero((at < long[of]) & asks[of])
-                h, of = lines.h[take], of[take]
-                yield from batches_of([pack((h % _U(buckets)).astype(_I), {"x": (h >> _U(32)).astype(np.uint32), "lo": lo[of], "hi": hi[of], "n": lines.size[of].astype(np.int32), "at": at[take].astype(np.int32), "doc": doc[of], "no": lines.no[of]})])
+                wide = _width(lines.size)
+                for width in np.unique(wide[asks]).tolist():
+                    own = np.flatnonzero(asks & (wide == width))
+                    bits = np.zeros((len(lines.start), width), _U)
+                    word = np.flatnonzero((wide[of] == width) & asks[of])
+                    np.bitwise_xor.at(bits, (of[word], ((mixed[word] >> _U(6)) % _U(width)).astype(_I)), _U(1) << (mixed[word] & _U(63)))
+                    take = word[at[word] < long[of[word]]]
+                    h, line = lines.h[take], of[take]
+                    yield from batches_of([pack((h % _U(buckets)).astype(_I), {"x": (h >> _U(32)).astype(np.uint32), "bits": bits[line], "n": lines.size[line].astype(np.int32), "at": at[take].astype(np.int32), "doc": doc[line], "no": lines.no[line]})])
 
     def pairs_of(table: pa.Table, only: set | None) -> tuple[np.ndarray, ...]:
         """(later doc, no, earlier doc, no, asks again) of pairs that pass the filters."""
         n, doc, no = unpack(table, "n", np.int32).astype(_I), unpack(table, "doc", _I), unpack(table, "no", np.int32)
         real = n > 0  # the others are lines that went already
-        x, lo, hi, at = unpack(table, "x", np.uint32), unpack(table, "lo", _U), unpack(table, "hi", np.uint32), unpack(table, "at", np.int32)[real].astype(_I)
+        x, at = unpack(table, "x", np.uint32), unpack(table, "at", np.int32)[real].astype(_I)
         n, doc, no = n[real], doc[real], no[real]
+        bits = _Bitmaps(unpack(table, "bits", _U), _width(n))
         order = np.lexsort((n, x))
-        x, lo, hi, n, at, doc, no = x[order], lo[order], hi[order], n[order], at[order], doc[order], no[order]
+        x, n, at, doc, no = x[order], n[order], at[order], doc[order], no[order]
+        bits.sort(order)
         wanted = np.array([(d, k) in only for d, k in zip(doc.tolist(), no.tolist())], bool) if only is not None else None
         found: list[tuple[np.ndarray, ...]] = []
-        i, step, held = np.arange(len(x)), 0, 0
+        live, step, held = np.arange(len(x)), 0, 0
 
         def best(parts):
             later, earlier, far, many = (np.concatenate(c) for c in zip(*parts))
@@ -165,18 +204,18 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
             first = rank < FIRST
             return later[first], earlier[first], far[first], more[first]
 
-        while len(i):
+        while len(live):
             step += 1
-            i = i[i + step < len(x)]
-            j = i + step
-            go = (x[i] == x[j]) & (_DEN * n[i] >= _NUM * n[j])
-            i, j = i[go], j[go]
-            if not len(i):
+            live = live[live + step < len(x)]
+            live = live[(x[live] == x[live + step]) & (_DEN * n[live] >= _NUM * n[live + step])]
+            if not len(live):
                 break
+            i, j = live, live + step
             least = need(n[i], n[j])
             good = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 + np.minimum(at[i], at[j]) >= least
-            far = np.bitwise_count(lo[i] ^ lo[j]).astype(_I) + np.bitwise_count(hi[i] ^ hi[j])
-            good &= far <= n[i] + n[j] - 2 * least
+            i, j, least = i[good], j[good], least[good]
+            far = bits.distance(i, j)
+            good = far <= n[i] + n[j] - 2 * least
             first = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (no[i] < no[j]))
             good &= first | (doc[i] != doc[j]) | (no[i] != no[j])
             later, earlier = np.where(first, j, i)[good], np.where(first, i, j)[good]
@@ -304,7 +343,7 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
     by_doc = bucketed_rows(rows, doc_buckets).groupBy("bucket")
     kinds = {f.name: f.dataType for f in rows.schema}
     out_form = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), **{c: to_arrow_type(kinds[c]) for c in others}}
-    entries = docs.mapInArrow(prefixes, packed_schema("x", "lo", "hi", "n", "at", "doc", "no")).groupBy("bucket")
+    entries = docs.mapInArrow(prefixes, packed_schema("x", "bits", "n", "at", "doc", "no")).groupBy("bucket")
     pair_form, gone_form = packed_schema("doc", "no", "doc2", "no2", "more"), packed_schema("doc", "no")
     ask_form = packed_schema("to", "at", "doc", "no", "size", "set")
 
