@@ -86,9 +86,11 @@ def remove_beats(signal: DataFrame, beats: DataFrame, keys: Sequence[str], metho
     kinds = dict(signal.dtypes)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left[[*keys, idx, "value"]] if len(left) else left.reindex(columns=[*keys, idx, "value"])
         left = left.sort_values(idx)
-        x, base = left["value"].to_numpy(float).copy(), int(left[idx].iloc[0]) if len(left) else 0
-        at, e = _epochs(x, np.sort(right[idx].to_numpy()) - base, before, after)
+        x, base = left["value"].to_numpy(float).copy(), int(left[idx].iloc[0])
+        at, e = _epochs(x, np.sort(right["_beat"].to_numpy()) - base, before, after)
         if len(at) > rank:
             if method == "svd":
                 level = e[:, [0, -1]].mean(axis=1, keepdims=True)
@@ -107,7 +109,9 @@ def remove_beats(signal: DataFrame, beats: DataFrame, keys: Sequence[str], metho
                         x[lo : lo + n] = x[lo - n : lo][::-1]
         return left[[*keys, idx]].assign(value=x)
 
-    return signal.select(*keys, idx, "value").groupBy(*keys).cogroup(beats.select(*keys, idx).groupBy(*keys)).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"{idx} {kinds[idx]}, value double"]))
+    # New names, since both sides may come from one table.
+    marks = beats.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(idx).alias("_beat"))
+    return signal.select(*keys, idx, "value").groupBy(*keys).cogroup(marks.groupBy(*(f"_k{i}" for i in range(len(keys))))).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"{idx} {kinds[idx]}, value double"]))
 
 
 def choose_polarity(signal: DataFrame, keys: Sequence[str], height: float, distance: int, idx: str = "sample_idx") -> DataFrame:
