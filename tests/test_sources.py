@@ -33,11 +33,11 @@ def test_packet_csv(spark, tmp_path):
 
 def test_session_json(spark, tmp_path):
     e = lambda ch, rate: {"FirstPacketDateTime": "2020-01-01T00:00:00.000Z", "SampleRateInHz": rate, "Channel": ch, "TimeDomainData": [1.0, 2.0]}
-    p = write(tmp_path, "s.json", json.dumps({"BrainSenseTimeDomain": [e("ZERO_THREE_LEFT", 250), e("ONE_THREE_RIGHT", 250)]}))
+    p = write(tmp_path, "s.json", json.dumps({"TimeDomain": [e("ZERO_THREE_LEFT", 250), e("ONE_THREE_RIGHT", 250)]}))
     df = S.read_session_json(spark, p)
     assert df.count() == 4 and {r.channel for r in df.collect()} == {"0_3_L", "1_3_R"}
     assert [r.channel for r in S.channels_in_order(df).collect()] == ["0_3_L", "1_3_R"]
-    bad = write(tmp_path, "b.json", json.dumps({"BrainSenseTimeDomain": [e("A", 250), e("B", 500)]}))
+    bad = write(tmp_path, "b.json", json.dumps({"TimeDomain": [e("A", 250), e("B", 500)]}))
     with pytest.raises(ValueError):
         S.read_session_json(spark, bad)
 

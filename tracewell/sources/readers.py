@@ -61,7 +61,7 @@ def read_packet_csv(spark: SparkSession, path: str, rate: float, index: str = "P
     return samples, tags.select("file", "packet", "code", pos.cast("int").alias("pos"))
 
 
-def read_session_json(spark: SparkSession, path: str, entry: str = "BrainSenseTimeDomain") -> DataFrame:
+def read_session_json(spark: SparkSession, path: str, entry: str = "TimeDomain") -> DataFrame:
     """Session documents with a list of time-domain entries: file, entry, channel, start (UTC), rate, sample_idx, value (volts).
 
     One sampling rate per file, else an error. Samples are in microvolts.
