@@ -27,6 +27,24 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_near_dedup": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+), n AS (
+    SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s
+), u AS (
+    SELECT doc_id, unnest(sh) AS x FROM s
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+    SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)
+), r AS (
+    SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e2.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) e2 ON r.b = e2.a
+)
+SELECT doc_id, n AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept FROM r JOIN n ON a = doc_id GROUP BY doc_id, n
+""",
     "op6_url_filter": r"""
 WITH RECURSIVE p AS (
     SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
