@@ -73,9 +73,14 @@ class _Bitmaps:
     def __init__(self, flat: np.ndarray, width: np.ndarray):
         self.flat, self.width = flat, width
         self.start = np.cumsum(width) - width
+        #: All words folded to one, for a first test.
+        self.fold = np.bitwise_xor.reduceat(flat, self.start) if len(width) else flat
 
     def sort(self, order: np.ndarray) -> None:
-        self.width, self.start = self.width[order], self.start[order]
+        self.width, self.start, self.fold = self.width[order], self.start[order], self.fold[order]
+
+    def may_reach(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fold[i] ^ self.fold[j]) <= most
 
     def _rows(self, i: np.ndarray, width: int) -> np.ndarray:
         own = self.flat[self.start[i][:, None] + np.arange(width)]
@@ -90,6 +95,9 @@ class _Bitmaps:
         width = np.minimum(self.width[i], self.width[j])
         for w in np.unique(width).tolist():
             at = np.flatnonzero(width == w)
+            if w == 1:
+                out[at] = np.bitwise_count(self.fold[i[at]] ^ self.fold[j[at]])
+                continue
             for s in range(0, len(at), 200_000):
                 part = at[s : s + 200_000]
                 out[part] = np.bitwise_count(self._rows(i[part], w) ^ self._rows(j[part], w)).sum(axis=1)
@@ -186,9 +194,13 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
         order = np.lexsort((n, x))
         x, n, at, doc, no = x[order], n[order], at[order], doc[order], no[order]
         bits.sort(order)
-        wanted = np.array([(d, k) in only for d, k in zip(doc.tolist(), no.tolist())], bool) if only is not None else None
+        wanted, live = None, np.arange(len(x))
+        if only is not None:
+            wanted = np.isin(doc, np.array([d for d, _ in only], _I))
+            wanted[wanted] = [(d, k) in only for d, k in zip(doc[wanted].tolist(), no[wanted].tolist())]
+            live = np.flatnonzero(np.isin(x, np.unique(x[wanted])))  # entries under the words of those lines
         found: list[tuple[np.ndarray, ...]] = []
-        live, step, held = np.arange(len(x)), 0, 0
+        step = held = 0
 
         def best(parts):
             later, earlier, far, many = (np.concatenate(c) for c in zip(*parts))
@@ -213,9 +225,11 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
             i, j = live, live + step
             least = need(n[i], n[j])
             good = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 + np.minimum(at[i], at[j]) >= least
-            i, j, least = i[good], j[good], least[good]
+            i, j, most = i[good], j[good], (n[i] + n[j] - 2 * least)[good]
+            good = bits.may_reach(i, j, most)
+            i, j, most = i[good], j[good], most[good]
             far = bits.distance(i, j)
-            good = far <= n[i] + n[j] - 2 * least
+            good = far <= most
             first = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (no[i] < no[j]))
             good &= first | (doc[i] != doc[j]) | (no[i] != no[j])
             later, earlier = np.where(first, j, i)[good], np.where(first, i, j)[good]
