@@ -202,6 +202,17 @@ def test_leaks(spark):
     assert mark_leaks(H.docs(spark, []), bench).count() == 0
 
 
+def test_leaks_among_common_words(spark):
+    """Words outside the items must not hide a paraphrase, however many there are."""
+    items = [(k, H.prose(40, 5000 + k, 150)) for k in range(5)]
+    rows = [(i, H.prose(120, i, 150)) for i in range(1500)]
+    for k, text in items:
+        para = [f"other{k}x{i}" if i % 10 in (2, 5, 8) else w for i, w in enumerate(text.split())]
+        rows[k] = (k, " ".join(f"strange{k}x{i}" for i in range(50)) + " " + " ".join(para) + " " + " ".join(f"late{k}x{i}" for i in range(50)))
+    got = {r.doc_id: (list(r["items"]), r.share) for r in mark_leaks(H.docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect() if r.contaminated}
+    assert got == {k: ([k], 0.7) for k, _ in items}
+
+
 def test_whole_table_hash(spark):
     got = Q.QUERIES["op2_substring_dedup"](spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
