@@ -131,6 +131,15 @@ def test_pages(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_pages_of_copies(spark):
+    """Copies and repeated rows fill no samples and make no frame."""
+    page = "<div>Welcome</div><div>own {}</div>"
+    rows = [(1, "http://twice.org/1", page.format(1))] * 2 + [(2, "http://twice.org/2", page.format(1) + "<!-- copy -->")]
+    rows += [(100 + i, f"http://many.org/{i}", page.format(7)) for i in range(200)] + [(300 + i, f"http://many.org/x{i}", page.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Welcome\n\nown 1", 2: "Welcome\n\nown 1"} | {100 + i: "own 7" for i in range(200)} | {300 + i: f"own {i}" for i in range(3)}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
