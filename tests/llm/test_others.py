@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from tracewell.llm.packing import cut, default_tokenizer, pack_documents
 from tracewell.llm.pii import bootstrap, find_personal_data
 from tracewell.llm.quality import score_quality
 from tracewell.llm.topk_search import top_k
-from tracewell.llm.url_filter import filter_urls
+from tracewell.llm.url_filter import filter_urls, links_of
 from tracewell.llm.wrappers import align, extract_main_text, flatten, main_text
 
 
@@ -100,6 +101,20 @@ def test_url_aliases(spark):
     assert filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_links_of_all_forms(spark):
+    """Against urljoin: every reference form, attribute order and number of links."""
+    url = "http://a.org/d/e/f.html?q=1"
+    forms = ["page2.html", "?id=3", "../x", "../../../x/./y/..", "./", "..", "/r", "/go?u=http://other.org/z", "//b.org/y", "http://c.org/z", "g?y=a/../b", "g;x=1/./y"]
+    shapes = ['<link rel="canonical" href="{}">', "<LINK HREF='{}' REL=canonical>", '<meta content="0; url={}" http-equiv="refresh">', """<meta http-equiv=refresh content="5;URL='{}'">"""]
+    rows = [(url, "<p>x</p>".join(s.format(t) for t in forms)) for s in shapes]
+    rows += [(url, '<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href="#top"><link rel="stylesheet" href="s.css">'), ("http://a.org", '<link rel="canonical" href="x">')]
+    got = [(r.url, r.target) for r in links_of(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert sorted(got) == sorted([(url, urljoin(url, t)) for _ in shapes for t in forms] + [("http://a.org", "http://a.org/x")])
+    pages = [(1, "http://a.org/d/1", '<link rel="canonical" href="2"><link rel="canonical" href="3">'), (2, "http://a.org/d/3", '<meta content="0;url=//x.net/es/1" http-equiv="refresh">'), (3, "http://a.org/d/2", ""), (4, "http://b.org/", '<link rel="canonical" href="/go?u=http://x.net/es/1">')]
+    verdicts = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul>{nav}</ul></nav><div class='ad'>buy</div><article><h1>Head</h1>{body}</article><div id=comments><p>troll</p></div><footer>&copy; x</footer></body></html>"
 
 

@@ -1,15 +1,17 @@
 """URL filters with redirect equivalence (operator 6).
 
 Pages that redirect to each other, or name each other as canonical, are aliases. The links
-are taken from the pages themselves (canonical link elements and refresh redirects);
+are taken from the pages themselves (all canonical link elements and refresh redirects, relative ones too);
 components over them are found by ``connected_components``. A block decision of any address in
 a component holds for all its aliases, but an address that a rule allows stays allowed.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,59 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Attribute order differs between pages, so both orders are read.
-_HREF = r"""href\s*=\s*["']?([^"'\s>]+)"""
-_CANONICAL = (
-    r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\b""" + _HREF,
-    r"""(?i)<link\b[^>]*\b""" + _HREF + r"""["']?[^>]*\brel\s*=\s*["']?canonical""",
-)
-_REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*\bcontent\s*=\s*["']?[0-9.\s]*;\s*url\s*=\s*['"]?([^"'\s>]+)"""
+#: Elements that may name an alias or the base of relative addresses; attributes are read in any order.
+_ELEMENT = r"(?i)<(?:link|meta|base)\b[^>]*"
+_ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^\s"'>]+))""")
+_REFRESH = re.compile(r"""\s*[0-9.\s]*[;,]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s>]+))""", re.I)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_PARTS = re.compile(r"([^:/?#]+://[^/?#]*)([^?#]*)([^#]*)", re.S)
+
+
+def _without_dots(path: str) -> str:
+    out: list[str] = []
+    parts = path.split("/")
+    for part in parts:
+        if part == "..":
+            if len(out) > 1:
+                out.pop()
+        elif part != ".":
+            out.append(part)
+    return "/".join(out) + ("/" if parts[-1] in (".", "..") else "")
+
+
+def resolve(base: str, target: str) -> str | None:
+    """The absolute address that ``target`` means on the page ``base``; None if it names no other address."""
+    if target == "" or target.startswith("#"):
+        return None
+    if _SCHEME.match(target):
+        return target if "://" in target.split("?")[0].split("#")[0] else None
+    if not (m := _PARTS.match(base)):
+        return None
+    host, path, query = m.groups()
+    if target.startswith("//"):
+        return host.split("//")[0] + target
+    if target.startswith("?"):
+        return host + (path or "/") + target
+    end = min((i for i in map(target.find, "?#") if i >= 0), default=len(target))
+    own = target[:end] if target.startswith("/") else (path.rpartition("/")[0] or "") + "/" + target[:end]
+    return host + _without_dots(own) + target[end:]
+
+
+def targets_of(url: str | None, elements: list[str] | None) -> list[str]:
+    """Absolute targets of the canonical links and refresh redirects among a page's elements."""
+    base, named = None, []
+    for element in elements or ():
+        found: dict[str, str] = {}
+        for name, *value in _ATTR.findall(element):
+            found.setdefault(name.lower(), " ".join("".join(value).split()).replace("&amp;", "&"))
+        kind = element[1:5].lower()
+        if kind == "base" and base is None and "href" in found:
+            base = resolve(url or "", found["href"])
+        elif kind == "link" and "canonical" in found.get("rel", "").lower().split() and "href" in found:
+            named.append(found["href"])
+        elif kind == "meta" and found.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.match(found.get("content", ""))):
+            named.append("".join(x or "" for x in m.groups()).strip())
+    return [t for n in named if (t := resolve(base or url or "", n)) is not None]
 
 
 def lower_ascii(c: Column) -> Column:
@@ -78,16 +126,15 @@ def address_key(url: Column) -> Column:
 
 
 def links_of(pages: DataFrame) -> DataFrame:
-    """(url, target) of canonical links and refresh redirects to absolute or host-relative addresses."""
-    found = F.array(*(F.regexp_extract("html", p, 1) for p in (*_CANONICAL, _REFRESH)))
-    targets = pages.select("url", F.explode(found).alias("target")).where("target <> ''")
-    base = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    absolute = (
-        F.when(F.col("target").contains("://"), F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(F.lit("http:"), F.col("target")))
-        .when(F.col("target").startswith("/"), F.concat(base, F.col("target")))
-    )
-    return targets.select("url", F.regexp_replace(absolute, "&amp;", "&").alias("target")).where("target is not null")
+    """(url, target) of all canonical links and refresh redirects, resolved against the page's address."""
+
+    @F.arrow_udf("array<string>")
+    def targets(url: pa.Array, elements: pa.Array) -> pa.Array:
+        return pa.array([targets_of(u, e) for u, e in zip(url.to_pylist(), elements.to_pylist())], pa.list_(pa.string()))
+
+    elements = F.filter(F.regexp_extract_all("html", F.lit(_ELEMENT), F.lit(0)), lambda e: e.rlike("(?i)canonical|refresh|^<base"))
+    found = pages.select("url", elements.alias("elements")).where(F.exists("elements", lambda e: e.rlike("(?i)canonical|refresh")))
+    return found.select("url", F.explode(targets("url", "elements")).alias("target"))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
