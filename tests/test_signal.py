@@ -138,3 +138,12 @@ def test_grids(spark):
     assert [r.freq for r in X.frequency_grid(spark, 1, 3, 0.5).orderBy("f_pos").collect()] == [1, 1.5, 2, 2.5, 3]
     n = spark.createDataFrame([(50.0, 1.0), (50.0000001, 2.0), (100.0, 1.0)], "center double, width double")
     assert sorted((r.center, r.width) for r in X.merge_notches(n).collect()) == [(50.0, 2.0), (100.0, 1.0)]
+
+
+def test_neighbours_of_all_channels(spark, tmp_path):
+    from tracewell.plans.signal_queries import _neighbours
+
+    rows = [(i, i % 2) for i in range(40)] + [(100, None)]
+    spark.createDataFrame(rows, "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b) for r in _neighbours(spark, str(tmp_path)).collect()}
+    assert got == {(str(i), str(i + 2)) for i in range(38)}

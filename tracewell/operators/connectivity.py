@@ -19,7 +19,7 @@ MEASURES = ("coh", "plv", "ciplv", "pli", "wpli")
 def pair_products(coef: DataFrame, pairs: DataFrame, keys: Sequence[str], channel: str = "channel", idx: str = "sample_idx") -> DataFrame:
     """Cross spectra of channel pairs (a, b): keys, a, b, f_pos, freq, idx, re, im, pa, pb."""
     cols = [*keys, "f_pos", "freq", idx]
-    p = F.broadcast(pairs.select("a", "b"))
+    p = pairs.select("a", "b")
     x = coef.join(p, coef[channel] == p["a"]).select(*cols, "a", "b", F.col("re").alias("_ra"), F.col("im").alias("_ia"), F.col("power").alias("pa"))
     y = coef.select(*keys, "f_pos", idx, F.col(channel).alias("b"), F.col("re").alias("_rb"), F.col("im").alias("_ib"), F.col("power").alias("pb"))
     met = x.join(y, [*keys, "f_pos", idx, "b"])
@@ -84,7 +84,7 @@ def granger(signal: DataFrame, pairs: DataFrame, keys: Sequence[str], lags: int
     """
     w = Window.partitionBy(*keys, channel).orderBy(F.desc(idx) if reverse else F.asc(idx))
     past = signal.select(*keys, channel, idx, F.col("value").alias("_v0"), *(F.lag("value", i).over(w).alias(f"_v{i}") for i in range(1, lags + 1)))
-    p = F.broadcast(pairs.select("a", "b"))
+    p = pairs.select("a", "b")
     b = past.join(p, past[channel] == p["b"]).drop(channel)
     a = past.select(*keys, idx, F.col(channel).alias("a"), *(F.col(f"_v{i}").alias(f"_u{i}") for i in range(1, lags + 1)))
     names = [f"_v{i}" for i in range(lags + 1)] + [f"_u{i}" for i in range(1, lags + 1)]

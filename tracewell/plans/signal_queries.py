@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import align as E
@@ -257,8 +258,10 @@ def _coefficients(spark, sf_dir):
 
 
 def _neighbours(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id")
-    return e.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, 6).alias("v")).select(F.explode(F.arrays_zip(F.slice("v", 1, 5).alias("x"), F.slice("v", 2, 5).alias("y"))).alias("p")).select(F.col("p.x").cast("string").alias("a"), F.col("p.y").cast("string").alias("b")).where("a is not null and b is not null")
+    """Each channel with the next one of its label."""
+    after = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("a"), after.cast("string").alias("b"))
+    return e.where("a is not null and b is not null")
 
 
 @register("fir_bandpass")
