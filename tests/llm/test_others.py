@@ -10,9 +10,10 @@ from tests.llm import helpers as H
 from tests.parity import SF, connect, same
 from tracewell.llm import queries as Q
 from tracewell.llm.decontaminate import lcs_length, mark_leaks
-from tracewell.llm.packing import cut, default_tokenizer, pack_documents
+from tracewell.llm.packing import WordTokenizer, cut, default_tokenizer, pack_documents
 from tracewell.llm.pii import bootstrap, find_personal_data
 from tracewell.llm.quality import score_quality
+from tracewell.llm.textops import distinct_words, tokenize
 from tracewell.llm.topk_search import top_k
 from tracewell.llm.url_filter import filter_urls, links_of
 from tracewell.llm.wrappers import align, extract_main_text, flatten, main_text
@@ -181,6 +182,30 @@ def test_packing(spark):
     assert pack_documents(df.limit(0), default_tokenizer()).count() == 0
 
 
+ODD_TEXTS = ["don't, can't.. I'LL", "ÀÉ Ǆ ǅ ΑΣ σΣ. İstanbul, ﬁ é, é à.. x̸< ≮", "  ", "１２ ½, ab…, ab…x naïve$$$ 3.5% a'd'$$ <| a|>   x y z \x1c\x1d k\x85k", "日本語。テスト, ça!? Ÿ ẞ K Å", "a <|startoftext|>b"]
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_stand_for_texts(file):
+    import public_tokenizers
+
+    words = WordTokenizer(public_tokenizers.path(file))
+    assert words.by_word == (file == "word_bpe_49k.json")
+    texts = ODD_TEXTS + [None, ""] + [H.prose(300, i).replace("w1", "W1. ").replace("w2", "é!? ") for i in range(5)]
+    for _ in range(3):  # the memory, its second half and its loss change nothing
+        for t, raw in zip(texts, words.ids(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == words.plain.encode(t or "", add_special_tokens=False).ids
+        words.known, words.older = {}, words.known
+
+
+def test_distinct_words_with_equal_hashes():
+    found = tokenize(["a bb a ccc bb", "ccc dddddddddddd dddddddddddx"])
+    found.hashes[:] = 7
+    first, of = distinct_words(found)
+    name = lambda i: found.raw[found.starts[i] : found.ends[i]]
+    assert [name(first[k]) for k in of] == [name(i) for i in range(len(of))] and len(first) == 5
+
+
 def test_cut():
     for n in [*range(1, 300), 2047, 2048, 2049, 10_000]:
         assert sum(cut(n)) == n and max(cut(n)) <= 2048

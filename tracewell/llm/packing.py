@@ -13,7 +13,9 @@ sequences of a power of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,60 +26,120 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.textops import text_slices
+from tracewell.llm.textops import distinct_words, text_slices, tokenize
 
 CAPACITY, CUTS, END_ID = 2048, 3, 1
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 700_000
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
-_TRAIL = b".,;:!?"
+#: Words whose ids a worker remembers: those met since the last turn, and those of the turn before it.
+CACHE_WORDS = 400_000
+#: Bytes of text whose words are looked up together.
+SLICE = 8_000_000
+# The normaliser and the pre-token pattern for which texts may be cut into words.
+_NORMAL = ["NFC", ("Replace", "\\s+", " "), "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+#: Punctuation that ends a pre-token of letters; an apostrophe may not.
+_TRAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that are one pre-token and that the normaliser leaves alone, once in lower case.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _cuts_at_space(spec: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its white-space separated words in order, in any case of A-Z."""
+    normal, pre, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) if n["type"] == "Replace" else n["type"] for n in normal.get("normalizers", [])]
+    splits = [p.get("pattern", {}).get("Regex") for p in pre.get("pretokenizers", []) if p["type"] == "Split"]
+    return steps == _NORMAL and splits == [_PATTERN] and model.get("type") == "BPE" and model.get("end_of_word_suffix") == _WORD_END and not model.get("dropout")
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word with a memory.
+    """Ids of whole texts by any tokenizer file.
 
-    Valid for tokenizers whose pre-tokens never hold white space and which drop it and the case of
-    letters: a text's ids are then those of its words in order. Texts with a special token's
-    opening go through the tokenizer whole.
+    Where the file's rules let a text be cut at white space, distinct words are looked up once per slice, with
+    a memory; else, and for texts with a special token's opening, texts go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.plain = Tokenizer.from_file(path)
+        spec = json.loads(self.plain.to_str())
+        self.by_word = _cuts_at_space(spec)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        if self.by_word:
+            self.opening = [t["content"][:2].encode() for t in spec["added_tokens"]]
+            model = spec["model"]
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            # The same merges without the steps that plain words do not need.
+            self.letters = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=_WORD_END))
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(_WORD_END)]] = True
 
     def _learn(self, missing: list[bytes]) -> None:
-        """Ids of words in one call: the offsets tell which word a token comes from."""
-        texts = [w.decode("utf-8", "surrogatepass") for w in missing]
-        at = np.cumsum([0] + [len(t) + 1 for t in texts])
-        got = self.plain.encode("\n".join(texts), add_special_tokens=False)
+        """Ids of words in one call for all words of letters, and one for the others."""
+        texts = [w.decode("utf-8", "surrogatepass").lower() for w in missing]
+        plain = [bool(_LETTERS.fullmatch(t)) for t in texts]
+        got = self.letters.encode_batch_fast(["\n".join(t for t, p in zip(texts, plain) if p)], add_special_tokens=False)[0]
         ids = np.array(got.ids, "<u4")
-        edge = np.searchsorted(np.array([s for s, _ in got.offsets], np.int64), at).tolist()
-        for w, s, e in zip(missing, edge[:-1], edge[1:]):
-            self.known[w] = ids[s:e].tobytes()
-
-    def _meet(self, seen: set[bytes]) -> None:
+        edge = np.r_[0, np.flatnonzero(self.ends[ids]) + 1].tolist() if len(ids) else [0]
+        own = [w for w, p in zip(missing, plain) if p]
+        if len(edge) != len(own) + 1:
+            raise ValueError("the tokenizer's words do not end as its file says")
+        raw = ids.tobytes()
+        self.known.update((w, raw[4 * s : 4 * e]) for w, s, e in zip(own, edge[:-1], edge[1:]))
+        others = [w for w, p in zip(missing, plain) if not p]
+        if others:
+            texts = [w.decode("utf-8", "surrogatepass") for w in others]
+            at = np.cumsum([0] + [len(t) + 1 for t in texts])
+            got = self.plain.encode("\n".join(texts), add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            # The offsets tell which word a token comes from.
+            edge = np.searchsorted(np.array([s for s, _ in got.offsets], np.int64), at).tolist()
+            self.known.update((w, raw[4 * s : 4 * e]) for w, s, e in zip(others, edge[:-1], edge[1:]))
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. Letters before trailing punctuation end a pre-token, so both parts stand alone."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        missing = seen - self.known.keys()
-        # A letter before trailing punctuation ends a pre-token, so both parts stand alone.
-        split = {w: (core, w[len(core) :]) for w in missing if (core := w.rstrip(_TRAIL)) != w and core and core[-1] in _LETTERS}
-        new = {p for w in missing for p in split.get(w, (w,))} - self.known.keys()
-        if new:
-            self._learn(list(new))
-        for w, (core, rest) in split.items():
-            self.known[w] = self.known[core] + self.known[rest]
+            self.known, self.older = {}, self.known
+        parts = []
+        for w in words:
+            core = w.rstrip(_TRAIL)
+            # Beyond ASCII the last character may be punctuation that goes on.
+            whole = len(core) == len(w) or not core or not (core[-1] < 128 and core[-1:].isalpha() or _LETTERS.fullmatch(core.decode("utf-8", "surrogatepass").lower()))
+            parts.append((w, b"") if whole else (core, w[len(core) :]))
+        known, older = self.known, self.older
+        missing = []
+        for w in {p for pair in parts for p in pair}:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                elif w:
+                    missing.append(w)
+        known[b""] = b""
+        if missing:
+            self._learn(missing)
+        return [known[core] + known[rest] if rest else known[core] for core, rest in parts]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        special = [b"<|" in r for r in raw]
-        words = [[] if x else r.lower().split() for r, x in zip(raw, special)]
-        self._meet(set().union(*words))
-        for t, ws, x in zip(texts, words, special):
-            yield np.array(self.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x else b"".join(map(self.known.__getitem__, ws))
+        if not self.by_word:
+            for got in self.plain.encode_batch([t or "" for t in texts], add_special_tokens=False):
+                yield np.array(got.ids, "<u4").tobytes()
+            return
+        found = tokenize(texts, lower=True)
+        first, of = distinct_words(found)
+        ids = self._ids_of([found.raw[s:e] for s, e in zip(found.starts[first].tolist(), found.ends[first].tolist())])
+        size = np.array([len(i) >> 2 for i in ids], np.int64)
+        start = np.cumsum(size) - size
+        n = size[of]
+        end = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[of] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        edge = np.r_[0, end][found.bounds].tolist()
+        for t, s, e in zip(texts, edge[:-1], edge[1:]):
+            special = t and any(o in t.encode("utf-8", "surrogatepass") for o in self.opening) if self.opening and "<" in (t or "") else False
+            yield np.array(self.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if special else flat[s:e].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -165,7 +227,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         doc = 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s, e in text_slices(texts):
+            for s, e in text_slices(texts, SLICE):
                 for doc_id, raw in zip(ids[s:e], words.ids(texts[s:e])):
                     raw += END_ID.to_bytes(4, "little")
                     n = len(raw) // 4

@@ -80,6 +80,33 @@ def tokenize(texts: list[str | None], lower: bool = False) -> Words:
     return Words(raw, starts, ends, hash_spans(raw, starts, ends), np.searchsorted(starts, text_starts))
 
 
+def distinct_words(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct word, and for each word the number of its distinct word; compared by their bytes."""
+    order = np.argsort(found.hashes, kind="stable")
+    h = found.hashes[order]
+    new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+    first = order[np.flatnonzero(new)]
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(new) - 1
+    size = found.ends - found.starts
+    padded = np.frombuffer(found.raw + bytes(8), np.uint8)
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    same = size == size[first][of]
+    at, left = np.flatnonzero(same), 0
+    while len(at):
+        mask = _MASK[np.minimum(size[at] - left, 8)]
+        same[at] = (eights[found.starts[at] + left] ^ eights[found.starts[first[of[at]]] + left]) & mask == 0
+        left += 8
+        at = at[same[at] & (size[at] > left)]
+    odd = np.flatnonzero(~same)
+    if len(odd):  # equal hashes of different words
+        names: dict[bytes, int] = {}
+        more = [names.setdefault(found.raw[s:e], len(names)) for s, e in zip(found.starts[odd].tolist(), found.ends[odd].tolist())]
+        of[odd] = len(first) + np.array(more)
+        first = np.r_[first, odd[np.unique(more, return_index=True)[1]]]
+    return first, of
+
+
 def text_slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     return iter(slices(np.array([len(t or "") for t in texts]), limit))
 
