@@ -109,6 +109,34 @@ def test_lines_with_many_partners(spark):
     assert sorted((x.doc_id, x.kept_text) for x in got) == H.lines(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 30])
+def test_lines_under_hot_words(spark, rows, hot):
+    given = [(i, t) for i, t in rows if t is not None] + [(1000 + i, f"the {i % 7} of\nthe\nof the") for i in range(30)]
+    got = remove_similar_lines(H.docs(spark, given, extra=True), hot=hot).collect()
+    assert sorted((r.doc_id, r.kept_text) for r in got) == sorted(H.lines(given))
+
+
+def test_lines_that_share_one_word(spark):
+    """Thousands of short lines meet under one word, some of them alike."""
+    r = random.Random(4)
+    rows = [(i, " ".join(["common", *(f"q{r.randrange(60)}" for _ in range(r.randrange(1, 6)))])) for i in range(3000)]
+    sets, want = [], {}
+    for i, t in rows:
+        s = frozenset(t.split())
+        want[i] = "" if any(4 * len(s & v) >= 3 * len(s | v) for v in set(sets)) else t
+        sets.append(s)
+    for hot in (100, 10**6):
+        got = {x.doc_id: x.kept_text for x in remove_similar_lines(H.docs(spark, rows), hot=hot).collect()}
+        assert got == want
+
+
+def test_lines_carry_columns(spark):
+    df = H.docs(spark, [(1, "a b"), (2, "b a"), (None, None)]).selectExpr("*", "'x' as bucket", "doc_id as `odd name`", "7 as n_lines", "array(1) as carried")
+    got = remove_similar_lines(df, carry=True)
+    assert got.columns == ["doc_id", "n_lines", "n_removed", "kept_text", "bucket", "odd name", "carried"]
+    assert {(r["doc_id"], r["n_removed"], r["bucket"], r["odd name"], tuple(r["carried"])) for r in got.collect()} == {(1, 0, "x", 1, (1,)), (2, 1, "x", 2, (1,)), (None, 0, "x", None, (1,))}
+
+
 def test_lines_edges(spark):
     rows = [(1, "a b c\n\n a  b c"), (2, "C B A"), (None, "a b c"), (3, None), (4, ""), (2, "a b c")]
     got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in remove_similar_lines(H.docs(spark, rows, extra=True), carry=True).collect()), key=str)

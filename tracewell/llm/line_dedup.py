@@ -9,9 +9,12 @@ than the differing words. What passes is verified on whole sets. A line goes if
 earlier one, by (doc_id, line number), is similar, on the input.
 
 Rarity comes from word counts over all documents, held in a sketch of fixed size, which
-orders words alike everywhere; the join is exact under any order. A line with many partners
-under one word asks for its few nearest first; only lines that none of those removes ask
-for all the others. So a line that a third of all documents hold costs one question each.
+orders words alike everywhere; the join is exact under any order. A pair counts under its
+first common word alone, so a line meets only partners that the words from there on can
+reach; words that occur very often meet in twos, which deals them over many buckets. A line
+with many partners under one key asks its nearest first, and lines that look alike ask the
+earliest of them; only lines that none of those removes ask all the others. So a line that
+a third of all documents hold costs one question each.
 """
 
 from __future__ import annotations
@@ -20,17 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tracewell.llm.shared import batches_of, bucket_count, bucketed_rows, code, decode, pack, packed_schema, rows_of, text_bytes, unpack
-from tracewell.llm.textops import Words, mix, text_slices, tokenize
+from tracewell.llm.shared import batches_of, bucket_count, bucketed_rows, code, decode, pack, packed_schema, rows_of, text_bytes, tree_sum, unpack
+from tracewell.llm.textops import Words, mix, slices, text_slices, tokenize
 
 _U, _I = np.uint64, np.int64
-#: Counters of the rarity sketch (8 bytes each), and of the parts in which they are added up.
-SKETCH, PARTS = 1 << 19, 16
+#: Counters of the rarity sketch (8 bytes each).
+SKETCH = 1 << 20
 FIRST = 1
+#: A word that occurs more often meets only together with a further word of the line.
+HOT = 16_384
+#: Pairs that a task tests at a time.
+PAIRS = 1 << 20
 _NUM, _DEN = 3, 4
 
 
@@ -43,18 +52,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
             texts = batch.column(0).to_pylist()
             for s, e in text_slices(texts):
                 total += np.bincount((tokenize(texts[s:e], True).hashes % _U(SKETCH)).astype(_I), minlength=SKETCH)
-        parts = total.reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([code(p) for p in parts], pa.binary())], names=["part", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([code(total)], pa.binary())], names=["n"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([decode(b, _I) for b in table.column("n").to_pylist()], axis=0)
-        return pa.table({"part": [table.column("part")[0].as_py()], "n": pa.array([code(total)], pa.binary())})
-
-    found = docs.select("text").mapInArrow(count, "part long, n binary").groupBy("part").applyInArrow(add, "part long, n binary").collect()
-    out = np.zeros((PARTS, SKETCH // PARTS), _I)
-    for r in found:
-        out[r.part] = decode(bytes(r.n), _I)
-    return out.ravel()
+    return tree_sum(docs.select("text").mapInArrow(count, "n binary"), decode, code, np.zeros(SKETCH, _I))
 
 
 def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -76,8 +76,11 @@ class _Bitmaps:
         #: All words folded to one, for a first test.
         self.fold = np.bitwise_xor.reduceat(flat, self.start) if len(width) else flat
 
-    def sort(self, order: np.ndarray) -> None:
-        self.width, self.start, self.fold = self.width[order], self.start[order], self.fold[order]
+    def mixed(self) -> np.ndarray:
+        """A hash of each line's bitmap."""
+        number = np.arange(len(self.flat)) - np.repeat(self.start, self.width)
+        parts = mix(self.flat + number.astype(_U))
+        return np.add.reduceat(parts, self.start) if len(self.start) else parts
 
     def may_reach(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.fold[i] ^ self.fold[j]) <= most
@@ -104,18 +107,30 @@ class _Bitmaps:
         return out
 
 
+def _line_order(line: np.ndarray, level: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order of words by line, then rarity level, then hash: one sort where all three fit 64 bits."""
+    if len(line) and line[-1] < 1 << 20:
+        key = line.astype(_U) << _U(44) | level.astype(_U) << _U(36) | h >> _U(28)
+        order = np.argsort(key)
+        key, ordered = key[order], h[order]
+        if not ((key[1:] == key[:-1]) & (ordered[1:] != ordered[:-1])).any():
+            return order
+    return np.lexsort((h, level, line))
+
+
 class _Lines:
-    """Sorted distinct word hashes of each line of some texts."""
+    """Distinct word hashes of each line of some texts, by rarity level and hash."""
 
-    def __init__(self, texts: list[str | None], counts: np.ndarray | None = None):
+    def __init__(self, texts: list[str | None], levels: np.ndarray | None = None):
         text: Words = tokenize(texts, True)
         breaks = np.flatnonzero(np.frombuffer(text.raw, np.uint8) == 10)
         line = np.searchsorted(breaks, text.starts)
-        rank = counts[(text.hashes % _U(SKETCH)).astype(_I)] if counts is not None else np.zeros(len(line), _I)
-        order = np.lexsort((text.hashes, rank, line)) if counts is not None else np.lexsort((text.hashes, line))
+        level = levels[(text.hashes % _U(SKETCH)).astype(_I)] if levels is not None else np.zeros(len(line), np.uint8)
+        order = _line_order(line, level, text.hashes)
         line, h = line[order], text.hashes[order]
         new = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])][: len(line)]
         line, self.h = line[new], h[new]
+        self.level = level[order][new]
         self.start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
         self.size = np.diff(np.r_[self.start, len(line)])
         lines_of = np.array([(t or "").count("\n") + 1 for t in texts], _I)
@@ -124,224 +139,327 @@ class _Lines:
         self.text = np.searchsorted(first, self.line, side="right") - 1
         self.no = (self.line - first[self.text]).astype(np.int32)
 
-    def set_of(self, i: int) -> np.ndarray:
-        return self.h[self.start[i] : self.start[i] + self.size[i]]
+    def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sets of lines i and j are equal."""
+        out = self.size[i] == self.size[j]
+        at = np.flatnonzero(out)
+        x, y = self.h[spread(self.start[i[at]], self.size[i[at]])], self.h[spread(self.start[j[at]], self.size[i[at]])]
+        if len(at):
+            edge = np.cumsum(self.size[i[at]]) - self.size[i[at]]
+            out[at] = np.logical_and.reduceat(x == y, edge)
+        return out
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Rarity in 256 levels, an eighth of a doubling each."""
+    return np.minimum(255, 8 * np.log2(counts + 1)).astype(np.uint8)
 
-def _similar(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= need(np.int64(len(x)), np.int64(len(y)))
 
+def most_words(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words of the largest partner of an n-word line whose first shared word stands at ``at``: n - at words reach the overlap."""
+    return (_NUM + _DEN) * (n - at) // _NUM - n
 
-def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
+
+def line_keys(lines: _Lines, asks: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key) under which the asking lines meet.
+
+    Similar lines share their first common word in both prefixes. Under a word of the hot levels they share the
+    next common word too (any two similar lines of two words or more have two in common), so the key holds both,
+    and the place is the one before the second.
+    """
+    of = np.repeat(np.arange(len(lines.start)), lines.size)
+    at = np.arange(len(lines.h)) - lines.start[of]
+    long = lines.size - (-(-_NUM * lines.size // _DEN)) + 1
+    take = np.flatnonzero(asks[of] & (at < long[of]))
+    common = (lines.level[take] >= hot) & (lines.size[of[take]] > 1)
+    two, one = take[common], take[~common]
+    n = np.minimum(long, lines.size - 1)[of[two]] - at[two]
+    first, second = np.repeat(two, n), spread(two + 1, n)
+    keys = np.r_[lines.h[one], mix(lines.h[first] * _U(0x9E3779B97F4A7C15) + lines.h[second])]
+    return np.r_[of[one], of[first]], np.r_[at[one], at[second] - 1], keys
+
+
+def candidate_pairs(x: np.ndarray, n: np.ndarray, at: np.ndarray, doc: np.ndarray, no: np.ndarray, bits: _Bitmaps, wanted: np.ndarray | None = None):
+    """(later, earlier, distance, more) of entries under one key whose lines may be similar, as indexes.
+
+    Without ``wanted``: the FIRST nearest earlier partners of each entry (of equally near ones the earliest, so that a
+    line asks the same one under all its keys); entries that look alike ask only the earliest of them, and nobody asks
+    the others. ``more``: there were other partners. With ``wanted`` (a mask of entries): all earlier partners of those.
+    """
+    most = most_words(n, at)
+    head, members = np.arange(len(x)), np.ones(len(x), _I)
+    parts = []
+    if wanted is None:
+        look = mix(x.astype(_U) << _U(32) ^ mix(n.astype(_U) << _U(32) | at.astype(_U)) ^ bits.mixed())
+        order = np.argsort(look)
+        new = np.r_[True, look[order][1:] != look[order][:-1]][: len(order)]
+        group, size = np.cumsum(new) - 1, np.diff(np.r_[np.flatnonzero(new), len(order)])
+        many = order[size[group] > 1]
+        many = many[np.lexsort((no[many], doc[many], look[many]))]
+        new = np.r_[True, look[many][1:] != look[many][:-1]][: len(many)]
+        first = many[np.flatnonzero(new)][np.cumsum(new) - 1] if len(many) else many
+        head[many] = first
+        members[first] = size[size > 1][np.cumsum(new) - 1] if len(many) else 0
+        others = many[(many != first) & ((doc[many] != doc[first]) | (no[many] != no[first]))]
+        parts.append((others, head[others], np.zeros(len(others), _I), np.ones(len(others), bool)))
+    entry = np.flatnonzero(head == np.arange(len(x)))
+    place = x.astype(_I) << 31 | np.minimum(n, 2**31 - 1)
+    entry = entry[np.argsort(place[entry])]
+    place = place[entry]
+    word = x.astype(_I)[entry] << 31
+    reach = np.searchsorted(place, word | np.maximum(0, most[entry]), side="right")
+    here = np.arange(len(entry))
+    if wanted is None:
+        left, low, high = here, here + 1, reach
+    else:
+        left = np.flatnonzero(wanted[entry])
+        low, high = np.searchsorted(place, word[left] | -(-_NUM * n[entry[left]] // _DEN)), reach[left]
+    size = np.maximum(0, high - low)
+    held = 0
+
+    def nearest(parts):
+        later, earlier, far, more = (np.concatenate(c) for c in zip(*parts))
+        if wanted is not None:
+            return later, earlier, far, more
+        order = np.lexsort((no[earlier], doc[earlier], far, later))
+        later, earlier, far, more = later[order], earlier[order], far[order], more[order]
+        new = np.r_[True, later[1:] != later[:-1]][: len(later)]
+        begin, run = np.flatnonzero(new), np.cumsum(new) - 1
+        more = (np.diff(np.r_[begin, len(later)]) > FIRST)[run] | (np.logical_or.reduceat(more, begin)[run] if len(begin) else more)
+        first = np.arange(len(later)) - begin[run] < FIRST
+        return later[first], earlier[first], far[first], more[first]
+
+    for s, e in slices(size, PAIRS):
+        i, j = np.repeat(left[s:e], size[s:e]), spread(low[s:e], size[s:e])
+        i, j = entry[i], entry[j]
+        good = n[i] <= most[j]
+        i, j = i[good], j[good]
+        if wanted is not None:
+            good = n[j] <= most[i]
+            i, j = i[good], j[good]
+        limit = n[i] + n[j] - 2 * need(n[i], n[j])
+        good = bits.may_reach(i, j, limit)
+        i, j, limit = i[good], j[good], limit[good]
+        far = bits.distance(i, j)
+        first = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (no[i] < no[j]))
+        good = (far <= limit) & (first | (doc[i] != doc[j]) | (no[i] != no[j]))
+        later, earlier, far = np.where(first, j, i)[good], np.where(first, i, j)[good], far[good]
+        if wanted is not None:
+            own = wanted[later]
+            later, earlier, far = later[own], earlier[own], far[own]
+        if len(later):
+            parts.append((later, earlier, far, members[earlier] > 1))
+            held += len(later)
+            if held > PAIRS and wanted is None:
+                parts, held = [nearest(parts)], 0
+    return nearest(parts) if parts else tuple(np.empty(0, t) for t in (_I, _I, _I, bool))
+
+
+def similar_sets(h: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, other: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Whether set i[q] (``h`` from start, sorted) and question q's set (``other`` from begin, width long) are similar."""
+    both = np.zeros(len(i), _I)
+    for s, e in slices(width, PAIRS):
+        # The sets in use, one after the other, are sorted as a whole by number and hash.
+        used, number = np.unique(i[s:e], return_inverse=True)
+        words = h[spread(start[used], size[used])]
+        keys = np.repeat(np.arange(len(used)), size[used]).astype(_U) << _U(40) | words >> _U(24)
+        asked = other[spread(begin[s:e], width[s:e])]
+        want = np.repeat(number, width[s:e]).astype(_U) << _U(40) | asked >> _U(24)
+        at = np.searchsorted(keys, want)
+        hit = np.zeros(len(asked), _I)
+        live = np.flatnonzero(at < len(keys))
+        while len(live := live[keys[at[live]] == want[live]]):
+            hit[live] = words[at[live]] == asked[live]
+            live = live[hit[live] == 0]  # another word with the same key
+            at[live] += 1
+            live = live[at[live] < len(keys)]
+        both[s:e] = np.add.reduceat(hit, np.cumsum(width[s:e]) - width[s:e])
+    return both >= need(size[i], width)
+
+
+def _cut_bitmaps(lines: _Lines, asks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, bitmaps) of the asking lines, by width."""
+    of = np.repeat(np.arange(len(lines.start)), lines.size)
+    mixed = mix(lines.h + _U(9))
+    wide = _width(lines.size)
+    for width in np.unique(wide[asks]).tolist():
+        own = asks & (wide == width)
+        bits = np.zeros((len(lines.start), width), _U)
+        word = np.flatnonzero(own[of])
+        np.bitwise_xor.at(bits, (of[word], ((mixed[word] >> _U(6)) % _U(width)).astype(_I)), _U(1) << (mixed[word] & _U(63)))
+        yield own, bits
+
+
+def _table(parts, *columns) -> pa.Table:
+    parts = list(batches_of(parts))
+    return pa.Table.from_batches(parts) if parts else pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in columns)]).empty_table()
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows of some columns, in order of the first, then the second and so on."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return [c[new] for c in columns]
+
+
+def _sets_of(texts: pa.Table | None, doc: np.ndarray, no: np.ndarray) -> Iterator[tuple[dict[tuple[int, int], list[int]], _Lines]]:
+    """Of wanted lines (doc, no): their sets, and the numbers of the sets of each line (rows may repeat a doc_id)."""
+    if texts is None or not len(doc):
+        return
+    wanted: dict[int, list[int]] = {}
+    for d, k in zip(doc.tolist(), no.tolist()):
+        wanted.setdefault(d, []).append(k)
+    own = texts.column("doc_id").combine_chunks()
+    own = texts.filter(pa.compute.is_in(own, pa.array(list(wanted), pa.int64())))
+    names, found = [], []
+    for d, t in zip(own.column("doc_id").to_pylist(), own.column("text").to_pylist()):
+        cut = (t or "").split("\n")
+        for k in wanted[d]:
+            if k < len(cut):
+                names.append((d, k))
+                found.append(cut[k])
+    for s, e in text_slices(found, 16_000_000):
+        lines = _Lines(found[s:e])
+        at: dict[tuple[int, int], list[int]] = {}
+        for x, line in enumerate(lines.text.tolist()):
+            at.setdefault(names[s + line], []).append(x)
+        yield at, lines
+
+
+def remove_similar_lines(docs: DataFrame, carry: bool = False, hot: int = HOT) -> DataFrame:
     """Remove each line that has Jaccard similarity 3/4 or more to an earlier line of any document.
 
     docs: doc_id, text and any other columns. Returns doc_id, n_lines, n_removed, kept_text (kept lines joined by
-    a line feed), one row per input row, with the other columns of docs if ``carry``. Lines are cut at line feeds; lines without words stay and match nothing.
+    a line feed), one row per input row, with the other columns of docs if ``carry`` (but for columns of docs that
+    are called like one of those four). Lines are cut at line feeds; lines without words stay and match nothing.
     Null text: no lines, null kept_text. Rows with a null doc_id stay whole and remove nothing. Rows that repeat a
-    doc_id count as equally early; equal line numbers of such rows do not remove each other.
+    doc_id count as equally early; equal line numbers of such rows do not remove each other. Words that occur more
+    than ``hot`` times meet in twos; the result is the same for any value.
     """
-    taken = ("doc_id", "text", "bucket", "n_lines", "n_removed", "kept_text")
-    others = [c for c in docs.columns if c.lower() not in taken] if carry else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in others))
+    taken = ("doc_id", "text", "n_lines", "n_removed", "kept_text")
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*others).alias("carried")] if others else []))
+    carried = len(others) > 0
     docs = rows.select("doc_id", "text")
     spark = docs.sparkSession
     words = text_bytes(docs) / 6
     buckets, doc_buckets = bucket_count(words / 4), bucket_count(words / 2)
-    counts = spark.sparkContext.broadcast(word_counts(docs))
+    levels = spark.sparkContext.broadcast(levels_of(word_counts(docs)))
+    hot_level = int(levels_of(np.array([hot]))[0]) + 1
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for s, e in text_slices(all_texts):
                 ids = all_ids[s:e]
-                lines = _Lines([t if i is not None else None for i, t in zip(ids, all_texts[s:e])], counts.value)
+                lines = _Lines([t if i is not None else None for i, t in zip(ids, all_texts[s:e])], levels.value)
                 if not len(lines.start):
                     continue
                 doc = np.array([i or 0 for i in ids], _I)[lines.text]
-                mixed = mix(lines.h + _U(9))
                 # Equal sets of one slice: all but the earliest go at once and ask nothing.
-                same = np.add.reduceat(mixed, lines.start)
+                same = np.add.reduceat(mix(lines.h + _U(9)), lines.start)
                 order = np.lexsort((lines.no, doc, same))
                 new = np.r_[True, same[order][1:] != same[order][:-1]]
-                head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-                asks = np.zeros(len(order), bool)
+                head = np.empty(len(order), _I)
+                head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
                 # Rows that repeat a doc_id: an equal place does not go.
-                asks[order] = new | ((doc[order] == doc[head]) & (lines.no[order] == lines.no[head]))
-                gone = ~asks
+                gone = (doc != doc[head]) | (lines.no != lines.no[head])
+                gone[gone] = lines.equal(np.flatnonzero(gone), head[gone])
                 if gone.any():
-                    yield from batches_of([pack(doc[gone] % doc_buckets, {"x": np.empty((gone.sum(), 0), np.uint32), "bits": np.empty((gone.sum(), 0), _U), "n": np.zeros(gone.sum(), np.int32), "at": np.zeros(gone.sum(), np.int32), "doc": doc[gone], "no": lines.no[gone]})])
-                of = np.repeat(np.arange(len(lines.start)), lines.size)
-                at = np.arange(len(lines.h)) - lines.start[of]
-                long = lines.size - (-(-_NUM * lines.size // _DEN)) + 1
-                wide = _width(lines.size)
-                for width in np.unique(wide[asks]).tolist():
-                    own = np.flatnonzero(asks & (wide == width))
-                    bits = np.zeros((len(lines.start), width), _U)
-                    word = np.flatnonzero((wide[of] == width) & asks[of])
-                    np.bitwise_xor.at(bits, (of[word], ((mixed[word] >> _U(6)) % _U(width)).astype(_I)), _U(1) << (mixed[word] & _U(63)))
-                    take = word[at[word] < long[of[word]]]
-                    h, line = lines.h[take], of[take]
-                    yield from batches_of([pack((h % _U(buckets)).astype(_I), {"x": (h >> _U(32)).astype(np.uint32), "bits": bits[line], "n": lines.size[line].astype(np.int32), "at": at[take].astype(np.int32), "doc": doc[line], "no": lines.no[line]})])
-
-    def pairs_of(table: pa.Table, only: set | None) -> tuple[np.ndarray, ...]:
-        """(later doc, no, earlier doc, no, asks again) of pairs that pass the filters."""
+                    nothing = np.zeros(gone.sum(), np.int32)
+                    yield from batches_of([pack(doc[gone] % doc_buckets, {"x": np.empty((len(nothing), 0), np.uint32), "bits": np.empty((len(nothing), 0), _U), "n": nothing, "at": nothing, "doc": doc[gone], "no": lines.no[gone]})])
+                line, at, key = line_keys(lines, ~gone, hot_level)
+                for own, bits in _cut_bitmaps(lines, ~gone):
+                    take = np.flatnonzero(own[line])
+                    i, h = line[take], key[take]
+                    yield from batches_of([pack((h % _U(buckets)).astype(_I), {"x": (h >> _U(32)).astype(np.uint32), "bits": bits[i], "n": lines.size[i].astype(np.int32), "at": at[take].astype(np.int32), "doc": doc[i], "no": lines.no[i]})])
+
+    def pairs_of(table: pa.Table, only: pa.Table | None) -> tuple[np.ndarray, ...]:
+        """(later doc, no, earlier doc, no, asks again) of the candidate pairs of a bucket."""
         n, doc, no = unpack(table, "n", np.int32).astype(_I), unpack(table, "doc", _I), unpack(table, "no", np.int32)
         real = n > 0  # the others are lines that went already
-        x, at = unpack(table, "x", np.uint32), unpack(table, "at", np.int32)[real].astype(_I)
         n, doc, no = n[real], doc[real], no[real]
-        bits = _Bitmaps(unpack(table, "bits", _U), _width(n))
-        order = np.lexsort((n, x))
-        x, n, at, doc, no = x[order], n[order], at[order], doc[order], no[order]
-        bits.sort(order)
-        wanted, live = None, np.arange(len(x))
+        x, at, bits = unpack(table, "x", np.uint32), unpack(table, "at", np.int32)[real].astype(_I), _Bitmaps(unpack(table, "bits", _U), _width(n))
+        wanted = None
         if only is not None:
-            wanted = np.isin(doc, np.array([d for d, _ in only], _I))
-            wanted[wanted] = [(d, k) in only for d, k in zip(doc[wanted].tolist(), no[wanted].tolist())]
-            live = np.flatnonzero(np.isin(x, np.unique(x[wanted])))  # entries under the words of those lines
-        found: list[tuple[np.ndarray, ...]] = []
-        step = held = 0
-
-        def best(parts):
-            later, earlier, far, many = (np.concatenate(c) for c in zip(*parts))
-            if only is not None:
-                return later, earlier, far, many
-            # Of equally near lines the earliest, so that a line asks the same one under all its words.
-            order = np.lexsort((no[earlier], doc[earlier], far, later))
-            later, earlier, far, many = later[order], earlier[order], far[order], many[order]
-            begin = np.flatnonzero(np.r_[True, later[1:] != later[:-1]][: len(later)])
-            run = np.cumsum(np.r_[True, later[1:] != later[:-1]][: len(later)]) - 1
-            rank = np.arange(len(later)) - begin[run]
-            more = (np.diff(np.r_[begin, len(later)]) > FIRST)[run] | (np.logical_or.reduceat(many, begin)[run] if len(begin) else many)
-            first = rank < FIRST
-            return later[first], earlier[first], far[first], more[first]
-
-        while len(live):
-            step += 1
-            live = live[live + step < len(x)]
-            live = live[(x[live] == x[live + step]) & (_DEN * n[live] >= _NUM * n[live + step])]
-            if not len(live):
-                break
-            i, j = live, live + step
-            least = need(n[i], n[j])
-            good = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 + np.minimum(at[i], at[j]) >= least
-            i, j, most = i[good], j[good], (n[i] + n[j] - 2 * least)[good]
-            good = bits.may_reach(i, j, most)
-            i, j, most = i[good], j[good], most[good]
-            far = bits.distance(i, j)
-            good = far <= most
-            first = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (no[i] < no[j]))
-            good &= first | (doc[i] != doc[j]) | (no[i] != no[j])
-            later, earlier = np.where(first, j, i)[good], np.where(first, i, j)[good]
-            if wanted is not None:
-                own = wanted[later]
-                later, earlier, far = later[own], earlier[own], far[good][own]
-            else:
-                far = far[good]
-            if len(later):
-                found.append((later, earlier, far, np.zeros(len(later), bool)))
-                held += len(later)
-                if held > 1_000_000 and only is None:
-                    found = [best(found)]
-                    held = len(found[0][0])
-        if not found:
-            return tuple(np.empty(0, t) for t in (_I, np.int32, _I, np.int32, bool))
-        later, earlier, _, more = best(found)
+            asked = set(zip(unpack(only, "doc", _I).tolist(), unpack(only, "no", np.int32).tolist()))
+            wanted = np.isin(doc, np.array([d for d, _ in asked], _I))
+            wanted[wanted] = [(d, k) in asked for d, k in zip(doc[wanted].tolist(), no[wanted].tolist())]
+        later, earlier, _, more = candidate_pairs(x, n, at, doc, no, bits, wanted)
         return doc[later], no[later], doc[earlier], no[earlier], more
 
+    def routed(d, k, d2, k2, more):
+        d, k, d2, k2, more = _distinct(d, k, d2, k2, more)
+        return pack(d % doc_buckets, {"doc": d, "no": k, "doc2": d2, "no2": k2, "more": more})
+
     def meet(table: pa.Table) -> pa.Table:
         gone = unpack(table, "n", np.int32) == 0
-        out = []
         bucket = table.column("bucket")[0].as_py()
-        if gone.any():
-            d, k = unpack(table, "doc", _I)[gone], unpack(table, "no", np.int32)[gone]
-            out.append(_routed(d % doc_buckets, d, k, np.full(len(d), -1, _I), np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32)))
+        d, k = unpack(table, "doc", _I)[gone], unpack(table, "no", np.int32)[gone]
+        out = [routed(d, k, np.full(len(d), -1, _I), np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32))]
         d, k, d2, k2, more = pairs_of(table, None)
-        out.append(_routed(d % doc_buckets, d, k, d2, k2, np.where(more, bucket, -1).astype(np.int32)))
-        return _table(out, "doc", "no", "doc2", "no2", "more")
+        return _table([*out, routed(d, k, d2, k2, np.where(more, bucket, -1).astype(np.int32))], "doc", "no", "doc2", "no2", "more")
 
     def meet_again(table: pa.Table, asked: pa.Table) -> pa.Table:
         if not asked.num_rows or not table.num_rows:
             return _table([], "doc", "no", "doc2", "no2", "more")
-        d, k, d2, k2, _ = pairs_of(table, set(zip(unpack(asked, "doc", _I).tolist(), unpack(asked, "no", np.int32).tolist())))
-        return _table([_routed(d % doc_buckets, d, k, d2, k2, np.full(len(d), -1, np.int32))], "doc", "no", "doc2", "no2", "more")
-
-    def _routed(bucket, d, k, d2, k2, more):
-        order = np.lexsort((d2, k, d))
-        return pack(bucket[order], {"doc": d[order], "no": k[order], "doc2": d2[order], "no2": k2[order], "more": more[order]})
-
-    def _table(parts, *columns) -> pa.Table:
-        parts = list(batches_of(parts))
-        return pa.Table.from_batches(parts) if parts else pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in columns)]).empty_table()
-
-    def sets_of(texts: pa.Table, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(doc, line number, set) of the lines of wanted documents."""
-        want = set(wanted.tolist())
-        rows = [(i, t) for i, t in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()) if i in want] if texts is not None else []
-        for s, e in text_slices([t for _, t in rows], 16_000_000):
-            lines = _Lines([t for _, t in rows[s:e]])
-            for x in range(len(lines.start)):
-                yield rows[s + lines.text[x]][0], int(lines.no[x]), lines.set_of(x)
+        d, k, d2, k2, _ = pairs_of(table, asked)
+        return _table([routed(d, k, d2, k2, np.full(len(d), -1, np.int32))], "doc", "no", "doc2", "no2", "more")
 
     def ask(blobs: pa.Table, pairs: pa.Table) -> pa.Table:
         """Send each later line's set to its earlier line's documents."""
-        texts = rows_of(blobs) if pairs.num_rows else None
-        d, k, d2, k2 = unpack(pairs, "doc", _I), unpack(pairs, "no", np.int32), unpack(pairs, "doc2", _I), unpack(pairs, "no2", np.int32)
-        real = d2 != -1
+        d, k, d2, k2 = _distinct(unpack(pairs, "doc", _I), unpack(pairs, "no", np.int32), unpack(pairs, "doc2", _I), unpack(pairs, "no2", np.int32))
+        real = np.flatnonzero(d2 != -1)
         d, k, d2, k2 = d[real], k[real], d2[real], k2[real]
-        asked: dict[tuple[int, int], set] = {}
-        for a, b, c, e in zip(d.tolist(), k.tolist(), d2.tolist(), k2.tolist()):
-            asked.setdefault((a, b), set()).add((c, e))
-        to, who, line, at, words_, size = [], [], [], [], [], []
-        for doc, no, own in sets_of(texts, np.unique(d)):
-            for c, e in sorted(asked.get((doc, no), ())):
-                to.append(c)
-                at.append(e)
-                who.append(doc)
-                line.append(no)
-                size.append(len(own))
-                words_.append(own)
-        if not to:
-            return pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("to", "at", "doc", "no", "size", "set"))]).empty_table()
-        bucket = np.array(to, _I) % doc_buckets
         out = []
-        for b in np.unique(bucket).tolist():
-            own = np.flatnonzero(bucket == b)
-            out.append((b, *(code(np.array([v[i] for i in own], t)) for v, t in ((to, _I), (at, np.int32), (who, _I), (line, np.int32), (size, np.int32))), np.concatenate([words_[i] for i in own]).tobytes()))
-        cols = list(zip(*out))
-        return pa.table({"bucket": pa.array(cols[0], pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in zip(("to", "at", "doc", "no", "size", "set"), cols[1:])}})
+        for at, lines in _sets_of(rows_of(blobs) if len(d) else None, *_distinct(d, k)):
+            asking = [(q, x) for q, name in enumerate(zip(d.tolist(), k.tolist())) for x in at.get(name, ())]
+            q, x = np.array(asking, _I).reshape(-1, 2).T
+            bucket, size = d2[q] % doc_buckets, lines.size[x]
+            order = np.argsort(bucket, kind="stable")
+            q, x, size, bucket = q[order], x[order], size[order], bucket[order]
+            begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+            for s, e in zip(begin.tolist(), np.r_[begin[1:], len(bucket)].tolist()):
+                part = q[s:e]
+                sets = lines.h[spread(lines.start[x[s:e]], size[s:e])].tobytes()
+                coded = [code(v) for v in (d2[part], k2[part], d[part], k[part], size[s:e].astype(np.int32))]
+                out.append(pa.RecordBatch.from_arrays([pa.array([bucket[s]]), *(pa.array([c], pa.binary()) for c in (*coded, sets))], names=["bucket", "to", "at", "doc", "no", "size", "set"]))
+        return _table(out, "to", "at", "doc", "no", "size", "set")
 
     def answer(blobs: pa.Table, asked: pa.Table) -> pa.Table:
-        texts = rows_of(blobs) if asked.num_rows else None
-        to, at, d, k, size = unpack(asked, "to", _I), unpack(asked, "at", np.int32), unpack(asked, "doc", _I), unpack(asked, "no", np.int32), unpack(asked, "size", np.int32)
+        to, at, d, k, size = unpack(asked, "to", _I), unpack(asked, "at", np.int32), unpack(asked, "doc", _I), unpack(asked, "no", np.int32), unpack(asked, "size", np.int32).astype(_I)
         flat = unpack(asked, "set", _U)
-        begin = np.cumsum(np.r_[0, size])
-        here: dict[tuple[int, int], list[int]] = {}
-        for i, key in enumerate(zip(to.tolist(), at.tolist())):
-            here.setdefault(key, []).append(i)
+        begin = np.cumsum(size) - size
         gone = np.zeros(len(to), bool)
-        for doc, no, own in sets_of(texts, np.unique(to)):
-            for i in here.get((doc, no), ()):
-                gone[i] = gone[i] or _similar(flat[begin[i] : begin[i + 1]], own)
-        d, k = d[gone], k[gone]
-        order = np.lexsort((k, d))
-        return _table([pack(d[order] % doc_buckets, {"doc": d[order], "no": k[order]})], "doc", "no")
+        for places, lines in _sets_of(rows_of(blobs) if len(to) else None, *_distinct(to, at)):
+            told = [(q, x) for q, name in enumerate(zip(to.tolist(), at.tolist())) for x in places.get(name, ())]
+            q, x = np.array(told, _I).reshape(-1, 2).T
+            np.logical_or.at(gone, q, similar_sets(lines.h, lines.start, lines.size, x, flat, begin[q], size[q]))
+        d, k = _distinct(d[gone], k[gone])
+        return _table([pack(d % doc_buckets, {"doc": d, "no": k})], "doc", "no")
 
     def again(pairs: pa.Table, gone: pa.Table) -> pa.Table:
         """Lines with more partners than they asked for, and that nothing has removed so far."""
         more = unpack(pairs, "more", np.int32)
-        d, k, b = unpack(pairs, "doc", _I)[more >= 0], unpack(pairs, "no", np.int32)[more >= 0], more[more >= 0]
+        b, d, k = _distinct(more[more >= 0], unpack(pairs, "doc", _I)[more >= 0], unpack(pairs, "no", np.int32)[more >= 0])
         went = set(zip(unpack(gone, "doc", _I).tolist(), unpack(gone, "no", np.int32).tolist()))
-        left = sorted({(x, y, z) for x, y, z in zip(b.tolist(), d.tolist(), k.tolist()) if (y, z) not in went})
-        if not left:
-            return _table([], "doc", "no")
-        b, d, k = (np.array(c) for c in zip(*left))
-        return _table([pack(b.astype(_I), {"doc": d.astype(_I), "no": k.astype(np.int32)})], "doc", "no")
+        left = np.array([name not in went for name in zip(d.tolist(), k.tolist())], bool)
+        return _table([pack(b[left].astype(_I), {"doc": d[left], "no": k[left]})], "doc", "no")
 
     def kept(blobs: pa.Table, gone: pa.Table) -> pa.Table:
         texts = rows_of(blobs)
         if texts is None:
-            return pa.table({c: pa.array([], t) for c, t in out_form.items()})
+            return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out_form]).empty_table()
         went: dict[int, set] = {}
         for x, y in zip(unpack(gone, "doc", _I).tolist(), unpack(gone, "no", np.int32).tolist()):
             went.setdefault(x, set()).add(y)
@@ -352,12 +470,12 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
             n.append(len(lines))
             removed.append(len(bad))
             out.append(t if not bad else "\n".join([x for j, x in enumerate(lines) if j not in bad]))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(out, pa.string()), **{c: texts.column(c) for c in others}})
+        made = {"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(out, pa.string())}
+        return pa.table(made | ({"carried": texts.column("carried")} if carried else {}))
 
     by_doc = bucketed_rows(rows, doc_buckets).groupBy("bucket")
-    kinds = {f.name: f.dataType for f in rows.schema}
-    out_form = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), **{c: to_arrow_type(kinds[c]) for c in others}}
-    entries = docs.mapInArrow(prefixes, packed_schema("x", "bits", "n", "at", "doc", "no")).groupBy("bucket")
+    out_form = StructType([StructField("doc_id", LongType()), StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType()), *(f for f in rows.schema if f.name == "carried")])
+    entries = docs.mapInArrow(entries_of, packed_schema("x", "bits", "n", "at", "doc", "no")).groupBy("bucket")
     pair_form, gone_form = packed_schema("doc", "no", "doc2", "no2", "more"), packed_schema("doc", "no")
     ask_form = packed_schema("to", "at", "doc", "no", "size", "set")
 
@@ -375,7 +493,8 @@ def remove_similar_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
     still = pairs.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(again, gone_form)
     second = resolve(entries.cogroup(still.groupBy("bucket")).applyInArrow(meet_again, pair_form))
     gone = pairs.groupBy("bucket").applyInArrow(settled, gone_form).unionByName(first).unionByName(second)
-    return by_doc.cogroup(gone.groupBy("bucket")).applyInArrow(kept, ", ".join(["doc_id long, n_lines long, n_removed long, kept_text string", *(f"`{c}` {kind}" for c, kind in rows.dtypes if c in others)]))
+    out = by_doc.cogroup(gone.groupBy("bucket")).applyInArrow(kept, out_form)
+    return out.select("doc_id", "n_lines", "n_removed", "kept_text", *(["carried.*"] if others else []))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

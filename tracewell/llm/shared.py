@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,27 @@ def bucket_count(entries: float, least: int = 12) -> int:
     return max(least, int(np.ceil(entries / BUCKET_ENTRIES)))
 
 
+def tree_sum(parts: DataFrame, read: Callable, write: Callable, zero: np.ndarray, fan: int = 16) -> np.ndarray:
+    """Sum of the arrays that the rows of a one-column table hold, each task's rows at once.
+
+    Tasks add up the arrays of ``fan`` others until so few are left that the driver adds them, whatever their number.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total = read(raw, zero.dtype) if total is None else total + read(raw, zero.dtype)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([write(total)], pa.binary())], names=[name])
+
+    name, tasks = parts.columns[0], parts.rdd.getNumPartitions()
+    while tasks > fan:
+        tasks = -(-tasks // fan)
+        parts = parts.repartition(tasks).mapInArrow(add, f"{name} binary")
+    return sum((read(bytes(r[0]), zero.dtype).reshape(zero.shape) for r in parts.collect()), zero)
+
+
 _packer, _unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
