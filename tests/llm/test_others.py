@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from urllib.parse import urljoin
@@ -9,7 +10,7 @@ import pytest
 from tests.llm import helpers as H
 from tests.parity import SF, connect, same
 from tracewell.llm import queries as Q
-from tracewell.llm.decontaminate import lcs_length, mark_leaks
+from tracewell.llm.decontaminate import DIMS, _answered, fit_space, item_parts, lcs_length, mark_leaks, with_leaks
 from tracewell.llm.packing import WordTokenizer, cut, default_tokenizer, pack_documents
 from tracewell.llm.pii import bootstrap, find_personal_data
 from tracewell.llm.quality import score_quality
@@ -246,11 +247,66 @@ def test_leaks(spark):
     rows += [(100, None), (101, ""), (102, items[1][1]), (102, items[1][1]), (None, items[1][1])]
     bench = spark.createDataFrame([*items, (77, None), (78, ""), (None, "x")], "item_id long, text string")
     got = {r.doc_id: r for r in mark_leaks(H.docs(spark, rows, extra=True), bench).collect()}
-    assert {i: list(r["items"]) for i, r in got.items() if r.contaminated} == {7: [0], 9: [3], 102: [1]}
+    assert {i: list(r["items"]) for i, r in got.items() if r.contaminated} == {7: [0], 9: [3], 102: [1], None: [1]}
     assert mark_leaks(H.docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
     assert mark_leaks(H.docs(spark, []), bench).count() == 0
 
 
+def test_leaks_against_brute_force(spark):
+    """Recall over all windows of twice an item's words, with long items, short ones and a very long text."""
+    r = random.Random(8)
+    items = [(k, H.prose(n, 900 + k, 3000)) for k, n in enumerate([5, 8, 12, 16, 20, 31, 33, 47, 64, 64, 65, 80, 130, 40, 25, 18])]
+    rows = [(i, H.prose(r.randrange(1, 400), i, 3000)) for i in range(300)] + [(900, H.prose(60_000, 77, 3000))]
+    for i in range(0, 300, 3):
+        k = r.randrange(len(items))
+        w = [x if r.random() > 0.02 * (i % 20) else "other" for x in items[k][1].split()]
+        at = r.randrange(100)
+        rows[i] = (i, " ".join(rows[i][1].split()[:at] + w + rows[i][1].split()[at:]))
+    rows[-1] = (900, rows[-1][1][:200_000] + " " + items[9][1] + " " + rows[-1][1][200_000:])
+
+    def holds(text, item):
+        for s in range(0, max(1, len(item)), 64):
+            part = item[max(0, len(item) - 64) if s and len(item) - s < 64 else s :][:64]
+            if not {*part} & {*text} or sum(w in set(text) for w in part) < 0.5 * len(part):
+                continue
+            for a in range(0, max(1, len(text) - len(part)), max(1, len(part) // 4)):
+                near = text[a : a + 2 * len(part)]
+                share = lcs_length(near, part) / len(part)
+                if share >= 0.7 or share >= 0.5 and _answered(near, part):
+                    return True
+        return False
+
+    want = {(i, k) for i, t in rows for k, x in items if holds(t.split(), x.split())}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, k) for x in mark_leaks(H.docs(spark, rows), bench).collect() for k in x["items"]}
+    assert len(got & want) >= 0.95 * len(want) and (900, 9) in got
+    for i, k in got - want:  # wider windows than those of the brute force may hold a little more
+        assert lcs_length(dict(rows)[i].split(), dict(items)[k].split()[:64]) >= 3
+
+
+def test_paraphrase_by_words_that_keep_company(spark):
+    """Words of a passage that the item does not have count where the corpus uses them as the item's own."""
+    r = random.Random(1)
+    pairs = [(f"left{i}", f"right{i}") for i in range(20)]
+    rows = [(100 + i, " ".join(x for p in r.sample(pairs, 4) for x in p) + " " + H.prose(16, i, 5000)) for i in range(1500)]
+    item = " ".join(a for a, _ in pairs)
+    # Half of the words are the item's, the answer among them.
+    para = " ".join(a if i % 2 == 0 or i >= 16 else b for i, (a, b) in enumerate(pairs))
+    docs, bench = H.docs(spark, [*rows, (1000, para)]), spark.createDataFrame([(1, item)], "item_id long, text string")
+    parts = item_parts(bench)
+    space = fit_space(docs.select("text"), [h for _, h in parts], 32)
+
+    def cosine(axes):
+        place = lambda t: axes[[int(x) % DIMS for x in tokenize([t]).hashes]].sum(0)
+        x, y = place(para), place(item)
+        return x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+
+    lexical = sum(a in para.split() for a, _ in pairs) / len(pairs)
+    assert cosine(space.axes) > lexical + 0.2
+    got = {x.doc_id: x["items"] for x in with_leaks(docs, bench, 32, cover=0.8).selectExpr("doc_id", "transform(leaks, x -> x.item_id) as items").collect()}
+    assert got[1000] == [1]
+
+
 def test_leaks_among_common_words(spark):
     """Words outside the items must not hide a paraphrase, however many there are."""
     items = [(k, H.prose(40, 5000 + k, 150)) for k in range(5)]

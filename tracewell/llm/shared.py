@@ -57,7 +57,7 @@ def bucket_count(entries: float, least: int = 12) -> int:
 def tree_sum(parts: DataFrame, read: Callable, write: Callable, zero: np.ndarray, fan: int = 16) -> np.ndarray:
     """Sum of the arrays that the rows of a one-column table hold, each task's rows at once.
 
-    Tasks add up the arrays of ``fan`` others until so few are left that the driver adds them, whatever their number.
+    Tasks add up the arrays of ``fan`` others until one is left, which alone reaches the driver.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +69,11 @@ def tree_sum(parts: DataFrame, read: Callable, write: Callable, zero: np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([write(total)], pa.binary())], names=[name])
 
     name, tasks = parts.columns[0], parts.rdd.getNumPartitions()
-    while tasks > fan:
+    while tasks > 1:
         tasks = -(-tasks // fan)
         parts = parts.repartition(tasks).mapInArrow(add, f"{name} binary")
-    return sum((read(bytes(r[0]), zero.dtype).reshape(zero.shape) for r in parts.collect()), zero)
+    found = parts.collect()
+    return read(bytes(found[0][0]), zero.dtype).reshape(zero.shape) if found else zero
 
 
 _packer, _unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
