@@ -10,12 +10,13 @@ import pytest
 from tests.llm import helpers as H
 from tests.parity import SF, connect, same
 from tracewell.llm import queries as Q
+from tracewell.llm import topk_search
 from tracewell.llm.decontaminate import DIMS, _answered, fit_space, item_parts, lcs_length, mark_leaks, with_leaks
 from tracewell.llm.packing import WordTokenizer, cut, default_tokenizer, pack_documents
 from tracewell.llm.pii import bootstrap, find_personal_data
 from tracewell.llm.quality import score_quality
 from tracewell.llm.textops import distinct_words, tokenize
-from tracewell.llm.topk_search import top_k
+from tracewell.llm.topk_search import _lists, collect_and_resolve, top_k
 from tracewell.llm.url_filter import filter_urls, links_of
 from tracewell.llm.wrappers import align, extract_main_text, flatten, main_text
 
@@ -44,6 +45,34 @@ def test_topk_against_brute_force(spark):
         assert [got[(i, k + 1)] for k in range(4)] == [(j, -s) for s, j in best]
 
 
+def test_topk_resolves_few_pairs():
+    """Nearly all pairs go by the cutoff alone; the rest equal brute force."""
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.normal(size=(2000, 64)))
+    q = x[:40]
+    score = (q @ x.T).astype(np.int64)
+    allowed = np.arange(40)[:, None] != np.arange(2000)[None, :]
+    cutoff = np.sort(np.where(allowed, score, -(2**62)), axis=1)[:, -5]
+    at, col, got, looked = collect_and_resolve(q, x, _lists(64, 4), cutoff, allowed)
+    want = np.nonzero(allowed & (score >= cutoff[:, None]))
+    assert set(zip(at.tolist(), col.tolist(), got.tolist())) == set(zip(want[0].tolist(), want[1].tolist(), score[want].tolist()))
+    assert looked < 0.4 * score.size
+    everything = collect_and_resolve(q, x[:3], _lists(64, 4), np.full(40, np.iinfo(np.int64).min), allowed[:, :3])
+    assert len(everything[0]) == allowed[:, :3].sum()
+
+
+def test_topk_groups_and_other_columns(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist(), "e", 1, "d") for i, v in enumerate(x)], "vec_id long, v array<double>, embedding string, dim int, data string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(topk_search, "ROW_BLOCK", 16), m.setattr(topk_search, "QUERY_BLOCK", 8), m.setattr(topk_search, "GROUP_ROWS", 3), m.setattr(topk_search, "GROUP_QUERIES", 2)
+        got = {(r.query_id, r.rank): r.vec_id for r in top_k(df, df.where("vec_id % 3 = 0").select("vec_id"), 2, vec="v").collect()}
+    y = np.floor(256 * x).astype(np.int64)
+    want = {(i, k + 1): sorted((-(y[i] @ y[j]), j) for j in range(300) if j != i)[k][1] for i in range(0, 300, 3) for k in range(2)}
+    assert got == want
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
