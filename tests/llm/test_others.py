@@ -18,7 +18,7 @@ from tracewell.llm.quality import score_quality
 from tracewell.llm.textops import distinct_words, tokenize
 from tracewell.llm.topk_search import _lists, collect_and_resolve, top_k
 from tracewell.llm.url_filter import filter_urls, links_of
-from tracewell.llm.wrappers import align, extract_main_text, flatten, main_text
+from tracewell.llm.wrappers import align, extract_main_text, flatten, infer, main_text, match
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
@@ -153,7 +153,7 @@ def test_main_text():
     page = PAGE.replace("{nav}", "<li><a href=x>m</a></li>").replace("{body}", "<p><b>One &amp;\n two<br><p>Three<!-- <p>no --></p><script>var t='</p>';</script><p> </p><ul><li>a<li>b</ul>")
     assert main_text(page) == "Head\n\nOne & two\n\nThree\n\na\n\nb"
     assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == ""
-    assert main_text("<div>shared</div><div>own</div>", frozenset(["shared"])) == "own"
+    assert main_text("<div>shared</div><div>own</div>", infer(["<div>shared</div><div>a</div>", "<div>shared</div><div>b</div>"])) == "own"
     assert main_text("a < b <") == "a < b <"
     assert main_text("<p>" + "x " * 100_000) == ("x " * 100_000).strip()
 
@@ -177,6 +177,58 @@ def test_pages(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def site(r, k):
+    """(html, main text) of a page whose boilerplate no name gives away; long frames, repeated and optional parts."""
+    paras = [" ".join(f"p{r.randrange(900)}" for _ in range(r.randrange(3, 30))) for _ in range(r.randrange(1, 12))]
+    rail = "".join(f"<div class=c1><span>Box {i}</span></div>" for i in range(300))
+    extra = f"<div class=c5>Only {k}</div>" if k % 3 == 0 else ""
+    body = "".join(f"<div class=c2>{p}</div>" for p in paras)
+    html = f"<html><body><div class=c0>Site name</div>{rail}<div class=c3>{extra}{body}</div><div class=c4>All rights</div><div class=c4>Since 1999</div></body></html>"
+    return html, "\n\n".join(([f"Only {k}"] if extra else []) + paras)
+
+
+@pytest.mark.parametrize("bound", [16_000_000, 0])
+def test_wrappers_decide(spark, bound):
+    """Frames over 600 tokens long, two templates of one host; without wrappers the frame stays in."""
+    r = random.Random(5)
+    made = [site(r, k) for k in range(25)]
+    rows = [(k, f"http://s.org/{k}", h) for k, (h, _) in enumerate(made)]
+    other = [(100 + k, f"http://s.org/o{k}", f"<html><body><p class=x>Hello</p><table><tr><td>cell {k}</td></tr></table></body></html>") for k in range(3)]
+    got = {x.page_id: x.text for x in extract_main_text(spark.createDataFrame(rows + other, "page_id long, url string, html string"), broadcast_bytes=bound).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(made)} | {100 + k: f"cell {k}" for k in range(3)}
+    assert all(main_text(h) != t for h, t in made)
+
+
+def test_wrapper_fits_its_pages():
+    """Every page is in the language of the wrapper that it helped to infer: a brute-force matcher consumes it whole."""
+    def ends(items, page, at):
+        found = {at}
+        for item in items:
+            nxt = set()
+            for a in found:
+                if item[0] == "t":
+                    nxt |= {a + 1} if a < len(page) and page[a] == item[1] else set()
+                elif item[0] == "slot":
+                    nxt |= {a} | ({a + 1} if a < len(page) and page[a][0] == "=" else set())
+                else:
+                    nxt.add(a)
+                    more = ends(item[1], page, a) - nxt
+                    while more:
+                        nxt |= more
+                        more = {e for m in more for e in ends(item[1], page, m)} - nxt if item[0] == "rep" else set()
+            found = nxt
+        return found
+
+    r = random.Random(9)
+    for _ in range(40):
+        pages = ["<div>Top</div>" + "".join(f"<p>{r.randrange(9)}</p>" for _ in range(r.randrange(4))) + ("<i>x</i>" if r.random() < 0.5 else "") + f"<b>{r.randrange(3)}</b>" for _ in range(4)]
+        wrapper = infer(pages)
+        for page in pages if wrapper else []:
+            flat = flatten(page)
+            assert len(flat) in ends(wrapper, flat, 0)
+            assert len(match(wrapper, flat)) == sum(t[0] == "=" for t in flat)
+
+
 def test_pages_of_copies(spark):
     """Copies and repeated rows fill no samples and make no frame."""
     page = "<div>Welcome</div><div>own {}</div>"
