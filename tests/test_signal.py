@@ -28,6 +28,67 @@ def test_block_size_does_not_change_results(spark):
     assert np.allclose(m, n)
 
 
+def gappy(spark):
+    """(signal, values with NaN where missing): NULL samples, and a stretch of absent indexes."""
+    x = np.random.default_rng(7).normal(size=700) + 3
+    x[[50, 51, 300]] = np.nan
+    x[400:430] = np.nan
+    rows = [("r", "a", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x) if not 400 <= i < 430]
+    return spark.createDataFrame(rows, "rec string, channel string, sample_idx long, value double"), x
+
+
+def direct(x, w):
+    """Convolution in the time domain, missing samples adding nothing."""
+    y = np.convolve(np.nan_to_num(x), w)[len(w) // 2 : len(w) // 2 + len(x)].astype(complex)
+    y[np.isnan(x)] = np.nan
+    return y
+
+
+@pytest.mark.parametrize("size", [100, 5000])
+def test_missing_samples_and_gaps(spark, size):
+    s, x = gappy(spark)
+    there = np.r_[0:400, 430:700]
+    key = ["rec", "channel"]
+    taps = G.sinc_taps(RATE, 5, 30, 6)
+    want = np.full(len(x), np.nan)
+    ok = ~np.isnan(x)
+    for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(ok)) + 1):
+        if ok[part[0]]:
+            want[part] = np.convolve(np.pad(x[part], len(taps) // 2, "edge"), taps, "valid")
+    got = G.fir_filter(s, key, taps, size).orderBy("sample_idx").toPandas()
+    assert got.sample_idx.tolist() == there.tolist() and np.allclose(got.value, want[there], equal_nan=True)
+    m = G.morlet(s, key, RATE, [8.0, 20.0], [3.0, 5.0], size=size).orderBy("f_pos", "sample_idx").toPandas()
+    want = np.concatenate([direct(x, G.morlet_kernel(f, c, RATE))[there] for f, c in ((8.0, 3.0), (20.0, 5.0))])
+    assert np.allclose(m.re, want.real, equal_nan=True) and np.allclose(m.im, want.imag, equal_nan=True)
+    assert np.allclose(m.power, np.abs(want) ** 2, equal_nan=True)
+    n = max(3, int(round(6 / 16 * RATE)) | 1)
+    t = (np.arange(n) - n // 2) / RATE
+    want = np.mean([np.abs(direct(x, h * np.exp(32j * np.pi * t))) ** 2 for h in G.dpss(n, 2.0, 3)], axis=0)[there]
+    p = G.multitaper(s, key, RATE, [16.0], [6.0], size=size).orderBy("sample_idx").toPandas()
+    assert np.allclose(p.power, want, equal_nan=True)
+    t = np.arange(-64, 65) / RATE
+    band = 2 * 4 / RATE * np.sinc(4 * t) * np.hamming(129) * np.exp(20j * np.pi * t)
+    e = G.envelope(s, key, RATE, [("alpha", 8, 12)], size, 0.5).orderBy("sample_idx").toPandas()
+    assert np.allclose(e.value, np.abs(direct(x, band))[there], equal_nan=True)
+
+
+def test_bursts_of_any_block_size(spark):
+    s, _ = gappy(spark)
+    masks = []
+    for size in (128, 5000):
+        env = G.envelope(s, ["rec", "channel"], RATE, [("alpha", 8, 12), ("alpha", 14, 16)], size)
+        m = G.burst_mask(env, G.thresholds(env, ["rec", "channel", "band"], 75), ["rec", "channel", "band"], {"alpha": 10.0}, RATE, 1)
+        masks.append([r.burst for r in m.orderBy("sample_idx").collect()])
+    assert masks[0] == masks[1] and any(masks[0])
+
+
+def test_grid_match_is_one_to_one(spark):
+    grid = lambda *f: spark.createDataFrame([(x,) for x in f], "freq double")
+    got = X.match_grid(grid(1.0, 2.0, 2.0, 3.04), grid(0.96, 1.05, 2.0, 3.0, 9.0), 0.1).collect()
+    assert sorted((r.target, r.source) for r in got) == [(0.96, 1.0), (2.0, 2.0), (3.0, 3.04)]
+    assert sorted(r.freq for r in X.grid_difference(grid(0.96, 1.05, 9.0), grid(1.0), 0.1).collect()) == [1.05, 9.0]
+
+
 def test_sine_peaks_at_its_frequency(spark):
     s = signal(spark, a=np.sin(2 * np.pi * 16 * T))
     w = G.welch(s, ["rec", "channel"], RATE, 128).toPandas()

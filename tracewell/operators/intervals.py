@@ -74,6 +74,13 @@ def reduce_and(conditions: list[Column]) -> Column:
     return out
 
 
+def reduce_or(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def drop_overlapping(df: DataFrame, drops: DataFrame, keys: Keys) -> DataFrame:
     """Intervals that touch no drop interval; both ends are closed, and points count."""
     a, b = df.alias("a"), drops.alias("b")
@@ -88,7 +95,8 @@ def keep_within(df: DataFrame, union: DataFrame, keys: Keys, split: bool = True)
     extra = [c for c in df.columns if c not in (*keys, "start", "end")]
     numbered = df.withColumn("_id", F.monotonically_increasing_id())
     u = union.select(*keys, F.col("start").alias("_us"), F.col("end").alias("_ue"))
-    met = numbered.join(u, list(keys)).where((F.col("start") <= F.col("_ue")) & (F.col("end") >= F.col("_us")))
+    on = reduce_and([numbered[k].eqNullSafe(u[k]) for k in keys])
+    met = numbered.join(u, on & (numbered["start"] <= u["_ue"]) & (numbered["end"] >= u["_us"])).select(*(numbered[c] for c in numbered.columns), "_us", "_ue")
     cut = met.withColumns({"_s": F.greatest("start", "_us"), "_e": F.least("end", "_ue")})
     cut = cut.where((F.col("_e") > F.col("_s")) | (F.col("start") == F.col("end")))
     covered = (F.col("_s") == F.col("start")) & (F.col("_e") == F.col("end"))
@@ -176,7 +184,8 @@ def remove_and_close(samples: DataFrame, bad: DataFrame, keys: Keys, idx: str =
     spans = shifts.select(*keys, F.col("end").alias("from"), F.coalesce(F.lead("start").over(w), F.lit(2**62)).alias("to"), "removed")
     lead = merged.groupBy(*keys).agg(F.min("start").alias("to")).select(*keys, F.lit(-(2**62)).alias("from"), "to", F.lit(0).cast("long").alias("removed"))
     good = spans.select(*keys, "from", "to", F.col("removed").cast("long").alias("removed")).unionByName(lead)
-    touched = samples.join(merged.select(*keys).distinct(), list(keys), "left_anti").withColumn("new_idx", F.col(idx))
+    known = merged.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
+    touched = samples.join(known, reduce_and([samples[k].eqNullSafe(known[f"_k{i}"]) for i, k in enumerate(keys)]), "left_anti").withColumn("new_idx", F.col(idx))
     s, g = samples.alias("s"), good.alias("g")
     on = reduce_and([F.col(f"s.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
     moved = s.join(g, on & (F.col(f"s.{idx}") >= F.col("g.from")) & (F.col(f"s.{idx}") < F.col("g.to"))).select("s.*", (F.col(f"s.{idx}") - F.col("g.removed")).alias("new_idx"))
@@ -190,8 +199,8 @@ def compress_annotations(annotations: DataFrame, bad: DataFrame, keys: Keys) ->
     on = reduce_and([numbered[k].eqNullSafe(merged[k]) for k in keys])
     met = numbered.join(merged, on & (merged["_bs"] < numbered["end"]), "left")
     taken = lambda at: F.coalesce(F.sum(F.greatest(F.lit(0), F.least(numbered[at], F.col("_be")) - F.col("_bs"))), F.lit(0))
-    lost = met.groupBy(numbered["_id"]).agg(taken("start").alias("_ls"), taken("end").alias("_le"))
-    out = numbered.join(lost, "_id")
+    own = [F.first(numbered[c]).alias(c) for c in annotations.columns]
+    out = met.groupBy(numbered["_id"]).agg(*own, taken("start").alias("_ls"), taken("end").alias("_le"))
     return out.withColumns({"start": F.col("start") - F.col("_ls"), "end": F.col("end") - F.col("_le")}).drop("_id", "_ls", "_le")
 
 

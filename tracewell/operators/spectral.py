@@ -25,13 +25,19 @@ def blocks(signal: DataFrame, keys: Sequence[str], size: int, halo: int, idx: st
 
 
 def _per_block(signal: DataFrame, keys: Sequence[str], size: int, halo: int, fn, out: str, idx: str = "sample_idx") -> DataFrame:
-    """fn(values, core mask, first index) -> DataFrame of new columns, for each key and block."""
+    """fn(values, core mask, first index) -> DataFrame of new columns, for each key and block.
+
+    fn sees a whole stretch of indexes: values that are NULL, and those of indexes that are absent, are NaN.
+    """
     kept = blocks(signal.select(*keys, idx, "value"), keys, size, halo, idx)
     kinds = dict(signal.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        got = fn(pdf["value"].to_numpy(float), pdf["core"].to_numpy(bool), pdf[idx].to_numpy())
+        at = pdf[idx].to_numpy()
+        first, place = at.min(), at - at.min()
+        x, core = np.full(place.max() + 1, np.nan), np.zeros(place.max() + 1, bool)
+        x[place], core[place] = pdf["value"].to_numpy(float), pdf["core"].to_numpy(bool)
+        got = fn(x, core, first + np.arange(len(x)))
         for i, k in enumerate(keys):
             got.insert(i, k, pdf[k].iloc[0])
         return got
@@ -60,11 +66,17 @@ def sinc_taps(rate: float, low: float | None, high: float | None, width: float =
 
 
 def fir_filter(signal: DataFrame, keys: Sequence[str], taps: np.ndarray, size: int = 65536, idx: str = "sample_idx") -> DataFrame:
-    """Zero-phase filtering by symmetric taps, edges held: keys, idx, value."""
+    """Zero-phase filtering by symmetric taps: keys, idx, value.
+
+    Each stretch without missing samples is filtered by itself, its ends held; a NULL sample stays NULL.
+    """
     half = len(taps) // 2
 
     def run(x, core, at):
-        y = np.convolve(np.pad(x, half, "edge"), taps, "valid")
+        y = np.full(len(x), np.nan)
+        edge = np.flatnonzero(np.diff(np.r_[False, ~np.isnan(x), False].astype(np.int8)))
+        for s, e in zip(edge[::2], edge[1::2]):
+            y[s:e] = np.convolve(np.pad(x[s:e], half, "edge"), taps, "valid")
         return pd.DataFrame({idx: at[core], "value": y[core]})
 
     return _per_block(signal, keys, size, half, run, f"{idx} long, value double", idx)
@@ -105,9 +117,11 @@ def morlet_kernel(f: float, cycles: float, rate: float) -> np.ndarray:
 
 
 def _convolve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Missing samples add nothing, and their own results are missing; mask_by_radius takes out what lies near them."""
     n = 1 << (len(x) + len(w) - 1).bit_length()
-    y = np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(w, n))
-    return y[len(w) // 2 : len(w) // 2 + len(x)]
+    y = np.fft.ifft(np.fft.fft(np.nan_to_num(x), n) * np.fft.fft(w, n))[len(w) // 2 : len(w) // 2 + len(x)]
+    y[np.isnan(x)] = np.nan
+    return y
 
 
 def morlet(signal: DataFrame, keys: Sequence[str], rate: float, freqs: Sequence[float], cycles: Sequence[float], hop: int = 1, size: int = 65536, idx: str = "sample_idx") -> DataFrame:
@@ -160,20 +174,23 @@ def average_epochs(tensor: DataFrame, keys: Sequence[str]) -> DataFrame:
 def envelope(signal: DataFrame, keys: Sequence[str], rate: float, bands: Sequence[tuple[str, float, float]], size: int = 65536, halo_s: float = 2.0, idx: str = "sample_idx") -> DataFrame:
     """Analytic amplitude per band: keys, band, idx, value. Segments of one band join as the root of summed squares.
 
-    Bands are cut out by band-pass taps and the analytic part taken in the frequency domain, per block with a halo.
+    A band is cut out by complex taps, a Hamming-windowed low-pass of half its width shifted to its centre, which pass
+    positive frequencies alone and reach ``halo_s`` to both sides. So blocks of any size give the same result.
     """
     names = list(dict.fromkeys(b[0] for b in bands))
     halo = int(halo_s * rate)
+    t = np.arange(-halo, halo + 1) / rate
+
+    def taps(lo: float, hi: float) -> np.ndarray:
+        low = (hi - lo) / rate * np.sinc((hi - lo) * t) * np.hamming(len(t))
+        return 2 * low * np.exp(1j * math.pi * (lo + hi) * t)
+
+    kernels = {name: [taps(lo, hi) for b, lo, hi in bands if b == name] for name in names}
 
     def run(x, core, at):
-        n = len(x)
-        spec = np.fft.fft(x - x.mean())
-        freq = np.fft.fftfreq(n, 1 / rate)
         out = []
         for name in names:
-            total = np.zeros(n)
-            for _, lo, hi in (b for b in bands if b[0] == name):
-                total += np.abs(np.fft.ifft(np.where((freq >= lo) & (freq <= hi), 2 * spec, 0))) ** 2
+            total = sum(np.abs(_convolve(x, k)) ** 2 for k in kernels[name])
             out.append(pd.DataFrame({"band": name, idx: at[core], "value": np.sqrt(total)[core]}))
         return pd.concat(out)
 

@@ -84,8 +84,11 @@ def _pairs(s: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
 def anova(df: DataFrame, keys: Sequence[str], group: str, value: str = "value") -> DataFrame:
     """One-way analysis of variance per key: k, n, ss_between, ss_within, f. One pass of group sums, then one over groups."""
     g = df.groupBy(*keys, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    # Around the grand mean, so that large means do not cancel.
+    w = Window.partitionBy(*keys)
+    g = g.withColumn("_d", F.col("m") - F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
     total = g.groupBy(*keys) if keys else g.groupBy()
-    out = total.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("ss_within"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), 2) / F.sum("n")).alias("ss_between"))
+    out = total.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("ss_within"), F.sum(F.col("n") * F.col("_d") * F.col("_d")).alias("ss_between"))
     return out.withColumn("f", F.try_divide(F.col("ss_between") / (F.col("k") - 1), F.nullif(F.col("ss_within") / (F.col("n") - F.col("k")), F.lit(0.0))))
 
 

@@ -156,12 +156,18 @@ def savgol_fill(cells: DataFrame, keys: Sequence[str], window: int = 7, order: i
 
 
 def match_grid(source: DataFrame, target: DataFrame, tol: float, freq: str = "freq") -> DataFrame:
-    """Source points for target points within ``tol``, the nearest of each: target, source (bucketed equi join)."""
+    """Pairs of target and source points within ``tol`` that are each other's nearest (ties to the smaller): target, source.
+
+    So no point stands in two pairs, and the pairs keep the order of both grids. A bucketed equi join.
+    """
     width = max(tol, 1e-9) * 2
     s = source.select(F.col(freq).alias("source"), F.floor(F.col(freq) / width).alias("_b"))
     t = target.select(F.col(freq).alias("target"), F.explode(F.array(*(F.floor(F.col(freq) / width) + i for i in (-1, 0, 1)))).alias("_b"))
-    met = t.join(s, "_b").where(F.abs(F.col("source") - F.col("target")) <= tol)
-    return met.groupBy("target").agg(F.min_by("source", F.struct(F.abs(F.col("source") - F.col("target")), "source")).alias("source"))
+    far = F.abs(F.col("source") - F.col("target"))
+    met = t.distinct().join(s.distinct(), "_b").where(far <= tol)
+    met = met.withColumn("_t", F.row_number().over(Window.partitionBy("target").orderBy(far, "source")))
+    met = met.withColumn("_s", F.row_number().over(Window.partitionBy("source").orderBy(far, "target")))
+    return met.where("_t = 1 and _s = 1").select("target", "source")
 
 
 def grid_difference(target: DataFrame, source: DataFrame, tol: float, freq: str = "freq") -> DataFrame:

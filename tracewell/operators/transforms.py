@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.intervals import reduce_and
+
 TRANSFORMS = ("none", "db", "log", "log10", "fisherz", "fisherz_sqrt", "logit", "asinh")
 
 
@@ -65,12 +67,18 @@ def _normal(v: Column, base: Column, sd: Column, mode: str, context: Window | No
 def normalize_by_group(df: DataFrame, keys: Sequence[str], baseline: Column, mode: str, value: str = "value", stat: str = "mean", missing: str = "null") -> DataFrame:
     """Values against their group's baseline rows: mean (difference), ratio, percent or zscore (sd with ddof 0).
 
-    NULL keys are a group. Groups without baseline values: NULL, dropped (``missing="drop"``), or an error.
+    NULL keys are a group. Groups without baseline values: NULL, dropped (``missing="drop"``), or an error. The
+    statistics are an aggregate joined back, so a large group is never sorted or held in one task.
     """
-    w = Window.partitionBy(*keys)
     own = F.when(baseline, F.col(value))
     stats = {"mean": F.avg(own), "median": F.percentile(own, 0.5), "max": F.max(own), "min": F.min(own)}
-    df = df.withColumns({"_base": stats[stat].over(w), "_sd": F.stddev_pop(own).over(w)})
+    base = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(stats[stat].alias("_base"), F.stddev_pop(own).alias("_sd"))
+    on = reduce_and([df[k].eqNullSafe(base[f"_k{i}"]) for i, k in enumerate(keys)])
+    df = df.join(base, on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+    return _against(df, value, mode, missing)
+
+
+def _against(df: DataFrame, value: str, mode: str, missing: str) -> DataFrame:
     if missing == "error":
         df = df.withColumn("_base", F.when(F.col("_base").isNull(), F.raise_error(F.lit("a group has no baseline"))).otherwise(F.col("_base")))
     out = df.withColumn(value, _normal(F.col(value), F.col("_base"), F.col("_sd"), mode, None))
@@ -92,7 +100,10 @@ def normalize_by_span(cells: DataFrame, keys: Sequence[str], ranges: Sequence[tu
             hit = hit | (F.col("_r") >= F.floor(F.lit(lo) / 100 * F.col("_n"))) & (F.col("_r") < F.ceil(F.lit(hi) / 100 * F.col("_n")))
         else:
             hit = hit | (F.col("_r") >= lo) & (F.col("_r") < hi)
-    return normalize_by_group(df, keys, hit, mode, value, stat).drop("_n", "_r")
+    own = F.when(hit, F.col(value))
+    stats = {"mean": F.avg(own), "median": F.percentile(own, 0.5), "max": F.max(own), "min": F.min(own)}
+    df = df.withColumns({"_base": stats[stat].over(w), "_sd": F.stddev_pop(own).over(w)})
+    return _against(df, value, mode, "null").drop("_n", "_r")
 
 
 def zscore(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
