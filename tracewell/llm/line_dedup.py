@@ -39,7 +39,7 @@ FIRST = 1
 #: A word that occurs more often meets only together with a further word of the line.
 HOT = 16_384
 #: Pairs that a task tests at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 _NUM, _DEN = 3, 4
 
 
@@ -328,7 +328,7 @@ def _sets_of(texts: pa.Table | None, doc: np.ndarray, no: np.ndarray) -> Iterato
             if k < len(cut):
                 names.append((d, k))
                 found.append(cut[k])
-    for s, e in text_slices(found, 16_000_000):
+    for s, e in text_slices(found):
         lines = _Lines(found[s:e])
         at: dict[tuple[int, int], list[int]] = {}
         for x, line in enumerate(lines.text.tolist()):

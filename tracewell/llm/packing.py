@@ -30,9 +30,9 @@ from tracewell.llm.textops import distinct_words, text_slices, tokenize
 
 CAPACITY, CUTS, END_ID = 2048, 3, 1
 #: Words whose ids a worker remembers: those met since the last turn, and those of the turn before it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Bytes of text whose words are looked up together.
-SLICE = 8_000_000
+SLICE = 3_000_000
 # The normaliser and the pre-token pattern for which texts may be cut into words.
 _NORMAL = ["NFC", ("Replace", "\\s+", " "), "Lowercase"]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
