@@ -61,7 +61,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; tests/llm holds the stages against brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
