@@ -103,6 +103,23 @@ def test_pii_bootstrap(spark):
     assert spans[9] == ["id:9:25"] and spans[10] == []
 
 
+def test_pii_seeds_of_all_kinds_and_common_words(spark):
+    phones = [(i, f"call line +1 (017) 555-77{i}0 today") for i in range(10, 16)] + [(20, "call line +1 (017) 555 today"), (21, "the +1 (017) 556 x")]
+    mails = [(30 + i, f"write to mailbox: u{i}@d.ee soon") for i in range(6)] + [(40, "write to mailbox: root@local soon")]
+    cards = [(50 + i, f"the {n} is") for i, n in enumerate(["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005000"])] + [(60, "the 12 is"), (61, "the a the b the c is is is the d " * 20)]
+    odd = [(None, "write to mailbox: root@local soon"), (70, None), (71, "")]
+    spans = {r.doc_id: r.spans for r in find_personal_data(H.docs(spark, phones + mails + cards + odd)).collect()}
+    assert spans[40] == spans[None] == ["id:18:28"]
+    assert spans[60] == spans[61] == spans[70] == spans[71] == []
+    assert all(x.split(":")[0] != "id" for i in (*range(10, 16), *range(30, 36), *range(50, 54)) for x in spans[i])
+
+
+def test_pii_positions_of_many_matches(spark):
+    text = "é 1.2.3.4 a@b.cc +49 30 1234567 x 4111111111111111 " * 700
+    (got,) = find_personal_data(H.docs(spark, [(1, text)])).collect()
+    assert got.base == base(text)
+
+
 def test_url_aliases(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [

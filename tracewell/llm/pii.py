@@ -1,12 +1,13 @@
 """Personal data by patterns and bootstrapped contexts (operator 4), DataFrame functions only.
 
-Base: four fixed patterns with checks. Bootstrapping: identifier-like tokens (six digits or
-more) and the word before them form a graph of instances and contexts. Tokens inside base
-spans are the seeds. A context's confidence is the mean confidence of its instances; contexts
-with enough seed support pass it on, and an instance outside the base takes the noisy-or
-of its contexts. After a few rounds, confident instances outside the base become spans of
-kind ``id``. Each round is two aggregations over (context, instance) counts, so a common
-context moves as partial sums.
+Base: four fixed patterns with checks. Bootstrapping: every base span is a seed; candidates are
+runs of tokens with a digit or ``@`` whose shape (runs of digits and of name characters folded) some
+seeds have, of any length. Instances and their contexts, the word before and the word after,
+form a graph. A context's confidence is the confidence of its instances over all occurrences
+of its word in the corpus, so that common words tell nothing; contexts with enough seeds pass
+it on, and a candidate takes the noisy-or of its contexts. After a few rounds, confident
+candidates become spans of kind ``id``. Each round is two aggregations over (context, instance)
+counts, so a common context moves as partial sums.
 
 Positions are code points. Spark has no function for all match positions; a match starts where
 the pieces that ``split`` leaves before it and the matches before it end. The patterns hold
@@ -32,9 +33,12 @@ KINDS = tuple(PATTERNS)
 #: What a text must contain for a pattern to be tried.
 _SIGN = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Tokens with a digit, one match per token.
-_TOKEN = rf"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+"
-DIGITS, ROUNDS, SUPPORT, CONTEXT, INSTANCE = 6, 3, 3, 0.6, 0.8
+#: Tokens with a digit or @ and the numbers that follow them, one match per run.
+_TOKEN = rf"(?<![^{_WS}])[^{_WS}0-9@]*+[0-9@][^{_WS}]*+(?:\x20[(]?[0-9][0-9().-]*+(?=[{_WS}.,;:!?]|$))*+"
+ROUNDS, SUPPORT, CONTEXT, INSTANCE = 3, 3, 0.6, 0.8
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Prefix sums are taken over blocks of so many matches.
+_BLOCK = 512
 
 
 def _digits(x: Column) -> Column:
@@ -57,14 +61,43 @@ def _indexes(matches: str, good) -> Column:
     return F.filter(F.transform(matches, lambda x, i: F.when(good(x), i)), lambda i: i.isNotNull())
 
 
-def _total(lengths: Column, upto: Column) -> Column:
-    return F.aggregate(F.slice(lengths, F.lit(1), upto), F.lit(0), lambda a, b: a + b)
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, b: a + b)
 
 
-def _starts(which: Column, gaps: Column, sizes: Column) -> Column:
-    """(start, end) of the matches whose indexes are in ``which``."""
-    start = lambda i: _total(gaps, i + 1) + _total(sizes, i)
-    return F.transform(which, lambda i: F.struct(start(i).alias("s"), (start(i) + F.element_at(sizes, i + 1)).alias("e")))
+def _steps(pieces: str, matches: str) -> Column:
+    """Code points of each piece and the match after it."""
+    return F.zip_with(F.transform(pieces, F.length), F.transform(matches, F.length), lambda g, n: F.coalesce(g, F.lit(0)) + F.coalesce(n, F.lit(0)))
+
+
+def _blocks(steps: str) -> Column:
+    """Sum of each whole block of ``steps``."""
+    whole = F.floor(F.size(steps) / _BLOCK).cast("int")
+    return F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda b: _sum(F.slice(steps, b * _BLOCK + 1, _BLOCK)))).otherwise(F.array().cast("array<int>"))
+
+
+def _end(kind: str, i: Column) -> Column:
+    """End of match i: whole blocks before it, then the steps of its own block."""
+    b = F.floor((i + 1) / _BLOCK).cast("int")
+    return _sum(F.slice(f"b_{kind}", F.lit(1), b)) + _sum(F.slice(f"g_{kind}", b * _BLOCK + 1, i + 1 - b * _BLOCK))
+
+
+def context_word(x: Column) -> Column:
+    """Letters and a few signs of a word, A-Z lower-cased: the form in which words are contexts and are counted."""
+    return F.regexp_replace(F.translate(x, _UPPER, _LOWER), rf"[^\p{{L}}=:#{_WS}]+", "")
+
+
+def _contexts(before: Column, after: Column) -> Column:
+    """Last word of the piece before and first word of the piece after, marked by side; empty ones are left out."""
+    plain = lambda x: F.translate(x, "\t\n\x0b\x0c\r", "     ")
+    left = context_word(F.substring_index(F.rtrim(plain(before)), " ", -1))
+    right = context_word(F.substring_index(F.regexp_replace(plain(after), r"^[\x20.,;)\]]++", ""), " ", 1))
+    return F.filter(F.array(F.concat(F.lit("<"), left), F.concat(F.lit(">"), right)), lambda c: F.length(c) > 1)
+
+
+def shape(x: Column) -> Column:
+    """A token with each run that holds a letter (dots and the like included) as a and each other run of digits as 9."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?<![0-9._%+-])[0-9._%+-]*+\p{L}[\p{L}0-9._%+-]*+", "a"), "[0-9]++", "9")
 
 
 def _list(kind: str, spans: Column) -> Column:
@@ -72,42 +105,64 @@ def _list(kind: str, spans: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Adds spans_<kind> (array of s, e) for each kind and tokens (token, s, e, context) to doc_id, text."""
+    """Adds spans_<kind> (array of s, e) for each kind, seeds (token, contexts) and tokens (token, s, e, contexts) to doc_id, text."""
     none = F.array().cast("array<string>")
-    has_digit = F.col("text").rlike("[0-9]")
-    tried = {k: F.when(has_digit & F.contains("text", F.lit(_SIGN[k])) if k != "email" else F.contains("text", F.lit("@")), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, p in PATTERNS.items()}
-    docs = docs.withColumns({f"m_{k}": c for k, c in tried.items()} | {"m_token": F.when(has_digit, F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).otherwise(none)})
-    index = {k: _indexes(f"m_{k}", lambda x, k=k: _passes(k, x)) for k in KINDS}
+    every = PATTERNS | {"token": _TOKEN}
+    has_digit, has_at = F.col("text").rlike("[0-9]"), F.contains("text", F.lit("@"))
+    when = {k: has_digit & F.contains("text", F.lit(_SIGN[k])) for k in KINDS} | {"email": has_at, "token": has_digit | has_at}
+    docs = docs.withColumns({f"m_{k}": F.when(when[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, p in every.items()})
     core = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[^A-Za-z0-9+]++", ""), r"[^A-Za-z0-9]+$", "")
-    index["token"] = _indexes("m_token", lambda x: F.length(_digits(x)) >= DIGITS)
-    docs = docs.withColumns({f"i_{k}": c for k, c in index.items()} | {f"n_{k}": F.transform(f"m_{k}", F.length) for k in (*KINDS, "token")})
-    pieces = {f"p_{k}": F.when(F.size(f"i_{k}") > 0, F.split("text", (PATTERNS | {"token": _TOKEN})[k], -1)).otherwise(none) for k in (*KINDS, "token")}
-    docs = docs.withColumns(pieces)
-    docs = docs.withColumns({f"spans_{k}": _starts(F.col(f"i_{k}"), F.transform(f"p_{k}", F.length), F.col(f"n_{k}")) for k in KINDS} | {"g_token": F.transform("p_token", F.length)})
+    good = {k: lambda x, k=k: _passes(k, x) for k in KINDS} | {"token": lambda x: F.length(core(x)) > 0}
+    docs = docs.withColumns({f"i_{k}": _indexes(f"m_{k}", good[k]) for k in every})
+    docs = docs.withColumns({f"p_{k}": F.when(F.size(f"i_{k}") > 0, F.split("text", p, -1)).otherwise(none) for k, p in every.items()})
+    docs = docs.withColumns({f"g_{k}": _steps(f"p_{k}", f"m_{k}") for k in every})
+    docs = docs.withColumns({f"b_{k}": _blocks(f"g_{k}") for k in every})
+    match = lambda k, i: F.element_at(f"m_{k}", i + 1)
+    around = lambda k, i: _contexts(F.element_at(f"p_{k}", i + 1), F.element_at(f"p_{k}", i + 2)).alias("contexts")
+
+    def span(k: str, i: Column) -> Column:
+        return F.struct((_end(k, i) - F.length(match(k, i))).alias("s"), _end(k, i).alias("e"))
 
     def token(i: Column) -> Column:
-        whole = F.element_at("m_token", i + 1)
-        lead = F.length(whole) - F.length(F.regexp_replace(whole, r"^[^A-Za-z0-9+]++", ""))
-        s = _total(F.col("g_token"), i + 1) + _total(F.col("n_token"), i) + lead
-        before = F.rtrim(F.translate(F.element_at("p_token", i + 1), "\t\n\x0b\x0c\r", "     "))
-        context = F.regexp_replace(F.lower(F.substring_index(before, " ", -1)), r"[^\p{L}=:#]+", "")
-        return F.struct(core(whole).alias("token"), s.alias("s"), (s + F.length(core(whole))).alias("e"), context.alias("context"))
+        whole, end = match("token", i), _end("token", i)
+        s = end - F.length(F.regexp_replace(whole, r"^[^A-Za-z0-9+]++", ""))
+        return F.struct(core(whole).alias("token"), s.alias("s"), (s + F.length(core(whole))).alias("e"), around("token", i))
+
+    def seed(k: str, i: Column) -> Column:
+        return F.struct(match(k, i).alias("token"), around(k, i))
 
-    return docs.withColumn("tokens", F.transform("i_token", token)).select("doc_id", "text", *(f"spans_{k}" for k in KINDS), "tokens")
+    each = lambda k, f: F.transform(f"i_{k}", lambda i: f(k, i))
+    seeds = F.concat(*(each(k, seed) for k in KINDS))
+    spans = {f"spans_{k}": each(k, span) for k in KINDS}
+    return docs.withColumns(spans | {"seeds": seeds, "tokens": F.transform("i_token", token)}).select("doc_id", "text", *spans, "seeds", "tokens")
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Confident instances outside the seeds: (token, score), from (token, context, seed) occurrences."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """Occurrences of every context word in all texts: word, n."""
+    words = docs.select(F.explode(F.split(context_word(F.col("text")), rf"[{_WS}]+")).alias("word"))
+    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, overall: DataFrame | None = None) -> DataFrame:
+    """Confident instances outside the seeds: (token, score), from (token, context, seed) occurrences.
+
+    overall: context, n (occurrences of the context with or without an instance); by default only those given count.
+    """
     edges = keep(occurrences.where("token <> '' and context <> ''").groupBy("token", "context").agg(F.count("*").alias("w"), F.max("seed").alias("seed")), "edges")
-    trust = edges.groupBy("token").agg(F.max("seed").cast("double").alias("trust"), F.max("seed").alias("seed"))
+    seeds = edges.groupBy("token").agg(F.max("seed").alias("seed")).where("seed").select("token", F.lit(1.0).alias("trust"))
+    uses = edges.groupBy("context").agg(F.sum("w").alias("w"))
+    if overall is not None:
+        uses = uses.join(overall, "context", "left").select("context", F.greatest("w", F.coalesce("n", F.lit(0))).alias("w"))
+    uses = keep(uses.withColumnRenamed("w", "uses"), "uses")
+    trust = keep(seeds, "trust")
     for turn in range(rounds):
         known = edges.drop("seed").join(trust, "token")
-        contexts = known.groupBy("context").agg((F.sum("trust") / F.count("*")).alias("conf"), F.sum((F.col("trust") >= INSTANCE).cast("int")).alias("support"))
-        contexts = contexts.where((F.col("support") >= SUPPORT) & (F.col("conf") >= CONTEXT))
+        contexts = known.groupBy("context").agg(F.sum(F.col("trust") * F.col("w")).alias("sure"), F.sum((F.col("trust") >= INSTANCE).cast("int")).alias("support"))
+        contexts = contexts.where(F.col("support") >= SUPPORT).join(uses, "context").select("context", (F.col("sure") / F.col("uses")).alias("conf")).where(F.col("conf") >= CONTEXT)
         # noisy-or: 1 - prod(1 - conf)
-        scored = edges.join(contexts, "context", "left").groupBy("token").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.least(F.coalesce("conf", F.lit(0.0)), F.lit(0.99)))))).alias("told"))
-        trust = keep(scored.select("token", F.when(F.col("seed"), 1.0).otherwise(F.col("told")).alias("trust"), "seed"), f"trust-{turn}")
-    return trust.where(~F.col("seed") & (F.col("trust") >= INSTANCE)).select("token", F.col("trust").alias("score"))
+        told = edges.join(contexts, "context").groupBy("token").agg((1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.99)))))).alias("trust"))
+        trust = keep(seeds.unionByName(told.join(seeds.select("token"), "token", "left_anti")), f"trust-{turn}")
+    return trust.join(seeds.select("token"), "token", "left_anti").where(F.col("trust") >= INSTANCE).select("token", F.col("trust").alias("score"))
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -115,19 +170,25 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     docs: doc_id, text. One row per input row; null and empty texts have no spans. Spans are kind:start:end in
     code points, end exclusive, by kind (email, ip, card, phone, then id) and start. The base does not
-    depend on other rows; discovered ``id`` spans never overlap base spans.
+    depend on other rows; discovered ``id`` spans never overlap base spans. Rows with a null doc_id count like others.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = base_spans(docs)
     base = F.concat(*(F.col(f"spans_{k}") for k in KINDS))
     touches = lambda t: F.exists(base, lambda b: (b.s < t.e) & (b.e > t.s))
-    tokens = F.transform("tokens", lambda t: F.struct(t.token.alias("token"), t.s.alias("s"), t.e.alias("e"), t.context.alias("context"), touches(t).alias("seed")))
-    # Equal rows find equal spans, so doc_id and a hash of the text stand for a row.
-    found = keep(found.select("doc_id", F.xxhash64("text").alias("version"), *(f"spans_{k}" for k in KINDS), tokens.alias("tokens")), "base")
-    seen = found.where(F.size("tokens") > 0).select("doc_id", "version", F.explode("tokens").alias("t")).select("doc_id", "version", "t.*")
-    new = bootstrap(seen.select("token", "context", "seed"), rounds)
-    extra = seen.where(~F.col("seed")).join(new.select("token"), "token").groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans_id"))
-    out = found.drop("tokens").join(extra, ["doc_id", "version"], "left").withColumn("spans_id", F.coalesce("spans_id", F.array().cast("array<struct<s:int,e:int>>")))
+    # Equal texts find equal spans, so a hash of the text, with the id, stands for a row.
+    found = found.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text").alias("version"), *(f"spans_{k}" for k in KINDS), "seeds", F.filter("tokens", lambda t: ~touches(t)).alias("tokens"))
+    found = keep(found, "base")
+    seeds = found.select(F.explode("seeds").alias("t")).select("t.token", "t.contexts", F.lit(True).alias("seed"))
+    shapes = seeds.groupBy(shape(F.col("token")).alias("shape")).agg(F.countDistinct("token").alias("n")).where(F.col("n") >= SUPPORT)
+    seen = found.where(F.size("tokens") > 0).select("key", "version", F.explode("tokens").alias("t")).select("key", "version", "t.*")
+    seen = seen.join(shapes.withColumnRenamed("shape", "_shape"), shape(F.col("token")) == F.col("_shape"), "left_semi")
+    uses = seeds.unionByName(seen.select("token", "contexts", F.lit(False).alias("seed"))).select("token", F.explode("contexts").alias("context"), "seed")
+    words = count_words(docs)
+    overall = words.select(F.explode(F.array(F.concat(F.lit("<"), "word"), F.concat(F.lit(">"), "word"))).alias("context"), "n")
+    new = bootstrap(uses, rounds, overall)
+    extra = seen.join(new.select("token"), "token").groupBy("key", "version").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans_id"))
+    out = found.drop("seeds", "tokens").join(extra, ["key", "version"], "left").withColumn("spans_id", F.coalesce("spans_id", F.array().cast("array<struct<s:int,e:int>>")))
     lists = {k: _list(k, F.col(f"spans_{k}")) for k in (*KINDS, "id")}
     return out.select(
         "doc_id",
