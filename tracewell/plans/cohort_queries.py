@@ -114,6 +114,15 @@ def reref_difference(spark, sf_dir):
     return rounded(P.rereference(x, pairs, ["rec"], "t_pos").select("channel", "t_pos", "value"), "value")
 
 
+@register("reref_difference_all", f"WITH {_CELL} SELECT concat_ws('-', a.row_id, b.row_id) AS channel, a.t_pos, round(a.value - b.value, 6) + 0.0 AS value FROM cell a JOIN cell b ON b.row_id = a.row_id + 1 AND a.t_pos = b.t_pos")
+def reref_difference_all(spark, sf_dir):
+    """Bipolar differences of all neighbouring channels."""
+    x = traces(spark, sf_dir).select(F.lit(1).alias("rec"), F.col("row_id").cast("string").alias("channel"), "t_pos", "value")
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    pairs = ids.select(P.bipolar_name(F.col("vec_id").cast("string"), (F.col("vec_id") + 1).cast("string")).alias("name"), F.col("vec_id").cast("string").alias("anode"), (F.col("vec_id") + 1).cast("string").alias("cathode"))
+    return rounded(P.rereference(x, pairs, ["rec"], "t_pos").select("channel", "t_pos", "value"), "value")
+
+
 @register("seed_markers", f"WITH {_E} SELECT rec, id, label, row_number() OVER (PARTITION BY rec ORDER BY t, label, id) - 1 AS number FROM e WHERE NOT starts_with(label, 'BAD_')")
 def seed_markers(spark, sf_dir):
     """Numbered markers."""

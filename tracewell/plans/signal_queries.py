@@ -91,6 +91,15 @@ def pair_left_join(spark, sf_dir):
     return A.join_pairs(li, d, "a", "b", "ord", ordered=False).select("l_orderkey", "l_linenumber", "l_quantity", "s")
 
 
+@register("pair_left_join_all", "WITH d AS (SELECT a.p_partkey AS x, b.p_partkey AS y, b.p_size AS s FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT l_orderkey, l_linenumber, l_quantity, d.s FROM lineitem LEFT JOIN d ON (l_partkey = x AND l_partkey + 1 = y)")
+def pair_left_join_all(spark, sf_dir):
+    """Left join on an unordered pair key, all neighbouring parts."""
+    p = table(spark, sf_dir, "part")
+    d = p.alias("p").join(p.alias("q"), F.col("q.p_partkey") == F.col("p.p_partkey") + 1).select(F.col("p.p_partkey").cast("string").alias("a"), F.col("q.p_partkey").cast("string").alias("b"), F.col("q.p_size").alias("s"), F.lit(0).alias("ord"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_partkey") + 1).cast("string").alias("a"), F.col("l_partkey").cast("string").alias("b"))
+    return A.join_pairs(li, d, "a", "b", "ord", ordered=False).select("l_orderkey", "l_linenumber", "l_quantity", "s")
+
+
 @register("channel_pairs_all", "SELECT a.n_regionkey, a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def channel_pairs_all(spark, sf_dir):
     """Unordered pairs within groups."""
