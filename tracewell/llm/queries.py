@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tracewell.llm.decontaminate import op10_decontamination
+from tracewell.llm.importance import op11_importance
 from tracewell.llm.line_dedup import op1_line_dedup
 from tracewell.llm.near_dedup import op7_near_dedup
 from tracewell.llm.packing import op9_packing
 from tracewell.llm.pii import op4_pii
 from tracewell.llm.quality import op8_quality
+from tracewell.llm.ranked_search import op12_ranked_search
 from tracewell.llm.substring_dedup import op2_substring_dedup
 from tracewell.llm.topk_search import op5_topk_search
 from tracewell.llm.url_filter import op6_url_filter
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_importance": op11_importance,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL = {
@@ -113,5 +117,29 @@ WITH w AS (
     FROM w LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM pos
+""",
+    "op12_ranked_search": r"""
+WITH d AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents
+), n AS (
+    SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id
+), c AS (
+    SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n
+), q AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    GROUP BY ALL
+), p AS (
+    SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term
+), i AS (
+    SELECT term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS impact FROM p JOIN w USING (term) JOIN n USING (doc_id), c
+), s AS (
+    SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL
+), r AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 """,
 }

@@ -7,44 +7,20 @@ has entries for, so Spark shuffles few rows and tasks work on NumPy arrays.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.storage import keep, shared_dir  # noqa: F401
+
 #: Entries that one bucket of a packed exchange should hold.
 BUCKET_ENTRIES = 400_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's own.
-
-    Only a session without either (tests on one machine) gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_dir.get() if set_dir.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lost executors redo nothing before it."""
-    path = f"{shared_dir(df.sparkSession)}/tracewell-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of text in all rows, by which exchanges choose their number of buckets."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

@@ -25,6 +25,14 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+_TERM = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def terms(text: bytes | None) -> list[bytes]:
+    """Runs of digits, letters and non-ASCII characters of a UTF-8 text, A-Z in lower case; none for null."""
+    return (text or b"").lower().translate(_TERM).split()
+
+
 @dataclass
 class Words:
     """All words of several texts: hashes in order, text i owning words ``bounds[i]:bounds[i + 1]``."""
