@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracewell.llm.decontaminate import op10_decontamination
 from tracewell.llm.importance import op11_importance
+from tracewell.llm.language_model import op13_language_model
 from tracewell.llm.line_dedup import op1_line_dedup
 from tracewell.llm.near_dedup import op7_near_dedup
 from tracewell.llm.packing import op9_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_importance": op11_importance,
     "op12_ranked_search": op12_ranked_search,
+    "op13_language_model": op13_language_model,
 }
 
 ORACLE_SQL = {
