@@ -1,12 +1,13 @@
 """Global order, numbers and running values without a task that sees all rows.
 
-Rows are dealt by ranges of the order, so partitions follow each other; what a partition needs of those before it
-(how many rows, the least value) is one number each, and only these meet.
+Rows are dealt by ranges of the order, so partitions follow each other. What a partition needs of those before it
+(how many rows, the least value) is one number, for the group that goes on from the partition before; only these numbers,
+at most two a partition, meet on the driver. A group of any size, or the whole table, spreads over as many tasks as it needs.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,49 +15,74 @@ from pyspark.sql import functions as F
 from tracewell.storage import keep
 
 _PART_BITS = 33  # monotonically_increasing_id: partition number above, row number below
+_KINDS = {"min": (F.min, F.least, min), "max": (F.max, F.greatest, max), "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b), lambda a, b: a + b)}
 
 
-def _ordered(df: DataFrame, order: list[Column | str], partitions: int | None) -> DataFrame:
-    """df written in order with ``_place``: partition number and row number within it. Equal keys are told apart by their place in df."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*order, F.col("_tie")]
-    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return keep(placed.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "ordered")
+class Ordered:
+    """A table in a global order, written once; numbers and running values are added to it.
 
-
-def _with_part_value(df: DataFrame, known: list[tuple[int, object]], kind: str, name: str) -> DataFrame:
-    """One value for each partition: as many rows as partitions, so it is broadcast."""
-    side = df.sparkSession.createDataFrame(known, f"_part long, {name} {kind}")
-    return df.join(F.broadcast(side), "_part", "left")
-
-
-def numbered(df: DataFrame, order: list[Column | str], name: str = "position", partitions: int | None = None) -> DataFrame:
-    """df with its row number (1, 2, 3 ...) in the order of the given columns, as a long.
-
-    ``order`` takes names and sort columns such as ``F.desc("score")``. Rows with equal keys keep df's order where df has one (file and row),
-    and get different numbers in any case. A column called ``name`` is replaced. The input is read twice, once to find the ranges.
+    ``order`` takes names and sort columns such as ``F.desc("score")``; with ``by`` each group is numbered and accumulated on its own. Rows with equal
+    keys keep df's order where df has one (file and row), and are told apart in any case. The input is read twice, once to find the ranges.
     """
-    placed = _ordered(df.drop(name), order, partitions).withColumn("_part", F.shiftright("_place", _PART_BITS))
-    counts = sorted((r[0], r[1]) for r in placed.groupBy("_part").count().collect())
-    offsets = [(part, before) for (part, _), before in zip(counts, accumulate((n for _, n in counts), initial=0))]
-    out = _with_part_value(placed, offsets, "long", "_before")
-    return out.withColumn(name, F.col("_before") + F.col("_place").bitwiseAND((1 << _PART_BITS) - 1) + 1).select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
 
-
-def running_min(df: DataFrame, order: list[Column | str], value: str, name: str, after: bool = False, partitions: int | None = None) -> DataFrame:
-    """df with the least ``value`` of the rows up to and with each row in the given order (``after``: from each row on). NULL values count for nothing.
-
-    Within a partition it is a window over that partition's rows; the minima of the partitions before (after) are carried in.
-    """
-    kind = df.schema[value].dataType.simpleString()
-    placed = _ordered(df.drop(name), order, partitions).withColumn("_part", F.shiftright("_place", _PART_BITS))
-    least = {r[0]: r[1] for r in placed.groupBy("_part").agg(F.min(value)).collect()}
-    parts, carried, best = sorted(least, reverse=after), [], None
-    for part in parts:
-        carried.append((part, best))
-        if least[part] is not None and (best is None or least[part] < best):
-            best = least[part]
-    edge = Window.partitionBy("_part").orderBy("_place")
-    frame = edge.rowsBetween(Window.currentRow, Window.unboundedFollowing) if after else edge.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _with_part_value(placed, carried, kind, "_carried")
-    return out.withColumn(name, F.least(F.min(value).over(frame), "_carried")).select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
+    def __init__(self, df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), partitions: int | None = None):
+        self.by, self.columns = list(by), list(df.columns)
+        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = [*(F.col(f"`{b}`") for b in by), *order, F.col("_tie")]
+        placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        placed = keep(placed.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "ordered")
+        self.rows = placed.withColumn("_part", F.shiftright("_place", _PART_BITS))
+
+    def _carried(self, value: Column, join, after: bool) -> DataFrame:
+        """(_part, _by..., _carried): what the group that goes on in a partition has had before it (after it); at most one row a partition."""
+        key = F.struct(*(F.col(f"`{b}`") for b in self.by)) if self.by else F.lit(0)
+        parts = self.rows.groupBy("_part", key.alias("_key")).agg(value.alias("_v"))
+        if self.by:
+            edge = Window.partitionBy("_part")
+            parts = parts.withColumns({"_first": F.min("_key").over(edge), "_last": F.max("_key").over(edge)}).where("_key = _first or _key = _last")
+        found = sorted(parts.select("_part", (F.col("_key") != F.col("_first") if self.by else F.lit(False)).alias("_late"), "_key", "_v").collect(), key=lambda r: (r[0], r[1]), reverse=after)
+        out, last, so_far = [], (), None
+        for part, _, own, v in found:
+            if last == (own,):
+                out.append((part, *(own if self.by else ()), so_far))
+                so_far = v if so_far is None else so_far if v is None else join(so_far, v)
+            else:
+                last, so_far = (own,), v
+        kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema}
+        schema = ", ".join(["_part long", *(f"_by{i} {kinds[b]}" for i, b in enumerate(self.by)), f"_carried {parts.schema['_v'].dataType.simpleString()}"])
+        return self.rows.sparkSession.createDataFrame(out, schema)
+
+    def _with(self, carried: DataFrame, within: Column, name: str, join) -> Ordered:
+        on = F.col("p._part") == F.col("c._part")
+        for i, b in enumerate(self.by):
+            on = on & F.col(f"p.`{b}`").eqNullSafe(F.col(f"c._by{i}"))
+        rows = self.rows.drop(name).withColumn("_within", within) if name in self.rows.columns else self.rows.withColumn("_within", within)
+        met = rows.alias("p").join(F.broadcast(carried).alias("c"), on, "left")
+        self.rows = met.select(*(F.col(f"p.`{c}`") for c in rows.columns if c != "_within"), join(F.col("p._within"), F.col("c._carried")).alias(name))
+        self.columns = [*(c for c in self.columns if c != name), name]
+        return self
+
+    def numbered(self, name: str = "position") -> Ordered:
+        """The row number (1, 2, 3 ...) within the order, as a long."""
+        carried = self._carried(F.count("*"), lambda a, b: a + b, False)
+        if self.by:
+            within = F.row_number().over(Window.partitionBy("_part", *self.by).orderBy("_place")).cast("long")
+        else:
+            within = F.col("_place").bitwiseAND((1 << _PART_BITS) - 1) + 1
+        return self._with(carried, within, name, lambda a, b: a + F.coalesce(b, F.lit(0)))
+
+    def running(self, value: str, name: str, kind: str = "min", after: bool = False) -> Ordered:
+        """The least, greatest or sum (``kind``) of ``value`` over the rows up to and with each row (``after``: from each row on); NULL values count for nothing."""
+        of, with_carried, join = _KINDS[kind]
+        carried = self._carried(of(F.col(f"`{value}`")), join, after)
+        w = Window.partitionBy("_part", *self.by).orderBy("_place")
+        frame = w.rowsBetween(Window.currentRow, Window.unboundedFollowing) if after else w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return self._with(carried, of(F.col(f"`{value}`")).over(frame), name, with_carried)
+
+    def frame(self) -> DataFrame:
+        return self.rows.select(*(F.col(f"`{c}`") for c in self.columns))
+
+
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "position", by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """df with its row number (1, 2, 3 ...) in the given order, within each group of ``by``; a column called ``name`` is replaced."""
+    return Ordered(df, order, by, partitions).numbered(name).frame()

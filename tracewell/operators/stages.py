@@ -14,6 +14,7 @@ from tracewell.operators import spectral as G
 from tracewell.operators import statistics as S
 from tracewell.operators import tensors as X
 from tracewell.operators import transforms as T
+from tracewell.operators.ordering import numbered
 
 # Prefixes of removed spans, and metrics by kind of channel.
 REMOVED = ("BAD", "EDGE")
@@ -58,9 +59,9 @@ def listed_rank(c: Column, levels: Sequence[str]) -> Column:
 
 def example_order(df: DataFrame, phases: Sequence[str], order: str = "ord") -> DataFrame:
     """Rows numbered (column ``place``) by first-seen channel, then listed phase, then phase text, then input order."""
-    first = F.min(order).over(Window.partitionBy("channel"))
-    df = df.withColumns({"_c": first, "_p": listed_rank(F.col("phase"), phases)})
-    return df.withColumn("place", F.row_number().over(Window.orderBy("_c", "_p", "phase", order)) - 1).drop("_c", "_p")
+    first = df.groupBy(F.col("channel").alias("_ch")).agg(F.min(order).alias("_c"))
+    met = df.join(first, df["channel"].eqNullSafe(first["_ch"])).withColumn("_p", listed_rank(F.col("phase"), phases))
+    return numbered(met, ["_c", "_p", "phase", order], "place").withColumn("place", F.col("place") - 1).drop("_ch", "_c", "_p")
 
 
 # Joins and maps

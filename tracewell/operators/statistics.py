@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tracewell.operators.intervals import reduce_and
+from tracewell.operators.ordering import Ordered
+
 
 @F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
@@ -17,25 +20,40 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: added up to 200 terms, beyond that by the series of its difference from ln n, which has reached a double's precision there."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(200)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
+    d = n.cast("double")
+    return F.when(n <= 200, few).otherwise(F.log(d) + 0.5772156649015329 + 1 / (2 * d) - 1 / (12 * d * d) + 1 / (120 * d * d * d * d))
+
+
 def adjust(df: DataFrame, p: str = "p", by: Sequence[str] = (), method: str = "bh") -> DataFrame:
-    """Adjusted p-values (column p_adj) overall or by group: bonferroni, holm, bh (fdr), by. NULL p stay NULL."""
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = F.count(p).over(part)
-    up, down = part.orderBy(F.asc_nulls_last(p)), part.orderBy(F.desc_nulls_last(p))
-    df = df.withColumns({"_n": n, "_r": F.row_number().over(up)})
+    """Adjusted p-values (column p_adj) overall or by group: bonferroni, holm, bh (fdr), by. NULL p stay NULL.
+
+    Ranks and running extremes come from an order by ranges, so neither the whole table nor a large group is one task.
+    """
+    if method not in ("bonferroni", "holm", "bh", "fdr", "by"):
+        raise ValueError(f"unknown method {method}")
+    keys = [f"_g{i}" for i in range(len(by))]
+    n = df.groupBy(*(F.col(f"`{b}`").alias(k) for b, k in zip(by, keys))).agg(F.count(p).alias("_n")).withColumn("_h", harmonic(F.col("_n")))
+
+    def with_n(rows: DataFrame) -> DataFrame:
+        on = reduce_and([rows[b].eqNullSafe(n[k]) for b, k in zip(by, keys)])
+        return rows.join(n, on).drop(*keys) if by else rows.crossJoin(F.broadcast(n))
+
+    whole = F.least(F.lit(1.0), F.col(p) * F.col("_n"))
     if method == "bonferroni":
-        out = F.least(F.lit(1.0), F.col(p) * F.col("_n"))
-    elif method == "holm":
-        df = df.withColumn("_s", F.col(p) * (F.col("_n") - F.col("_r") + 1))
-        out = F.least(F.lit(1.0), F.max("_s").over(up.rangeBetween(Window.unboundedPreceding, 0)))
-    elif method in ("bh", "fdr", "by"):
-        harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda a, i: a + 1 / i) if method == "by" else F.lit(1.0)
-        df = df.withColumn("_s", F.col(p) * F.col("_n") / F.col("_r") * harmonic)
-        out = F.least(F.lit(1.0), F.min("_s").over(down.rangeBetween(Window.unboundedPreceding, 0)))
+        return with_n(df).withColumn("p_adj", F.when(F.col(p).isNotNull(), whole)).drop("_n", "_h")
+    order = Ordered(with_n(df), [F.asc_nulls_last(p)], by).numbered("_r")
+    if method == "holm":
+        step = F.col(p) * (F.col("_n") - F.col("_r") + 1)
     else:
-        raise ValueError(f"unknown method {method}")
-    out = F.when(F.col(p).isNotNull(), out)
-    return df.withColumn("p_adj", out).drop("_n", "_r", "_s")
+        step = F.col(p) * F.col("_n") / F.col("_r")
+        if method == "by":
+            step = step * F.col("_h")
+    order.rows, order.columns = order.rows.withColumn("_s", step), [*order.columns, "_s"]
+    out = order.running("_s", "p_adj", "max" if method == "holm" else "min", after=method != "holm").frame()
+    return out.withColumn("p_adj", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "p_adj"))).drop("_n", "_h", "_r", "_s")
 
 
 def stars(p: Column) -> Column:
@@ -95,9 +113,9 @@ def anova(df: DataFrame, keys: Sequence[str], group: str, value: str = "value")
 def pairwise_means(df: DataFrame, keys: Sequence[str], group: str, value: str = "value") -> DataFrame:
     """Differences of group means with pooled variance: group1 < group2, diff, z."""
     s = df.groupBy(*keys, group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    pooled = F.sum((F.col("n") - 1) * F.col("var")).over(w) / F.sum(F.col("n") - 1).over(w)
-    return _pairs(s.withColumn("var", pooled), keys, group)
+    total = s.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg((F.sum((F.col("n") - 1) * F.col("var")) / F.sum(F.col("n") - 1)).alias("_pooled"))
+    met = s.join(total, reduce_and([s[k].eqNullSafe(total[f"_k{i}"]) for i, k in enumerate(keys)])) if keys else s.crossJoin(F.broadcast(total))
+    return _pairs(met.select(*keys, group, "n", "mean", F.col("_pooled").alias("var")), keys, group)
 
 
 def marginal_means(df: DataFrame, factor: str, over: Sequence[str], value: str = "value", weights: str = "equal") -> DataFrame:

@@ -8,6 +8,7 @@ from tracewell.operators import cohort as H
 from tracewell.operators import packets as P
 from tracewell.operators import statistics as S
 from tracewell.operators import transforms as T
+from tracewell.operators.ordering import Ordered, numbered
 from tracewell.plans.registry import register
 from tracewell.plans.tables import annotations, rounded, table, traces
 
@@ -311,7 +312,32 @@ def contrast_text(spark, sf_dir):
 @register("channel_sort", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size, p_partkey % 10, p_partkey) AS INTEGER) AS rank FROM part")
 def channel_sort(spark, sf_dir):
     """Order by the numbers of a_b names (O2)."""
-    from pyspark.sql import Window
-
     p = table(spark, sf_dir, "part").withColumn("c", F.concat_ws("_", "p_size", F.col("p_partkey") % 10))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy(*H.channel_order(F.col("c"))[:2], "p_partkey")).alias("rank"))
+    return numbered(p, [*H.channel_order(F.col("c"))[:2], "p_partkey"], "rank").select("p_partkey", F.col("rank").cast("int").alias("rank"))
+
+
+@register("sorted_rows", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderpriority, o_totalprice DESC, o_orderkey) AS position FROM orders")
+def sorted_rows(spark, sf_dir):
+    """Place of every row in a sort by several keys of both directions (O1)."""
+    return numbered(table(spark, sf_dir, "orders"), [F.desc("o_orderdate"), "o_orderpriority", F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "position")
+
+
+@register("sorted_running", "SELECT o_orderkey, row_number() OVER w AS n, min(o_totalprice) OVER w AS low, max(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS high, CAST(sum(o_orderkey) OVER w AS BIGINT) AS total FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def sorted_running(spark, sf_dir):
+    """Numbers and running values of a few groups that hold all rows (O1)."""
+    o = Ordered(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], ["o_orderstatus"]).numbered("n")
+    return o.running("o_totalprice", "low").running("o_totalprice", "high", "max", after=True).running("o_orderkey", "total", "sum").frame().select("o_orderkey", "n", "low", "high", "total")
+
+
+@register("p_adjust_all_by", """WITH p AS (SELECT o_orderkey, ((o_orderkey * 7919) % 10007) / 10007.0 AS p FROM orders), r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p) AS r FROM p), h AS (SELECT sum(1 / i) AS h FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) + 1)) AS i))
+SELECT o_orderkey, round(least(1.0, min(p * n / r * h) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS p_adj FROM r, h""")
+def p_adjust_all_by(spark, sf_dir):
+    """Benjamini-Yekutieli over all rows at once."""
+    return S.adjust(_pvalues(spark, sf_dir), method="by").select("o_orderkey", F.round("p_adj", 9).alias("p_adj"))
+
+
+@register("p_adjust_all_holm", """WITH p AS (SELECT o_orderkey, ((o_orderkey * 7919) % 10007) / 10007.0 AS p FROM orders), r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p) AS r FROM p)
+SELECT o_orderkey, round(least(1.0, max(p * (n - r + 1)) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS p_adj FROM r""")
+def p_adjust_all_holm(spark, sf_dir):
+    """Holm over all rows at once."""
+    return S.adjust(_pvalues(spark, sf_dir), method="holm").select("o_orderkey", F.round("p_adj", 9).alias("p_adj"))

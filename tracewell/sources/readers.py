@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.cohort import normalise_channel
+from tracewell.operators.ordering import numbered
 from tracewell.operators.packets import tag_code, unit_scale
 
 
@@ -140,7 +141,7 @@ def read_marker_times(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path).select(F.trim("value").try_cast("double").alias("t")).where("t is not null and not isnan(t)").distinct()
     if not t.where("t < 0").isEmpty():
         raise ValueError("marker times are not negative")
-    return t.select((F.row_number().over(Window.orderBy("t")) - 1).alias("id"), "t")
+    return numbered(t, ["t"], "id").select((F.col("id") - 1).alias("id"), "t")
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
