@@ -186,7 +186,7 @@ def test_interpolation_and_smoothing(spark):
     assert filled.filled == pytest.approx(4.0)
     sm = X.smooth_gaussian(df.withColumn("t_pos", F.col("f_pos")), ["k"], 1.0).where("t_pos = 2").first().smooth
     assert 10 < sm < 1000
-    padded = X.mirror_edges(df.withColumnRenamed("f_pos", "t_pos"), ["k"], 2, "reflect").orderBy("t_pos").collect()
+    padded = X.with_edges(df.withColumnRenamed("f_pos", "t_pos"), ["k"], 2, "reflect").orderBy("t_pos").collect()
     assert [r.t_pos for r in padded] == list(range(-2, 7)) and padded[0].value == 10.0
 
 

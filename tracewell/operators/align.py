@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.intervals import drop_overlapping, union_intervals
+from tracewell.operators.intervals import drop_overlapping, meet, union_intervals
 
 
 def match_labels(annotations: DataFrame, labels: DataFrame, mode: str = "exact") -> DataFrame:
@@ -59,7 +59,7 @@ def linear_epochs(events: DataFrame, keys: Sequence[str], anchors: Sequence[tupl
         tol = 100.0 if tolerance is None else tolerance
         lo, hi = max(0.0, percent - tol) / 100 * low, min(100.0, percent + tol) / 100 * high
         since = F.col("_t") - F.col("t0")
-        seq = seq.join(nxt, list(keys)).where((F.col("_t") > F.element_at("times", -1)) & (since >= lo) & (since <= hi))
+        seq = meet(seq, nxt, keys).where((F.col("_t") > F.element_at("times", -1)) & (since >= lo) & (since <= hi))
         seq = seq.withColumn("times", F.concat("times", F.array("_t"))).drop("_t")
     length = F.element_at("times", -1) - F.col("t0")
     seq = seq.where(length.between(low, high))
@@ -151,12 +151,12 @@ def resample(grid: DataFrame, cells: DataFrame, keys: Sequence[str], carry: Sequ
     carry, value. A NULL neighbour gives NULL.
     """
     size = cells.groupBy(*keys).agg(F.max(pos).alias("_last"))
-    g = grid.join(size, list(keys)).withColumn("at", F.greatest(F.lit(0.0), F.least(F.col("at"), F.col("_last").cast("double"))))
+    g = meet(grid, size, keys).withColumn("at", F.greatest(F.lit(0.0), F.least(F.col("at"), F.col("_last").cast("double"))))
     lo = F.floor("at")
     part = F.col("at") - lo
     sides = F.array(F.struct(lo.alias("p"), (1 - part).alias("w")), F.struct((lo + 1).alias("p"), part.alias("w")))
     g = g.select(*keys, "epoch", "pos", F.explode(sides).alias("s")).select(*keys, "epoch", "pos", F.col("s.p").cast("int").alias(pos), F.col("s.w").alias("w")).where("w > 0")
-    met = g.join(cells, [*keys, pos])
+    met = meet(g, cells, [*keys, pos])
     return met.groupBy(*keys, *carry, "epoch", "pos").agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
@@ -169,7 +169,7 @@ def representative_duration(epochs: DataFrame, keys: Sequence[str], gait: Column
 def time_axes(cells: DataFrame, durations: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Seconds (0 to the duration) and percent (0 to 100) of aligned positions."""
     share = F.col("pos") / F.lit(max(1, n - 1))
-    return cells.join(durations, list(keys)).withColumns({"time_s": share * F.col("duration"), "percent": share * 100}).drop("duration")
+    return meet(cells, durations, keys).withColumns({"time_s": share * F.col("duration"), "percent": share * 100}).drop("duration")
 
 
 def axis_of(method: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.cohort import pair_key
+from tracewell.operators.intervals import meet
 
 
 def join_coordinates(features: DataFrame, dim: DataFrame, on: Sequence[str], order: str, small: bool = True) -> DataFrame:
@@ -48,7 +49,7 @@ def _pairs(channels: DataFrame, keys: Sequence[str], regions: Sequence[tuple[str
     own = [c for c in channels.columns if c not in keys and c != name]
     left = channels.select(*keys, F.col(name).alias("a"), *(F.col(c).alias(f"{c}_a") for c in own))
     right = channels.select(*keys, F.col(name).alias("b"), *(F.col(c).alias(f"{c}_b") for c in own))
-    out = left.join(right, list(keys)).where(which)
+    out = meet(left, right, keys).where(which)
     flag = lambda r, s: F.coalesce(F.col(f"{r}_in_{s}"), F.lit(False))
     marks = {f"{p}-{q}_in": (flag(p, "a") & flag(q, "b")) | (flag(q, "a") & flag(p, "b") if both else F.lit(False)) for p, q in regions}
     xyz = [c for c in own if not c.endswith("_in")]
@@ -124,14 +125,14 @@ def clean_pairs(pairs: DataFrame, channels: DataFrame, ordered: bool = False, na
 def reciprocal(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Values of (a, b) beside those of (b, a): keys, a, b, value, value_back (NULL where missing)."""
     back = df.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), F.col(value).alias(f"{value}_back"))
-    return df.join(back, [*keys, "a", "b"], "left")
+    return meet(df, back, [*keys, "a", "b"], "left")
 
 
 def net_difference(forward: DataFrame, reverse: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(a to b minus b to a), less the same of the time-reversed score."""
     f = reciprocal(forward, keys).select(*keys, "a", "b", (F.col("value") - F.col("value_back")).alias("_f"))
     r = reciprocal(reverse, keys).select(*keys, "a", "b", (F.col("value") - F.col("value_back")).alias("_r"))
-    return f.join(r, [*keys, "a", "b"]).select(*keys, "a", "b", (F.col("_f") - F.col("_r")).alias("value"))
+    return meet(f, r, [*keys, "a", "b"]).select(*keys, "a", "b", (F.col("_f") - F.col("_r")).alias("value"))
 
 
 def reciprocal_closure(pairs: DataFrame, order: str = "ord") -> DataFrame:

@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.intervals import meet
+from tracewell.operators.smoothing import moving_median
 
-def slow_baseline(signal: DataFrame, keys: Sequence[str], half: int, idx: str = "sample_idx") -> DataFrame:
-    """Moving-median baseline and what it leaves (columns baseline, residual)."""
-    w = Window.partitionBy(*keys).orderBy(idx).rowsBetween(-half, half)
-    return signal.withColumn("baseline", F.percentile("value", 0.5).over(w)).withColumn("residual", F.col("value") - F.col("baseline"))
+
+def slow_baseline(signal: DataFrame, keys: Sequence[str], half: int, idx: str = "sample_idx", block: int = 65536) -> DataFrame:
+    """Moving-median baseline and what it leaves (columns baseline, residual), in blocks of a trace."""
+    out = moving_median(signal, keys, half, idx, block=block).withColumnRenamed("smooth", "baseline")
+    return out.withColumn("residual", F.col("value") - F.col("baseline"))
 
 
 def find_peaks(signal: DataFrame, keys: Sequence[str], height: float | None = None, distance: int = 1, absolute: bool = False, best: int | None = None, idx: str = "sample_idx") -> DataFrame:
@@ -49,7 +52,7 @@ def find_peaks(signal: DataFrame, keys: Sequence[str], height: float | None = No
 def beat_template(signal: DataFrame, beats: DataFrame, keys: Sequence[str], before: int, after: int, idx: str = "sample_idx") -> DataFrame:
     """Average beat by offset: keys, offset, template."""
     near = beats.select(*keys, F.col(idx).alias("_c"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")).withColumn(idx, F.col("_c") + F.col("offset"))
-    return near.join(signal, [*keys, idx]).groupBy(*keys, "offset").agg(F.avg("value").alias("template"))
+    return meet(near, signal, [*keys, idx]).groupBy(*keys, "offset").agg(F.avg("value").alias("template"))
 
 
 def crop_template(template: DataFrame, keys: Sequence[str], slack: int) -> DataFrame:
@@ -58,18 +61,18 @@ def crop_template(template: DataFrame, keys: Sequence[str], slack: int) -> DataF
     t = template.withColumns({"_lo": F.min("offset").over(w), "_hi": F.max("offset").over(w)})
     left = t.where(F.col("offset") <= F.col("_lo") + slack).select(*keys, F.col("offset").alias("lo"), F.col("template").alias("_a"))
     right = t.where(F.col("offset") >= F.col("_hi") - slack).select(*keys, F.col("offset").alias("hi"), F.col("template").alias("_b"))
-    best = left.join(right, list(keys)).groupBy(*keys).agg(F.min_by(F.struct("lo", "hi"), F.struct(F.abs(F.col("_a") - F.col("_b")), F.col("lo") - F.col("hi"))).alias("_c"))
-    return template.join(best, list(keys)).where(F.col("offset").between(F.col("_c.lo"), F.col("_c.hi"))).drop("_c")
+    best = meet(left, right, keys).groupBy(*keys).agg(F.min_by(F.struct("lo", "hi"), F.struct(F.abs(F.col("_a") - F.col("_b")), F.col("lo") - F.col("hi"))).alias("_c"))
+    return meet(template, best, keys).where(F.col("offset").between(F.col("_c.lo"), F.col("_c.hi"))).drop("_c")
 
 
 def subtract_template(signal: DataFrame, beats: DataFrame, template: DataFrame, keys: Sequence[str], idx: str = "sample_idx") -> DataFrame:
     """Template scaled and shifted to each beat by least squares, subtracted; a sample of two beats takes the later one's."""
-    at = beats.select(*keys, F.col(idx).alias("beat")).join(template, list(keys)).withColumn(idx, F.col("beat") + F.col("offset"))
-    met = at.join(signal, [*keys, idx])
+    at = meet(beats.select(*keys, F.col(idx).alias("beat")), template, keys).withColumn(idx, F.col("beat") + F.col("offset"))
+    met = meet(at, signal, [*keys, idx])
     fit = met.groupBy(*keys, "beat").agg(F.regr_slope("value", "template").alias("_s"), F.regr_intercept("value", "template").alias("_i"))
-    made = met.join(fit, [*keys, "beat"]).withColumn("_a", F.coalesce(F.col("_s") * F.col("template") + F.col("_i"), F.lit(0.0)))
+    made = meet(met, fit, [*keys, "beat"]).withColumn("_a", F.coalesce(F.col("_s") * F.col("template") + F.col("_i"), F.lit(0.0)))
     last = made.groupBy(*keys, idx).agg(F.max_by("_a", "beat").alias("_a"))
-    return signal.join(last, [*keys, idx], "left").withColumn("value", F.col("value") - F.coalesce("_a", F.lit(0.0))).drop("_a")
+    return meet(signal, last, [*keys, idx], "left").withColumn("value", F.col("value") - F.coalesce("_a", F.lit(0.0))).drop("_a")
 
 
 def _epochs(x: np.ndarray, at: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,4 +126,4 @@ def choose_polarity(signal: DataFrame, keys: Sequence[str], height: float, dista
     down = find_peaks(z.withColumn("value", -F.col("value")), keys, height, distance, idx=idx).withColumn("polarity", F.lit(-1))
     both = up.unionByName(down)
     best = both.groupBy(*keys, "polarity").agg(F.count("*").alias("_n"), F.avg("score").alias("_m")).groupBy(*keys).agg(F.max_by("polarity", F.struct("_n", "_m", "polarity")).alias("polarity"))
-    return both.join(best, [*keys, "polarity"], "left_semi")
+    return meet(both, best, [*keys, "polarity"], "left_semi")

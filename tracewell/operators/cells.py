@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.intervals import meet
+
 REDUCERS = ("mean", "median", "count", "occupation", "rate", "duration")
 
 
@@ -123,13 +125,13 @@ def reduce_1d(sel: DataFrame, keys: Sequence[str], reducer: str, pos: str = "t_p
         return sel.groupBy(*keys).agg(F.avg("value").alias("value"))
     if reducer == "mean":
         got = trapezoids(sel, keys, pos, coord).select(*keys, F.try_divide("num", "den").alias("value"))
-        return every.join(got, list(keys), "left")
+        return meet(every, got, keys, "left")
     if reducer not in REDUCERS:
         raise ValueError(f"unknown reducer {reducer}")
     spans = _with_islands(sel, keys, pos).groupBy(*keys, "_isl").agg((F.max(coord) - F.min(coord)).alias("_d"), F.first("w_len").alias("w_len"))
     stats = spans.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_d").alias("_sum"), F.first("w_len").alias("w_len"))
     value = {"count": F.col("_n").cast("double"), "occupation": F.try_divide("_sum", "w_len"), "rate": F.try_divide("_n", "w_len"), "duration": F.try_divide("_sum", "_n")}[reducer]
-    out = every.join(stats.select(*keys, value.alias("value")), list(keys), "left")
+    out = meet(every, stats.select(*keys, value.alias("value")), keys, "left")
     return out.withColumn("value", F.coalesce("value", F.lit(0.0))) if reducer in ("count", "occupation") else out
 
 
@@ -146,7 +148,7 @@ def reduce_2d(sel: DataFrame, keys: Sequence[str], reducer: str) -> DataFrame:
         inner = trapezoids(sel, per_time, "f_pos", "f_coord")
         num = trapezoids(inner, keys, "t_pos", "t_coord", "num").select(*keys, F.col("num").alias("_a"))
         den = trapezoids(inner, keys, "t_pos", "t_coord", "den").select(*keys, F.col("num").alias("_b"))
-        return sel.select(*keys).distinct().join(num.join(den, list(keys)).select(*keys, F.try_divide("_a", "_b").alias("value")), list(keys), "left")
+        return meet(sel.select(*keys).distinct(), meet(num, den, keys).select(*keys, F.try_divide("_a", "_b").alias("value")), keys, "left")
     any_finite = sel.groupBy(*per_time, "w_len").agg(F.max("value").alias("value"))
     return reduce_1d(any_finite, keys, reducer)
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.intervals import meet
+
 MEASURES = ("coh", "plv", "ciplv", "pli", "wpli")
 
 
@@ -22,7 +24,7 @@ def pair_products(coef: DataFrame, pairs: DataFrame, keys: Sequence[str], channe
     p = pairs.select("a", "b")
     x = coef.join(p, coef[channel] == p["a"]).select(*cols, "a", "b", F.col("re").alias("_ra"), F.col("im").alias("_ia"), F.col("power").alias("pa"))
     y = coef.select(*keys, "f_pos", idx, F.col(channel).alias("b"), F.col("re").alias("_rb"), F.col("im").alias("_ib"), F.col("power").alias("pb"))
-    met = x.join(y, [*keys, "f_pos", idx, "b"])
+    met = meet(x, y, [*keys, "f_pos", idx, "b"])
     return met.select(*cols, "a", "b", (F.col("_ra") * F.col("_rb") + F.col("_ia") * F.col("_ib")).alias("re"), (F.col("_ia") * F.col("_rb") - F.col("_ra") * F.col("_ib")).alias("im"), "pa", "pb")
 
 
@@ -88,7 +90,7 @@ def granger(signal: DataFrame, pairs: DataFrame, keys: Sequence[str], lags: int
     b = past.join(p, past[channel] == p["b"]).drop(channel)
     a = past.select(*keys, idx, F.col(channel).alias("a"), *(F.col(f"_v{i}").alias(f"_u{i}") for i in range(1, lags + 1)))
     names = [f"_v{i}" for i in range(lags + 1)] + [f"_u{i}" for i in range(1, lags + 1)]
-    met = b.join(a, [*keys, idx, "a"]).where(f"_v{lags} is not null and _u{lags} is not null")
+    met = meet(b, a, [*keys, idx, "a"]).where(f"_v{lags} is not null and _u{lags} is not null")
     cols = [F.lit(1.0), *(F.col(n) for n in names)]
     sums = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
     gram = met.groupBy(*keys, "a", "b").agg(*sums)

@@ -67,6 +67,13 @@ def range_join(left: DataFrame, right: DataFrame, keys: Keys, condition: Column,
     return out.drop(left["_bucket"]).drop(right["_bucket"]) if how not in ("left_semi", "left_anti") else out.drop("_bucket")
 
 
+def meet(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner") -> DataFrame:
+    """Join on keys for which NULL equals NULL: left's columns, then right's without the keys."""
+    r = right.select(*(F.col(f"`{k}`").alias(f"_j{i}") for i, k in enumerate(keys)), *(F.col(f"`{c}`") for c in right.columns if c not in keys))
+    out = left.join(r, reduce_and([left[f"`{k}`"].eqNullSafe(r[f"_j{i}"]) for i, k in enumerate(keys)]), how)
+    return out.drop(*(f"_j{i}" for i in range(len(keys))))
+
+
 def reduce_and(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.intervals import meet
+
 
 def drop_duplicated(df: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
     """Packets whose index occurs once; of a duplicated index no copy is kept."""
@@ -50,7 +52,7 @@ def sample_cursor(packets: DataFrame, keys: Sequence[str], index: str, length: s
     modes = mode_length(packets, keys, length)
     w = Window.partitionBy(*keys).orderBy(index)
     lost = F.col(index) - F.coalesce(F.lag(index).over(w) + 1, F.lit(first))
-    out = packets.join(F.broadcast(modes) if not keys else modes, list(keys)) if keys else packets.crossJoin(F.broadcast(modes))
+    out = meet(packets, modes, keys) if keys else packets.crossJoin(F.broadcast(modes))
     out = out.withColumn("lost", lost)
     before = F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum(F.col("lost") * F.col("mode_length")).over(w)
     return out.withColumn("start_sample", before).drop("mode_length")

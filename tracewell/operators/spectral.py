@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.intervals import meet
+
 
 def blocks(signal: DataFrame, keys: Sequence[str], size: int, halo: int, idx: str = "sample_idx") -> DataFrame:
     """Samples with the number of their block; those within ``halo`` of another block are repeated there (core = false)."""
@@ -206,7 +208,7 @@ def thresholds(env: DataFrame, keys: Sequence[str], percentile: float, baseline:
     if baseline is None:
         return env.groupBy(*keys).agg(F.percentile("value", p).alias("threshold"))
     on = [c for c in baseline.columns if c in env.columns and c not in ("start", "end")]
-    marks = env.join(baseline.select(*on, "start", "end"), on, "left")
+    marks = meet(env, baseline.select(*on, "start", "end"), on, "left")
     flagged = marks.groupBy(*keys, idx, "value").agg(F.max(F.coalesce(F.col(idx).between(F.col("start"), F.col("end")), F.lit(False))).alias("_in"))
     return flagged.groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col("_in"), F.col("value")), p), F.percentile("value", p)).alias("threshold"))
 
@@ -218,7 +220,7 @@ def burst_mask(env: DataFrame, limits: DataFrame, keys: Sequence[str], centres:
     """
     need = F.create_map(*(F.lit(x) for b, f in centres.items() for x in (b, int(math.ceil(min_cycles * rate / f)))))
     ends = Window.partitionBy(*keys)
-    df = env.join(limits, list(keys)).withColumns({"_lo": F.min(idx).over(ends), "_hi": F.max(idx).over(ends)})
+    df = meet(env, limits, keys).withColumns({"_lo": F.min(idx).over(ends), "_hi": F.max(idx).over(ends)})
     on = (F.col("value") > F.col("threshold")) & F.col(idx).between(F.col("_lo") + guard, F.col("_hi") - guard)
     run = F.col(idx) - F.row_number().over(Window.partitionBy(*keys, "_on").orderBy(idx))
     df = df.withColumn("_on", on).withColumn("_run", run)
@@ -242,7 +244,7 @@ def aperiodic_fit(spectra: DataFrame, keys: Sequence[str], freq: str = "freq", p
 
 def periodic_part(spectra: DataFrame, fits: DataFrame, keys: Sequence[str], freq: str = "freq", power: str = "power") -> DataFrame:
     """log10 power over the aperiodic line, and whether the bin is a local peak of it."""
-    out = spectra.join(fits.select(*keys, "offset", "exponent"), list(keys))
+    out = meet(spectra, fits.select(*keys, "offset", "exponent"), keys)
     out = out.withColumn("periodic", F.when(F.col(power) > 0, F.log10(power)) - (F.col("offset") - F.col("exponent") * F.log10(freq)))
     w = Window.partitionBy(*keys).orderBy(freq)
     return out.withColumn("is_peak", F.coalesce((F.col("periodic") > F.lag("periodic").over(w)) & (F.col("periodic") > F.lead("periodic").over(w)), F.lit(False)))

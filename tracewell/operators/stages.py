@@ -68,8 +68,16 @@ def example_order(df: DataFrame, phases: Sequence[str], order: str = "ord") -> D
 
 
 def join_rounded(left: DataFrame, right: DataFrame, key: str, digits: int = 8) -> DataFrame:
-    """Left join on a numeric key rounded to ``digits``; NULL keys meet nothing."""
-    right = right.withColumn("_r", F.round(F.col(key), digits)).drop(key)
+    """Left join on a numeric key rounded to ``digits``; NULL keys meet nothing.
+
+    Of right rows whose keys round alike the one with the least key is taken, so no left row is repeated; a right column
+    whose name left has too comes out as ``<name>_right``.
+    """
+    others = [c for c in right.columns if c != key]
+    if not others:
+        return left
+    right = right.where(F.col(key).isNotNull()).groupBy(F.round(F.col(key), digits).alias("_r")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in others)), key).alias("_of"))
+    right = right.select("_r", *(F.col(f"_of.`{c}`").alias(f"{c}_right" if c in left.columns else c) for c in others))
     return left.withColumn("_r", F.round(F.col(key), digits)).join(right, "_r", "left").drop("_r")
 
 
@@ -231,11 +239,11 @@ def raw_power(signal: DataFrame, keys: Sequence[str], rate: float, freqs: Sequen
     return I.mask_by_radius(power, marks, radii, keys, "sample_idx", "freq", "value")
 
 
-def decompose(power: DataFrame, keys: Sequence[str], sub_grid: Sequence[float] = (), sigma: float = 1.5, kernel: int = 1, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def decompose(power: DataFrame, keys: Sequence[str], sub_grid: Sequence[float] = (), sigma: float = 1.5, kernel: int = 1, least: float = 0.0, hop: int = 1) -> tuple[DataFrame, DataFrame]:
     """(periodic: keys, sample_idx, freq, value; aperiodic: keys, sample_idx, offset, exponent, r2, n) of a power tensor.
 
-    Power is clipped at its key's least positive value, smoothed in dB over frequency (Gaussian) and time (median), and
-    split by a log-log line per time. Times whose fit has an R2 below ``least`` are NULL; ``sub_grid`` keeps some bins.
+    Power is clipped at its key's least positive value, smoothed in dB over frequency (Gaussian) and time (median, over
+    frames ``hop`` samples apart), the end values repeated beyond the ends, and split by a log-log line per time. Times whose fit has an R2 below ``least`` are NULL; ``sub_grid`` keeps some bins.
     """
     floor = power.where("value > 0").groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min("value").alias("_floor"))
     on = I.reduce_and([power[k].eqNullSafe(floor[f"_k{i}"]) for i, k in enumerate(keys)])
@@ -245,7 +253,8 @@ def decompose(power: DataFrame, keys: Sequence[str], sub_grid: Sequence[float] =
     db = db.withColumn("f_pos", F.row_number().over(Window.partitionBy(*at).orderBy("freq")) - 1)
     db = X.smooth_gaussian(db, at, sigma, pos="f_pos").withColumn("value", F.col("smooth")).drop("smooth")
     if kernel > 1:
-        db = X.smooth_median(db, [*keys, "freq"], kernel, "sample_idx").withColumn("value", F.col("smooth")).drop("smooth")
+        db = db.withColumn("t_pos", F.floor(F.col("sample_idx") / hop).cast("int"))
+        db = X.smooth_median(db, [*keys, "freq"], kernel).withColumn("value", F.col("smooth")).drop("smooth", "t_pos")
     smooth = db.withColumn("power", T.inverse(F.col("value"), "db")).select(*at, "freq", "power")
     fits = G.aperiodic_fit(smooth, at)
     periodic = G.periodic_part(smooth, fits, at).select(*at, "freq", F.col("periodic").alias("value"))

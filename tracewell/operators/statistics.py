@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tracewell.operators.intervals import reduce_and
+from tracewell.operators.intervals import meet, reduce_and
 from tracewell.operators.ordering import Ordered
 
 
@@ -94,7 +94,7 @@ def region_contrast(df: DataFrame, keys: Sequence[str], region: str = "region",
 def _pairs(s: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
     a = s.select(*keys, F.col(level).alias("group1"), F.col("mean").alias("_m1"), F.col("n").alias("n1"), F.col("var").alias("_v1"))
     b = s.select(*keys, F.col(level).alias("group2"), F.col("mean").alias("_m2"), F.col("n").alias("n2"), F.col("var").alias("_v2"))
-    met = (a.join(b, list(keys)) if keys else a.join(b, F.lit(True))).where("group1 < group2")
+    met = (meet(a, b, keys) if keys else a.join(b, F.lit(True))).where("group1 < group2")
     se = F.sqrt(F.col("_v1") / F.col("n1") + F.col("_v2") / F.col("n2"))
     return met.select(*keys, "group1", "group2", "n1", "n2", (F.col("_m1") - F.col("_m2")).alias("diff"), F.try_divide(F.col("_m1") - F.col("_m2"), F.nullif(se, F.lit(0.0))).alias("z"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import transforms as T
+from tracewell.operators.intervals import meet
+from tracewell.operators.smoothing import moving_median, smooth_gaussian, smooth_mean, smooth_median, with_edges  # noqa: F401
 
 
 def frequency_grid(spark: SparkSession, low: float, high: float, step: float | None = None, n_log: int | None = None) -> DataFrame:
@@ -84,45 +86,6 @@ def segments(df: DataFrame, keys: Sequence[str], idx: str, length: int) -> DataF
     return out.withColumn("_n", n).where(F.col("_n") == length).drop("_n")
 
 
-def smooth_mean(cells: DataFrame, keys: Sequence[str], half: int, pos: str = "t_pos") -> DataFrame:
-    """Moving mean over 2 half + 1 positions, missing ones left out, edges shortened (column smooth)."""
-    return cells.withColumn("smooth", F.avg("value").over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(-half, half)))
-
-
-def smooth_median(cells: DataFrame, keys: Sequence[str], size: int, pos: str = "t_pos") -> DataFrame:
-    """Moving median of an odd kernel (even sizes grow by one); missing values are skipped."""
-    half = (size if size % 2 else size + 1) // 2
-    return cells.withColumn("smooth", F.percentile("value", 0.5).over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(-half, half)))
-
-
-def smooth_gaussian(cells: DataFrame, keys: Sequence[str], sigma: float, truncate: float = 4.0, pos: str = "t_pos") -> DataFrame:
-    """Gaussian weights out to ``truncate`` sigmas over the values that exist: one window of structs, no self join."""
-    r = int(truncate * sigma + 0.5)
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(-r, r)
-    near = F.collect_list(F.when(F.col("value").isNotNull(), F.struct(F.col(pos).alias("p"), F.col("value").alias("v")))).over(w)
-    weight = lambda p, c: F.exp(-0.5 * F.pow((p - c) / sigma, 2))
-    num = F.aggregate("_near", F.lit(0.0), lambda a, x: a + weight(x.p, F.col(pos)) * x.v)
-    den = F.aggregate("_near", F.lit(0.0), lambda a, x: a + weight(x.p, F.col(pos)))
-    return cells.withColumn("_near", near).withColumn("smooth", F.try_divide(num, den)).drop("_near")
-
-
-def mirror_edges(cells: DataFrame, keys: Sequence[str], half: int, mode: str = "reflect", pos: str = "t_pos") -> DataFrame:
-    """Rows with copies beyond both ends (positions below 0 and from n): nearest, reflect, mirror or wrap."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    df = cells.withColumn("_n", n.cast("int"))
-    p, size = F.col(pos), F.col("_n")
-    left = {"reflect": -p - 1, "mirror": -p, "wrap": p - size, "nearest": None}[mode]
-    right = {"reflect": 2 * size - 1 - p, "mirror": 2 * size - 2 - p, "wrap": p + size, "nearest": None}[mode]
-    if mode == "nearest":
-        ends = F.array(*(F.lit(-i) for i in range(1, half + 1)))
-        lo = df.where(p == 0).withColumn(pos, F.explode(ends))
-        hi = df.where(p == size - 1).withColumn(pos, F.explode(F.transform(ends, lambda i: F.col("_n") - 1 - i)))
-    else:
-        lo = df.withColumn(pos, left).where(F.col(pos).between(-half, -1))
-        hi = df.withColumn(pos, right).where((F.col(pos) >= F.col("_n")) & (F.col(pos) < F.col("_n") + half))
-    return df.unionByName(lo).unionByName(hi).drop("_n")
-
-
 def interpolate(cells: DataFrame, keys: Sequence[str], pos: str = "f_coord") -> DataFrame:
     """Missing values linearly between their finite neighbours, edges held; rows with under two finite values stay NULL."""
     w = Window.partitionBy(*keys).orderBy(pos)
@@ -177,7 +140,7 @@ def grid_difference(target: DataFrame, source: DataFrame, tol: float, freq: str
 
 def quality_mask(cells: DataFrame, fits: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
     """Values nulled at times whose fit has an R2 below ``least`` or none."""
-    out = cells.join(fits.select(*keys, "r2"), list(keys), "left")
+    out = meet(cells, fits.select(*keys, "r2"), keys, "left")
     return out.withColumn("value", F.when(F.col("r2") >= least, F.col("value"))).drop("r2")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.intervals import reduce_and
+from tracewell.operators.intervals import meet, reduce_and
 
 TRANSFORMS = ("none", "db", "log", "log10", "fisherz", "fisherz_sqrt", "logit", "asinh")
 
@@ -115,7 +115,7 @@ def zscore(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFram
 def quantile_scale(df: DataFrame, keys: Sequence[str], low: float = 0.05, high: float = 0.95, value: str = "value") -> DataFrame:
     """The low quantile to 0, the high one to 1."""
     q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.join(q, list(keys)).withColumn(value, F.try_divide(F.col(value) - F.col("_q")[0], F.col("_q")[1] - F.col("_q")[0])).drop("_q")
+    return meet(df, q, keys).withColumn(value, F.try_divide(F.col(value) - F.col("_q")[0], F.col("_q")[1] - F.col("_q")[0])).drop("_q")
 
 
 SUMMARIES = {
@@ -147,7 +147,7 @@ def summarize_nested(cells: DataFrame, keys: Sequence[str], how: str, label: str
     out = cells.groupBy(*keys, label).agg(kinds[how]("value").alias("value"), F.count("*").alias("_n"))
     if strict:
         n = cells.groupBy(*keys).agg(F.countDistinct("row_id").alias("_rows"))
-        out = out.join(n, list(keys)).withColumn("value", F.when(F.col("_n") != F.col("_rows"), F.raise_error(F.lit("labels differ")).cast("double")).otherwise(F.col("value"))).drop("_rows")
+        out = meet(out, n, keys).withColumn("value", F.when(F.col("_n") != F.col("_rows"), F.raise_error(F.lit("labels differ")).cast("double")).otherwise(F.col("value"))).drop("_rows")
     return out.drop("_n")
 
 
@@ -173,7 +173,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str = "value", whiskers
     fence = {"tukey": lambda: (F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr), "minmax": lambda: (F.col("_min"), F.col("_max"))}[whiskers]() if isinstance(whiskers, str) else (F.col("_w")[0], F.col("_w")[1])
     q = q.withColumns({"_lo": fence[0], "_hi": fence[1]}).select(*keys, "q1", "median", "q3", "_lo", "_hi")
     inside = F.col(value).between(F.col("_lo"), F.col("_hi"))
-    met = df.join(q, list(keys))
+    met = meet(df, q, keys)
     return met.groupBy(*keys).agg(F.count(value).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.min(F.when(inside, F.col(value))).alias("lo"), F.max(F.when(inside, F.col(value))).alias("hi"), F.sum((~inside).cast("long")).alias("n_out"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import align as E
@@ -11,6 +13,7 @@ from tracewell.operators import artifacts as R
 from tracewell.operators import connectivity as K
 from tracewell.operators import spectral as G
 from tracewell.operators import tensors as X
+from tracewell.operators.smoothing import MODES
 from tracewell.plans.registry import register
 from tracewell.plans.tables import annotations, rounded, table, traces
 
@@ -185,19 +188,53 @@ def freq_interpolate_db(spark, sf_dir):
 @register("smooth_mean", f"WITH {_CELL} SELECT row_id, t_pos, round(avg(value) OVER (PARTITION BY row_id ORDER BY t_pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS smooth FROM cell")
 def smooth_mean(spark, sf_dir):
     """Moving means."""
-    return rounded(X.smooth_mean(traces(spark, sf_dir), ["row_id"], 2).select("row_id", "t_pos", "smooth"), "smooth")
+    return rounded(X.smooth_mean(traces(spark, sf_dir), ["row_id"], 2, mode=None).select("row_id", "t_pos", "smooth"), "smooth")
 
 
 @register("smooth_median", f"WITH {_CELL} SELECT row_id, t_pos, round(median(value) OVER (PARTITION BY row_id ORDER BY t_pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS smooth FROM cell")
 def smooth_median(spark, sf_dir):
     """Moving medians."""
-    return rounded(X.smooth_median(traces(spark, sf_dir), ["row_id"], 5).select("row_id", "t_pos", "smooth"), "smooth")
+    return rounded(X.smooth_median(traces(spark, sf_dir), ["row_id"], 5, mode=None).select("row_id", "t_pos", "smooth"), "smooth")
 
 
 @register("smooth_gaussian", f"WITH {_CELL} SELECT a.row_id, a.t_pos, round(sum(exp(-0.5 * ((b.t_pos - a.t_pos) / 1.5) ** 2) * b.value) / sum(exp(-0.5 * ((b.t_pos - a.t_pos) / 1.5) ** 2)), 6) + 0.0 AS smooth FROM cell a JOIN cell b ON a.row_id = b.row_id AND abs(a.t_pos - b.t_pos) <= 6 GROUP BY ALL")
 def smooth_gaussian(spark, sf_dir):
     """Gaussian smoothing."""
-    return rounded(X.smooth_gaussian(traces(spark, sf_dir), ["row_id"], 1.5).select("row_id", "t_pos", "smooth"), "smooth")
+    return rounded(X.smooth_gaussian(traces(spark, sf_dir), ["row_id"], 1.5, mode=None).select("row_id", "t_pos", "smooth"), "smooth")
+
+
+def _edge_sql(half: int, value: str) -> str:
+    """Every mode's frame of each position: the position in the trace that stands at each place of the frame (n = 64), or none for a constant."""
+    period = "CASE mode WHEN 'wrap' THEN 64 WHEN 'reflect' THEN 128 ELSE 126 END"
+    fold = f"(((q % ({period})) + ({period})) % ({period}))"
+    at = f"CASE WHEN q BETWEEN 0 AND 63 THEN q WHEN mode = 'nearest' THEN least(63, greatest(0, q)) WHEN mode = 'wrap' THEN {fold} WHEN mode = 'reflect' THEN least({fold}, 127 - {fold}) WHEN mode = 'mirror' THEN least({fold}, 126 - {fold}) END"
+    return f"""WITH {_CELL}, part AS (SELECT row_id, t_pos, CASE WHEN value > -0.15 THEN value END AS v FROM cell), f AS (SELECT mode, t_pos, o, t_pos + o AS q FROM (VALUES ('nearest'), ('reflect'), ('mirror'), ('constant'), ('wrap')) m(mode), range(64) p(t_pos), range({-half}, {half + 1}) d(o)),
+g AS (SELECT *, {at} AS src FROM f), x AS (SELECT mode, p.row_id, g.t_pos, o, CASE WHEN src IS NULL THEN 0.5 ELSE p.v END AS v, CASE WHEN src IS NULL THEN 0.5 ELSE 1 END AS w FROM g JOIN part p ON p.t_pos = coalesce(src, 0))
+SELECT mode, row_id, CAST(t_pos AS INTEGER) AS t_pos, round({value}, 6) + 0.0 AS smooth FROM x GROUP BY mode, row_id, t_pos"""
+
+
+def _all_modes(spark, sf_dir, smoother) -> DataFrame:
+    t = traces(spark, sf_dir).select("row_id", "t_pos", F.when(F.col("value") > -0.15, F.col("value")).alias("value"))
+    parts = [smoother(t, mode).select(F.lit(mode).alias("mode"), "row_id", "t_pos", "smooth") for mode in MODES]
+    return rounded(reduce(DataFrame.unionByName, parts), "smooth")
+
+
+@register("smooth_mean_edges", _edge_sql(4, "sum(v) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0)"))
+def smooth_mean_edges(spark, sf_dir):
+    """Moving means with every edge mode, missing samples left out."""
+    return _all_modes(spark, sf_dir, lambda t, mode: X.smooth_mean(t, ["row_id"], 4, mode=mode, cval=0.5))
+
+
+@register("smooth_median_edges", _edge_sql(4, "median(v)"))
+def smooth_median_edges(spark, sf_dir):
+    """Moving medians with every edge mode."""
+    return _all_modes(spark, sf_dir, lambda t, mode: X.smooth_median(t, ["row_id"], 8, mode=mode, cval=0.5))
+
+
+@register("smooth_gaussian_edges", _edge_sql(6, "sum(exp(-0.5 * (o / 1.5) ** 2) * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN exp(-0.5 * (o / 1.5) ** 2) * w END), 0)"))
+def smooth_gaussian_edges(spark, sf_dir):
+    """Gaussian smoothing with every edge mode."""
+    return _all_modes(spark, sf_dir, lambda t, mode: X.smooth_gaussian(t, ["row_id"], 1.5, mode=mode, cval=0.5))
 
 
 @register("grid_match", "WITH s AS (SELECT DISTINCT p_size * 0.999 AS f FROM part), t AS (SELECT DISTINCT p_size * 1.0 AS f FROM part) SELECT CAST(t.f AS DOUBLE) AS target, CAST(arg_min(s.f, abs(s.f - t.f)) AS DOUBLE) AS source FROM t JOIN s ON abs(s.f - t.f) <= 0.02 GROUP BY t.f")

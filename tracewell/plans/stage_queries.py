@@ -117,7 +117,7 @@ def raw_power(spark, sf_dir):
 @register("periodic_aperiodic")
 def periodic_aperiodic(spark, sf_dir):
     """Periodic part over smoothed log-log lines."""
-    return rounded(P.decompose(_power(spark, sf_dir), ["row_id"], kernel=3)[0], "value", digits=6)
+    return rounded(P.decompose(_power(spark, sf_dir), ["row_id"], kernel=3, hop=8)[0], "value", digits=6)
 
 
 @register("spectrogram")
