@@ -3,9 +3,9 @@
 Base: four fixed patterns with checks. Bootstrapping: every base span is a seed; candidates are
 runs of tokens with a digit or ``@`` whose shape (runs of digits and of name characters folded) some
 seeds have, of any length. Instances and their contexts, the word before and the word after,
-form a graph. A context's confidence is the confidence of its instances over all occurrences
-of its word in the corpus, so that common words tell nothing; contexts with enough seeds pass
-it on, and a candidate takes the noisy-or of its contexts. After a few rounds, confident
+form a graph. A context's confidence is the share of all occurrences of its word in the corpus that stand
+at a seed or a candidate, so that common words tell nothing. It passes it on if it has enough trusted instances, and if they
+are a fair share of what it stands at; a candidate takes the noisy-or of its contexts. After a few rounds, confident
 candidates become spans of kind ``id``. Each round is two aggregations over (context, instance)
 counts, so a common context moves as partial sums.
 
@@ -35,8 +35,11 @@ _SIGN = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Tokens with a digit or @ and the numbers that follow them, one match per run.
 _TOKEN = rf"(?<![^{_WS}])[^{_WS}0-9@]*+[0-9@][^{_WS}]*+(?:\x20[(]?[0-9][0-9().-]*+(?=[{_WS}.,;:!?]|$))*+"
-ROUNDS, SUPPORT, CONTEXT, INSTANCE = 3, 3, 0.6, 0.8
+#: Trusted instances of a context, their share of its instances, its confidence, and the trust of an instance, at least.
+ROUNDS, SUPPORT, SHARE, CONTEXT, INSTANCE = 3, 3, 0.2, 0.6, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Context words are broadcast up to so many bytes.
+ASKED_BYTES = 8_000_000
 #: Prefix sums are taken over blocks of so many matches.
 _BLOCK = 512
 
@@ -137,28 +140,40 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumns(spans | {"seeds": seeds, "tokens": F.transform("i_token", token)}).select("doc_id", "text", *spans, "seeds", "tokens")
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """Occurrences of every context word in all texts: word, n."""
-    words = docs.select(F.explode(F.split(context_word(F.col("text")), rf"[{_WS}]+")).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+def count_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Occurrences in all texts of the context words asked for: word, n.
+
+    Words asked for are met before anything is counted; only if they take more than ``ASKED_BYTES`` all words are counted and then met.
+    """
+    words = docs.select(F.explode(F.split(context_word(F.col("text")), rf"[{_WS}]+")).alias("word")).where("word <> ''")
+    size = asked.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    if size <= ASKED_BYTES:
+        words = words.join(F.broadcast(asked), "word", "left_semi")
+        return words.groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).join(asked, "word", "left_semi")
+
+
+def context_edges(occurrences: DataFrame) -> DataFrame:
+    """(token, context, w, seed): how often they occur together and whether the token is a seed, from (token, context, seed) occurrences."""
+    return occurrences.where("token <> '' and context <> ''").groupBy("token", "context").agg(F.count("*").alias("w"), F.max("seed").alias("seed"))
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, overall: DataFrame | None = None) -> DataFrame:
-    """Confident instances outside the seeds: (token, score), from (token, context, seed) occurrences.
+def bootstrap(edges: DataFrame, rounds: int = ROUNDS, overall: DataFrame | None = None) -> DataFrame:
+    """Confident instances outside the seeds: (token, score), from a written table of ``context_edges``.
 
     overall: context, n (occurrences of the context with or without an instance); by default only those given count.
     """
-    edges = keep(occurrences.where("token <> '' and context <> ''").groupBy("token", "context").agg(F.count("*").alias("w"), F.max("seed").alias("seed")), "edges")
     seeds = edges.groupBy("token").agg(F.max("seed").alias("seed")).where("seed").select("token", F.lit(1.0).alias("trust"))
     uses = edges.groupBy("context").agg(F.sum("w").alias("w"))
     if overall is not None:
         uses = uses.join(overall, "context", "left").select("context", F.greatest("w", F.coalesce("n", F.lit(0))).alias("w"))
-    uses = keep(uses.withColumnRenamed("w", "uses"), "uses")
+    uses = keep(edges.groupBy("context").agg(F.sum("w").alias("at")).join(uses.withColumnRenamed("w", "uses"), "context"), "uses")
     trust = keep(seeds, "trust")
     for turn in range(rounds):
         known = edges.drop("seed").join(trust, "token")
         contexts = known.groupBy("context").agg(F.sum(F.col("trust") * F.col("w")).alias("sure"), F.sum((F.col("trust") >= INSTANCE).cast("int")).alias("support"))
-        contexts = contexts.where(F.col("support") >= SUPPORT).join(uses, "context").select("context", (F.col("sure") / F.col("uses")).alias("conf")).where(F.col("conf") >= CONTEXT)
+        contexts = contexts.where(F.col("support") >= SUPPORT).join(uses, "context").where(F.col("sure") >= SHARE * F.col("at"))
+        contexts = contexts.select("context", (F.col("at") / F.col("uses")).alias("conf")).where(F.col("conf") >= CONTEXT)
         # noisy-or: 1 - prod(1 - conf)
         told = edges.join(contexts, "context").groupBy("token").agg((1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.99)))))).alias("trust"))
         trust = keep(seeds.unionByName(told.join(seeds.select("token"), "token", "left_anti")), f"trust-{turn}")
@@ -184,9 +199,10 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     seen = found.where(F.size("tokens") > 0).select("key", "version", F.explode("tokens").alias("t")).select("key", "version", "t.*")
     seen = seen.join(shapes.withColumnRenamed("shape", "_shape"), shape(F.col("token")) == F.col("_shape"), "left_semi")
     uses = seeds.unionByName(seen.select("token", "contexts", F.lit(False).alias("seed"))).select("token", F.explode("contexts").alias("context"), "seed")
-    words = count_words(docs)
-    overall = words.select(F.explode(F.array(F.concat(F.lit("<"), "word"), F.concat(F.lit(">"), "word"))).alias("context"), "n")
-    new = bootstrap(uses, rounds, overall)
+    edges = keep(context_edges(uses), "edges")
+    asked = keep(edges.select(F.substring("context", 2, 2**31 - 1).alias("word")).distinct(), "asked")
+    overall = count_words(docs, asked).select(F.explode(F.array(F.concat(F.lit("<"), "word"), F.concat(F.lit(">"), "word"))).alias("context"), "n")
+    new = bootstrap(edges, rounds, overall)
     extra = seen.join(new.select("token"), "token").groupBy("key", "version").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans_id"))
     out = found.drop("seeds", "tokens").join(extra, ["key", "version"], "left").withColumn("spans_id", F.coalesce("spans_id", F.array().cast("array<struct<s:int,e:int>>")))
     lists = {k: _list(k, F.col(f"spans_{k}")) for k in (*KINDS, "id")}
