@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators import beats as T
 from tracewell.operators import buckets as B
 from tracewell.operators import tensors as X
 from tracewell.plans.interval_queries import _A, _HOUR, _union
@@ -81,3 +82,47 @@ def long_sample_cursor(spark, sf_dir):
 def long_median(spark, sf_dir):
     """What a moving median of 51 samples leaves of long records."""
     return rounded(X.moving_median(_long(spark, sf_dir), ["rec"], 25, "pos", block=4096).select("rec", "pos", (F.col("value") - F.col("smooth")).alias("residual")), "residual")
+
+
+_BEAT = (0.2, -0.5, 1.0, 2.0, 0.7, -0.4, -0.2)
+_SIDES = (3, 3)
+_NEAR, _FAR, _TRIES = 6, 100_000, 20
+
+
+def _peaks_sql(name: str, template: str) -> str:
+    """Correlation at the template's largest value, its local maxima, and those over the threshold; template: rec, o, v."""
+    return f"""{name}_r AS (SELECT a.rec, a.pos + {_SIDES[0]} AS pos, corr(b.value, t.v) AS r FROM cell a JOIN cell b ON b.rec = a.rec AND b.pos BETWEEN a.pos AND a.pos + {len(_BEAT) - 1} JOIN {template} t ON t.rec = a.rec AND t.o = b.pos - a.pos GROUP BY ALL HAVING count(*) = {len(_BEAT)}),
+{name}_p AS (SELECT rec, pos, r FROM (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 THEN lag(r) OVER w ELSE -2 END AS before, CASE WHEN lead(pos) OVER w = pos + 1 THEN lead(r) OVER w ELSE -2 END AS after FROM {name}_r WINDOW w AS (PARTITION BY rec ORDER BY pos)) WHERE r > before AND r >= after),
+{name}_s AS (SELECT rec, quantile_cont(r, 0.6) AS low, (max(r) - quantile_cont(r, 0.6)) / {_TRIES} AS step FROM {name}_p GROUP BY rec),
+{name}_l AS (SELECT rec, pos, low, step, unnest(range(1 + least({_TRIES - 1}, CAST(floor((r - low) / step) AS INTEGER)))) AS level FROM {name}_p JOIN {name}_s USING (rec) WHERE r >= low),
+{name}_d AS (SELECT *, pos - lag(pos) OVER (PARTITION BY rec, level ORDER BY pos) AS far FROM {name}_l),
+{name}_t AS (SELECT rec, min(at_) AS threshold FROM (SELECT rec, level, any_value(low + level * step) AS at_ FROM {name}_d GROUP BY rec, level HAVING count(*) FILTER (far BETWEEN {_NEAR} AND {_FAR}) > 0.9 * count(far)) GROUP BY rec),
+{name} AS (SELECT rec, pos, r FROM {name}_p JOIN {name}_t USING (rec) WHERE r >= threshold)"""
+
+
+_FIRST = f"""WITH {_LONG}, t1 AS (SELECT rec, o, v FROM (SELECT DISTINCT rec FROM cell), (VALUES {", ".join(f"({i}, {v}::DOUBLE)" for i, v in enumerate(_BEAT))}) b(o, v)), {_peaks_sql("b1", "t1")}"""
+
+
+def _beats(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    signal = _long(spark, sf_dir)
+    return signal, signal.select("rec").distinct().withColumn("template", F.array(*map(F.lit, _BEAT)))
+
+
+@register("beat_peaks", f"{_FIRST} SELECT rec, pos, round(r, 6) + 0.0 AS r FROM b1")
+def beat_peaks(spark, sf_dir):
+    """Where a beat's shape correlates with long records, over the level that leaves plausible distances."""
+    signal, shapes = _beats(spark, sf_dir)
+    p = T.correlation_peaks(signal, shapes, ["rec"], "pos", 4096, 16)
+    return rounded(T.found_beats(p, ["rec"], _NEAR, _FAR, 0.9, _TRIES, "pos", 4096), "r").select("rec", "pos", "r")
+
+
+@register("beats_removed", f"""{_FIRST}, t2_all AS (SELECT b1.rec, cell.pos - b1.pos + {_SIDES[0]} AS o, avg(value) AS v FROM b1 JOIN cell ON cell.rec = b1.rec AND cell.pos BETWEEN b1.pos - {_SIDES[0]} AND b1.pos + {_SIDES[1]} GROUP BY ALL), {_peaks_sql("b2", "t2_all")},
+top AS (SELECT rec, arg_min(o, (-abs(v), o)) AS k FROM t2_all GROUP BY rec),
+m AS (SELECT rec, b, p, CASE WHEN p <= b THEN 2 * (b - k) - 1 - p ELSE 2 * (b + {len(_BEAT) - 1} - k + 1) - 1 - p END AS src FROM (SELECT b2.rec, b2.pos - {_SIDES[0]} + k AS b, k, unnest(range(b2.pos - {_SIDES[0]}, b2.pos - {_SIDES[0]} + {len(_BEAT)})) AS p FROM b2 JOIN top USING (rec))),
+one AS (SELECT m.rec, p, least(greatest(arg_max(src, b), any_value(lo)), any_value(hi)) AS src FROM m JOIN (SELECT rec, min(pos) AS lo, max(pos) AS hi FROM cell GROUP BY rec) e USING (rec) GROUP BY m.rec, p),
+new AS (SELECT one.rec, p, c.value FROM one JOIN cell c ON c.rec = one.rec AND c.pos = one.src)
+SELECT cell.rec, cell.pos, round(CASE WHEN new.p IS NULL THEN cell.value ELSE new.value END, 6) + 0.0 AS value FROM cell LEFT JOIN new ON new.rec = cell.rec AND new.p = cell.pos""")
+def beats_removed(spark, sf_dir):
+    """Beats of long records replaced by their mirrored neighbours."""
+    signal, shapes = _beats(spark, sf_dir)
+    return rounded(T.remove_by_correlation(signal, shapes, ["rec"], _NEAR, _FAR, 0.9, "pos", 4096, 16, _TRIES), "value")
