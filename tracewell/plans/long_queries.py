@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import beats as T
 from tracewell.operators import buckets as B
 from tracewell.operators import tensors as X
+from tracewell.operators.prominence import prominences
 from tracewell.plans.interval_queries import _A, _HOUR, _union
 from tracewell.plans.registry import register
 from tracewell.plans.tables import annotations, rounded, table, traces
@@ -126,3 +127,12 @@ def beats_removed(spark, sf_dir):
     """Beats of long records replaced by their mirrored neighbours."""
     signal, shapes = _beats(spark, sf_dir)
     return rounded(T.remove_by_correlation(signal, shapes, ["rec"], _NEAR, _FAR, 0.9, "pos", 4096, 16, _TRIES), "value")
+
+
+@register("peak_prominence", f"""WITH {_LONG}, w AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY pos) AS i, lag(value) OVER (PARTITION BY rec ORDER BY pos) AS p, lead(value) OVER (PARTITION BY rec ORDER BY pos) AS n FROM cell),
+top AS (SELECT rec, pos, i, value FROM w WHERE value > p AND value >= n AND value > 0.15),
+e AS (SELECT t.rec, t.pos, t.i, any_value(t.value) AS v, coalesce(max(w.i) FILTER (w.i < t.i AND w.value > t.value), 0) AS l, coalesce(min(w.i) FILTER (w.i > t.i AND w.value > t.value), 9000000000) AS r FROM top t JOIN w ON w.rec = t.rec GROUP BY t.rec, t.pos, t.i)
+SELECT e.rec, e.pos, any_value(round(v, 6)) + 0.0 AS value, round(any_value(v) - greatest(min(w.value) FILTER (w.i <= e.i), min(w.value) FILTER (w.i >= e.i)), 6) + 0.0 AS prominence FROM e JOIN w ON w.rec = e.rec AND w.i > l AND w.i < r GROUP BY e.rec, e.pos, e.i""")
+def peak_prominence(spark, sf_dir):
+    """Prominence of the peaks of long records over a height."""
+    return rounded(prominences(_long(spark, sf_dir), ["rec"], "pos", 2048).where(F.col("value") > 0.15), "value", "prominence")
