@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -66,3 +67,16 @@ def best_step(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
 def missing_requests(requested: DataFrame, found: DataFrame) -> DataFrame:
     """Requested rows that were not found."""
     return requested.select(*found.columns).exceptAll(found)
+
+
+def lag_bins(n_lags: int, n_total: int, scale: float = 1.0) -> int:
+    """Frequency bins that a lag model of ``n_lags`` takes: its least number, half the lags and two more, times ``scale``, and no more than there are.
+
+    Fewer bins than the least number are an error.
+    """
+    if n_lags < 0 or n_total <= 0 or not (math.isfinite(scale) and scale >= 1):
+        raise ValueError("n_lags >= 0, n_total > 0 and scale >= 1")
+    least = n_lags // 2 + 2
+    if n_total < least:
+        raise ValueError(f"{n_lags} lags need {least} bins, there are {n_total}")
+    return min(n_total, math.ceil(least * scale))

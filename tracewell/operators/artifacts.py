@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.intervals import meet
+from tracewell.operators.prominence import prominences
 from tracewell.operators.smoothing import moving_median
 
 
@@ -19,8 +20,8 @@ def slow_baseline(signal: DataFrame, keys: Sequence[str], half: int, idx: str =
     return out.withColumn("residual", F.col("value") - F.col("baseline"))
 
 
-def find_peaks(signal: DataFrame, keys: Sequence[str], height: float | None = None, distance: int = 1, absolute: bool = False, best: int | None = None, idx: str = "sample_idx") -> DataFrame:
-    """Local maxima: at least ``height``, at least ``distance`` apart (higher ones first), the ``best`` in order of time.
+def find_peaks(signal: DataFrame, keys: Sequence[str], height: float | None = None, distance: int = 1, absolute: bool = False, best: int | None = None, idx: str = "sample_idx", prominence: float | None = None) -> DataFrame:
+    """Local maxima: at least ``height`` and ``prominence``, at least ``distance`` apart (higher ones first), the ``best`` in order of time.
 
     Maxima come from window functions; only they reach the greedy spacing, per key.
     """
@@ -30,6 +31,9 @@ def find_peaks(signal: DataFrame, keys: Sequence[str], height: float | None = No
     top = df.withColumns({"_p": F.lag("score").over(w), "_n": F.lead("score").over(w)}).where("score > _p and score >= _n").drop("_p", "_n")
     if height is not None:
         top = top.where(F.col("score") >= height)
+    if prominence is not None:
+        far = prominences(signal.withColumn("value", v), keys, idx).where(F.col("prominence") >= prominence)
+        top = meet(top, far.select(*keys, idx), [*keys, idx], "left_semi")
     if distance > 1:
         kinds = dict(signal.dtypes)
 

@@ -170,4 +170,4 @@ def split_contrast(text: Column) -> tuple[Column, Column]:
 
 
 def last_number(text: Column) -> Column:
-    return F.element_at(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), -1).try_cast("double")
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(r"(-?\d*\.?\d+)"), F.lit(1)), F.lit(-1)).try_cast("double")

@@ -165,6 +165,26 @@ def value_range(cells: DataFrame, symmetric: bool = False) -> DataFrame:
     return out.select((-top).alias("lo"), top.alias("hi")) if symmetric else out
 
 
+def surface(cells: DataFrame, keys: Sequence[str], x: str = "t_pos", y: str = "f_pos", how: str = "mean", symmetric: bool = False, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Mean or median surface of several maps for each keys: keys, x, y, n (maps with a value), value, lo, hi.
+
+    The grid is every x label of the keys with every y label; where no map has a value it is NULL. ``lo`` and ``hi`` are the range of all surfaces
+    together, or one symmetric about 0; given bounds go first, and 0 to 1 stands for surfaces without a value. One aggregation of the maps makes both.
+    """
+    if how not in ("mean", "median"):
+        raise ValueError(f"unknown aggregate {how}")
+    cells = cells.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value")))
+    z = cells.groupBy(*keys, x, y).agg(F.count("value").alias("n"), (F.avg("value") if how == "mean" else F.median("value")).alias("value"))
+    labels = z.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.collect_set(x).alias("_x"), F.collect_set(y).alias("_y"))
+    grid = labels.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), F.explode("_x").alias(x), "_y").withColumn(y, F.explode("_y")).drop("_y")
+    full = meet(grid, z, [*keys, x, y], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if low is not None and high is not None:
+        return full.withColumns({"lo": F.lit(float(low)), "hi": F.lit(float(high))})
+    limits = value_range(z).select(F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
+    top = F.greatest(F.abs("lo"), F.abs("hi"))
+    return full.crossJoin(F.broadcast(limits.select((-top).alias("lo"), top.alias("hi")) if symmetric else limits))
+
+
 def box_stats(df: DataFrame, keys: Sequence[str], value: str = "value", whiskers: str | tuple[float, float] = "tukey") -> DataFrame:
     """Quartiles and whiskers (tukey, minmax, or two percentiles): keys, n, q1, median, q3, lo, hi, n_out."""
     q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max"), *([F.percentile(value, F.array(*map(F.lit, whiskers))).alias("_w")] if not isinstance(whiskers, str) else []))
