@@ -133,3 +133,33 @@ def test_peaks_by_prominence(spark):
     at = lambda **o: sorted(r.sample_idx for r in artifacts.find_peaks(df, ["k"], **o).collect())
     assert at() == [1, 3, 5] and at(prominence=1.0) == [1, 3, 5] and at(prominence=1.5) == [3]
     assert at(prominence=5.0, absolute=True) == [3, 7]
+
+
+@pytest.mark.parametrize("mode", ["ratio", "percent", "zscore", "mean"])
+def test_near_zero_denominators_of_nested_cells(spark, mode):
+    """Cells of positions, two groups (one of a NULL name): a baseline that is tiny beside the others of its cell gives no value."""
+    rng, rows = np.random.default_rng(2), []
+    for g in ("a", None):
+        for phase in ("base", "base", "walk"):
+            for p in range(20):
+                v = rng.normal(5, 1) if p not in (3, 4) else 1e-12 if p == 3 else 0.0
+                rows.append((g, phase, p, None if rng.random() < 0.05 else float(v)))
+    df = spark.createDataFrame(rows, "g string, phase string, t_pos int, value double")
+    got = transforms.normalize_by_group(df, ["g", "t_pos"], F.col("phase") == "base", mode, within=["t_pos"])
+    read = lambda d: [(r.g, r.phase, r.t_pos, r.value) for r in d.collect()]
+    stats = {(g, p): [v for h, phase, q, v in rows if (h, q) == (g, p) and phase == "base" and v is not None] for g in ("a", None) for p in range(20)}
+    den = {k: (np.std(v) if mode == "zscore" else np.mean(v)) if v else None for k, v in stats.items()}
+    want = []
+    for g, phase, p, v in rows:
+        top = np.percentile([abs(d) for (h, _), d in den.items() if h == g and d is not None], 95)
+        d, base = den[(g, p)], np.mean(stats[(g, p)]) if stats[(g, p)] else None
+        if mode == "mean":
+            want.append((g, phase, p, None if v is None or base is None else v - base))
+        else:
+            good = v is not None and d is not None and abs(d) > max(2.3e-308, 1e-8 * top)
+            want.append((g, phase, p, {"ratio": lambda: v / d, "percent": lambda: 100 * (v - base) / d, "zscore": lambda: (v - base) / d}[mode]() if good else None))
+    key = lambda r: (str(r[:3]), r[3] is None, r[3] or 0)
+    for a, b in zip(sorted(read(got), key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (a[3] is None or a[3] == pytest.approx(b[3]))
+    if mode != "mean":
+        assert all(r[3] is None for r in read(got) if r[2] in (3, 4))

@@ -46,13 +46,18 @@ def transform_by(df: DataFrame, modes: dict[tuple[str, str], str], default: str
     return df.withColumn(value, out)
 
 
-def safe_divide(num: Column, den: Column, context: Window, rel: float = 1e-8) -> Column:
-    """num / den; NULL where the denominator is near zero for its context: |den| <= max(tiny, rel * P95 of |den|)."""
-    p95 = F.percentile(F.abs(den), 0.95).over(context)
-    return F.when(F.abs(den) > F.greatest(F.lit(2.2250738585072014e-308), rel * p95), num / den)
+#: Denominators up to this, or up to the share of their context's 95th percentile, count as zero.
+TINY, NEAR_ZERO = 2.2250738585072014e-308, 1e-8
 
 
-def _normal(v: Column, base: Column, sd: Column, mode: str, context: Window | None) -> Column:
+def safe_divide(num: Column, den: Column, scale: Column | None = None, rel: float = NEAR_ZERO) -> Column:
+    """num / den; NULL where the denominator is near zero, |den| <= max(tiny, rel * scale), or either is not finite. scale: 95th percentile of |den| in its context."""
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))
+    least = F.lit(TINY) if scale is None else F.greatest(F.lit(TINY), rel * scale)
+    return F.when(finite(num) & finite(den) & (F.abs(den) > least), num / den)
+
+
+def _normal(v: Column, base: Column, sd: Column, mode: str, scale: Column | None) -> Column:
     if mode == "mean":
         return v - base
     if mode == "zscore":
@@ -61,27 +66,37 @@ def _normal(v: Column, base: Column, sd: Column, mode: str, context: Window | No
         den, num = base, (v if mode == "ratio" else 100 * (v - base))
     else:
         raise ValueError(f"unknown mode {mode}")
-    return safe_divide(num, den, context) if context is not None else F.when(F.abs(den) > 2.2250738585072014e-308, num / den)
+    return safe_divide(num.cast("double"), den.cast("double"), scale)
 
 
-def normalize_by_group(df: DataFrame, keys: Sequence[str], baseline: Column, mode: str, value: str = "value", stat: str = "mean", missing: str = "null") -> DataFrame:
+def normalize_by_group(df: DataFrame, keys: Sequence[str], baseline: Column, mode: str, value: str = "value", stat: str = "mean", missing: str = "null", within: Sequence[str] = ()) -> DataFrame:
     """Values against their group's baseline rows: mean (difference), ratio, percent or zscore (sd with ddof 0).
 
     NULL keys are a group. Groups without baseline values: NULL, dropped (``missing="drop"``), or an error. The
     statistics are an aggregate joined back, so a large group is never sorted or held in one task.
+
+    within: those of the keys that are positions of a nested cell. A denominator is then near zero if it is small beside the 95th percentile of
+    those of all positions of its group, and the value there is NULL.
     """
     own = F.when(baseline, F.col(value))
     stats = {"mean": F.avg(own), "median": F.percentile(own, 0.5), "max": F.max(own), "min": F.min(own)}
     base = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(stats[stat].alias("_base"), F.stddev_pop(own).alias("_sd"))
+    scaled = bool(within) and mode != "mean"
+    if scaled:
+        den = F.abs("_sd" if mode == "zscore" else "_base").cast("double")
+        group = [f"_k{i}" for i, k in enumerate(keys) if k not in within]
+        scales = base.groupBy(*group).agg(F.percentile(F.when(~F.isnan(den) & (den != float("inf")), den), 0.95).alias("_scale"))
+        base = meet(base, scales, group) if group else base.crossJoin(F.broadcast(scales))
     on = reduce_and([df[k].eqNullSafe(base[f"_k{i}"]) for i, k in enumerate(keys)])
     df = df.join(base, on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
-    return _against(df, value, mode, missing)
+    out = _against(df, value, mode, missing, F.coalesce("_scale", F.lit(0.0)) if scaled else None)
+    return out.drop("_scale") if scaled else out
 
 
-def _against(df: DataFrame, value: str, mode: str, missing: str) -> DataFrame:
+def _against(df: DataFrame, value: str, mode: str, missing: str, scale: Column | None = None) -> DataFrame:
     if missing == "error":
         df = df.withColumn("_base", F.when(F.col("_base").isNull(), F.raise_error(F.lit("a group has no baseline"))).otherwise(F.col("_base")))
-    out = df.withColumn(value, _normal(F.col(value), F.col("_base"), F.col("_sd"), mode, None))
+    out = df.withColumn(value, _normal(F.col(value), F.col("_base"), F.col("_sd"), mode, scale))
     out = out.where("_base is not null") if missing == "drop" else out
     return out.drop("_base", "_sd")
 

@@ -8,6 +8,7 @@ from tracewell.operators import cells as C
 from tracewell.operators import transforms as T
 from tracewell.plans.registry import register
 from tracewell.plans.tables import rounded, table, traces
+from tracewell.sources.configs import axis_rows
 
 WELLS = (("low", 0, 16), ("mid", 16, 40), ("high", 40, 64))
 _CELL = """cell AS (SELECT vec_id AS row_id, label AS grp, CAST(unnest(range(len(embedding))) AS INTEGER) AS t_pos, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"""
@@ -237,3 +238,51 @@ def feature_extract(spark, sf_dir):
     """Several reducers over one set of cells in one plan (H1)."""
     out = C.extract_features(_maps(spark, sf_dir), C.wells(spark, WELLS), C.wells(spark, [("all", 0, 8)]), reducers=("median", "count"))
     return rounded(out.select("row_id", "phase", "band", "reducer", "value"), "value")
+
+
+def _surface_sql(how: str, limits: str) -> str:
+    return f"""WITH {_CELL}, p AS (SELECT grp, t_pos % 8 + grp % 3 AS x, t_pos // 8 AS y, value FROM cell), z AS (SELECT grp, x, y, count(*) AS n, {how}(value) AS value FROM p GROUP BY ALL),
+g AS (SELECT a.grp, x, y FROM (SELECT DISTINCT grp, x FROM z) a JOIN (SELECT DISTINCT grp, y FROM z) b USING (grp))
+SELECT grp, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, coalesce(n, 0) AS n, {_R.format('value')} AS value, {limits} FROM g LEFT JOIN z USING (grp, x, y)"""
+
+
+def _surfaces(spark, sf_dir, **options):
+    c = traces(spark, sf_dir).select("grp", (F.col("t_pos") % 8 + F.col("grp") % 3).alias("x"), F.floor(F.col("t_pos") / 8).cast("int").alias("y"), "value")
+    return rounded(T.surface(c, ["grp"], "x", "y", **options), "value", "lo", "hi")
+
+
+@register("surface_mean", _surface_sql("avg", f"{_R.format('(SELECT min(value) FROM z)')} AS lo, {_R.format('(SELECT max(value) FROM z)')} AS hi"))
+def surface_mean(spark, sf_dir):
+    """Mean surface of each label's maps with the range of all surfaces."""
+    return _surfaces(spark, sf_dir)
+
+
+@register("surface_median", _surface_sql("median", f"{_R.format('(SELECT -max(abs(value)) FROM z)')} AS lo, {_R.format('(SELECT max(abs(value)) FROM z)')} AS hi"))
+def surface_median(spark, sf_dir):
+    """Median surfaces with a range about 0."""
+    return _surfaces(spark, sf_dir, how="median", symmetric=True)
+
+
+#: Bands and times of two metrics as a document: unordered, with a repeated name, an empty interval and an entry without numbers.
+_DOCUMENT = '{"raw": {"bands": [{"name": "high", "start": 40, "end": 64}, {"name": "low", "start": 0, "end": "16"}, {"name": "low", "start": 50, "end": 60}, {"name": "none", "start": 9, "end": 9}, {"name": "odd", "start": "x", "end": 3}, {"name": "mid", "start": 16, "end": 40}], "times": [{"name": "strike", "start": 30, "end": 36}, {"name": "strike", "start": 2, "end": 10}]}, "other": {"bands": [{"name": "low", "start": 1, "end": 2}]}}'
+
+
+@register("config_axes", f"""WITH {_CELL}, d(axis, rank, name, s, e) AS (VALUES ('bands', 0, 'low', 0, 16), ('bands', 1, 'mid', 16, 40), ('bands', 2, 'high', 40, 64), ('times', 0, 'strike', 2, 10), ('times', 1, 'strike', 30, 36))
+SELECT row_id, axis, CAST(rank AS INTEGER) AS rank, name, count(*) AS n, {_R.format('avg(value)')} AS value FROM cell JOIN d ON t_pos >= s AND t_pos < e GROUP BY ALL""")
+def config_axes(spark, sf_dir):
+    """Bands and times of a configuration document applied to traces."""
+    documents = spark.createDataFrame([("memory", _DOCUMENT)], "source string, text string")
+    axes = axis_rows(documents).where("metric = 'raw'").select("axis", "rank", "name", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    c = traces(spark, sf_dir)
+    met = c.join(F.broadcast(axes), (F.col("t_pos") >= F.col("lo")) & (F.col("t_pos") < F.col("hi")))
+    return rounded(met.groupBy("row_id", "axis", "rank", "name").agg(F.count("*").alias("n"), F.avg("value").alias("value")), "value")
+
+
+@register("group_baseline_nested", f"""WITH {_CELL}, c AS (SELECT grp, row_id, t_pos // 4 AS p, CASE WHEN t_pos // 4 = 5 THEN value * 1e-12 ELSE value END AS v FROM cell), b AS (SELECT grp, p, avg(v) FILTER (row_id % 2 = 0) AS base FROM c GROUP BY ALL), t AS (SELECT grp, quantile_cont(abs(base), 0.95) AS top FROM b GROUP BY grp)
+SELECT row_id, CAST(p AS INTEGER) AS p, round(CASE WHEN abs(base) > 1e-8 * top THEN v / base END, 3) + 0.0 AS value FROM c JOIN b USING (grp, p) JOIN t USING (grp)""")
+def group_baseline_nested(spark, sf_dir):
+    """Ratio to the baseline of each position of a label's cells; a denominator that is tiny beside the others gives none."""
+    p = F.floor(F.col("t_pos") / 4).cast("int")
+    c = traces(spark, sf_dir).select("grp", "row_id", p.alias("p"), F.when(p == 5, F.col("value") * 1e-12).otherwise(F.col("value")).alias("value"))
+    out = T.normalize_by_group(c, ["grp", "p"], F.col("row_id") % 2 == 0, "ratio", within=["p"])
+    return rounded(out.select("row_id", "p", "value"), "value", digits=3)

@@ -42,4 +42,4 @@ def _load() -> None:
         importlib.import_module(f"tracewell.plans.{name}")
 
 
-_MODULES = ("feature_queries", "interval_queries", "cohort_queries", "signal_queries", "stage_queries", "epoch_queries", "long_queries")
+_MODULES = ("feature_queries", "interval_queries", "cohort_queries", "signal_queries", "stage_queries", "epoch_queries", "long_queries", "lookup_queries")

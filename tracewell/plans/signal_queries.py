@@ -11,6 +11,7 @@ from tracewell.operators import align as E
 from tracewell.operators import anatomy as A
 from tracewell.operators import artifacts as R
 from tracewell.operators import connectivity as K
+from tracewell.operators import crossspectra as Y
 from tracewell.operators import spectral as G
 from tracewell.operators import tensors as X
 from tracewell.operators.smoothing import MODES
@@ -334,11 +335,21 @@ def multitaper_power(spark, sf_dir):
     return rounded(G.multitaper(_signal(spark, sf_dir), ["row_id"], RATE, FREQS, CYCLES, hop=4), "power", digits=8)
 
 
+def _cross_sums(spark, sf_dir, kernels):
+    s = traces(spark, sf_dir).select(F.col("grp").alias("rec"), F.col("row_id").cast("string").alias("channel"), F.col("t_pos").cast("long").alias("sample_idx"), "value")
+    return Y.cross_sums(s, _neighbours(spark, sf_dir), ["rec"], FREQS, kernels, hop=2)
+
+
 @register("pair_measures")
 def pair_measures(spark, sf_dir):
     """Coherence, PLV, ciPLV, PLI and wPLI of neighbouring channels."""
-    prod = K.pair_products(_coefficients(spark, sf_dir), _neighbours(spark, sf_dir), ["rec"])
-    return rounded(K.pair_measures(prod, ["rec"]), *K.MEASURES)
+    return rounded(Y.measures_of(_cross_sums(spark, sf_dir, Y.morlet_kernels(RATE, FREQS, CYCLES)), ["rec"]), *K.MEASURES)
+
+
+@register("pair_measures_multitaper")
+def pair_measures_multitaper(spark, sf_dir):
+    """The same over Slepian tapers."""
+    return rounded(Y.measures_of(_cross_sums(spark, sf_dir, Y.multitaper_kernels(RATE, FREQS, CYCLES)), ["rec"]), *K.MEASURES)
 
 
 @register("pair_measures_windowed")
@@ -348,12 +359,21 @@ def pair_measures_windowed(spark, sf_dir):
     return rounded(K.windowed_measures(prod, ["rec"], {0: 8, 1: 8, 2: 4, 3: 4}, ("coh", "plv")), "coh", "plv")
 
 
+_BANDS = [("low", 8.0, 16.0), ("all", 8.0, 24.0)]
+
+
 @register("phase_slope_index")
 def phase_slope_index(spark, sf_dir):
     """Phase slope per band."""
-    prod = K.pair_products(_coefficients(spark, sf_dir), _neighbours(spark, sf_dir), ["rec"])
-    bands = spark.createDataFrame([("low", 8.0, 16.0), ("all", 8.0, 24.0)], "band string, start double, end double")
-    return rounded(K.phase_slope(prod, ["rec"], bands), "psi", digits=8)
+    sums = _cross_sums(spark, sf_dir, Y.morlet_kernels(RATE, FREQS, CYCLES))
+    return rounded(Y.phase_slope_of(sums, ["rec"], spark.createDataFrame(_BANDS, "band string, start double, end double"), RATE), "psi", digits=8)
+
+
+@register("phase_slope_multitaper")
+def phase_slope_multitaper(spark, sf_dir):
+    """Phase slope per band over Slepian tapers."""
+    sums = _cross_sums(spark, sf_dir, Y.multitaper_kernels(RATE, FREQS, CYCLES))
+    return rounded(Y.phase_slope_of(sums, ["rec"], spark.createDataFrame(_BANDS, "band string, start double, end double"), RATE), "psi", digits=8)
 
 
 @register("granger_net")
