@@ -4,8 +4,9 @@ A cover D modulo v holds, for any two positions i and j, a shift d < v with both
 (i + d) mod v and (j + d) mod v in D. Two equal runs of ``window`` words therefore
 share an anchor of ``window - v + 1`` words that starts at a cover position in both
 documents. Only cover positions are hashed; where an anchor is shared by two
-documents, the windows around it are hashed whole (80 bits) and the smallest
-doc_id of each window is found. Both exchanges first merge entries inside a task,
+documents, the windows around it are hashed whole (96 bits, so that among 10^13
+windows a chance of one in a thousand is left that any two different ones agree) and the
+smallest doc_id of each window is found. Both exchanges first merge entries inside a task,
 so a passage that a third of all documents hold moves once per task, not once per
 document.
 """
@@ -149,7 +150,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
             if not len(at):
                 continue
             h1, h2 = gram_hashes(text.hashes, window, 1)[at], gram_hashes(text.hashes, window, 2)[at]
-            h2 = (h2 >> _U(48)).astype(np.uint16)
+            h2 = (h2 >> _U(32)).astype(np.uint32)
             owner = text.owners()[at]
             d, p, v = ids[owner], (at - text.bounds[owner]).astype(np.int32), np.array([_version(text, r) for r in range(e - s)], _I)[owner]
             order, first = _settle_local([h1, h2], d)
@@ -159,12 +160,12 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, period: int = 7)
             for part, flag in ((~late, 0), (late, 2)):
                 where = _doc_bucket(d[part], buckets) if flag else (h1[part] % _U(buckets)).astype(_I)
                 n = part.sum()
-                found.append(pack(where, {"h1": h1[part] if not flag else np.empty((n, 0), _U), "h2": h2[part] if not flag else np.empty((n, 0), np.uint16), "doc": d[part], "pos": p[part], "ver": v[part], "flag": np.full(n, flag, np.int8)}))
+                found.append(pack(where, {"h1": h1[part] if not flag else np.empty((n, 0), _U), "h2": h2[part] if not flag else np.empty((n, 0), np.uint32), "doc": d[part], "pos": p[part], "ver": v[part], "flag": np.full(n, flag, np.int8)}))
         found = list(batches_of(found))
         return pa.Table.from_batches(found) if found else _nothing("h1", "h2", "doc", "pos", "ver", "flag")
 
     def late_windows(table: pa.Table) -> pa.Table:
-        x1, x2 = unpack(table, "h1", _U), unpack(table, "h2", np.uint16)
+        x1, x2 = unpack(table, "h1", _U), unpack(table, "h2", np.uint32)
         d, p, v, f = unpack(table, "doc", _I), unpack(table, "pos", np.int32), unpack(table, "ver", _I), unpack(table, "flag", np.int8)
         ask = np.flatnonzero(f == 0)
         order, first = _settle_local([x1, x2], d[ask])
