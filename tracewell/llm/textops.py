@@ -59,7 +59,8 @@ def word_spans(raw: bytes, more: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[np.frombuffer(raw, np.uint8)]
     for b in more:
         space |= np.frombuffer(raw, np.uint8) == b
-    edge = np.flatnonzero(np.diff(np.r_[True, space, True].view(np.int8)))
+    space = np.concatenate([[True], space, [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
     return edge[::2], edge[1::2]
 
 
@@ -167,14 +168,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
     """Cut rows 0..n into runs of about ``limit`` bytes; one longer row is a run of its own."""
-    out, start, total = [], 0, 0
-    for i, s in enumerate(sizes):
-        if total and total + s > limit:
-            out.append((start, i))
-            start, total = i, 0
-        total += int(s)
-    if start < len(sizes):
-        out.append((start, len(sizes)))
+    out, start, ends = [], 0, np.cumsum(sizes, dtype=np.int64)
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        out.append((start, end))
+        start = end
     return out
 
 
