@@ -119,38 +119,46 @@ def circular_fill(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("value", value).drop("_n", "_c", "_p", "_lo", "_hi")
 
 
+def lowess_circle(y: np.ndarray, k: int, rounds: int = 2) -> np.ndarray:
+    """Local linear regression around a circle: each point's ``k`` nearest positions (itself, then one to the left, one to the right and so on).
+
+    Tricube weights by distance, times bisquare weights of the residuals of the round before; missing values (NaN) have no weight, and a point
+    without weight around it keeps what it had.
+    """
+    n = len(y)
+    k = max(2, min(k, 2 * n + 1))
+    x = np.array([(i + 1) // 2 * (-1 if i % 2 else 1) for i in range(k)])
+    h = np.abs(x).max() or 1
+    near = (np.arange(n)[:, None] + x) % n
+    known = ~np.isnan(y)
+    base = (1 - (np.abs(x) / (h * 1.0001)) ** 3) ** 3 * known[near]
+    values, fit, robust = np.where(known, y, 0.0)[near], y.copy(), np.ones(n)
+    for _ in range(rounds + 1):
+        w = base * robust[near]
+        total = w.sum(axis=1)
+        some = total > 0
+        share = np.where(some, total, 1.0)
+        mx, my = (w * x).sum(axis=1) / share, (w * values).sum(axis=1) / share
+        var = (w * (x - mx[:, None]) ** 2).sum(axis=1)
+        slope = np.where(var > 0, (w * (x - mx[:, None]) * (values - my[:, None])).sum(axis=1) / np.where(var > 0, var, 1.0), 0.0)
+        fit = np.where(some, my - slope * mx, fit)
+        left = np.abs(y - fit)[known]
+        scale = 6 * np.median(left) if len(left) else 0.0
+        robust = np.ones(n)
+        if scale > 0:
+            robust[known] = np.clip(1 - (left / scale) ** 2, 0, None) ** 2
+    return fit
+
+
 def circular_lowess(cells: DataFrame, keys: Sequence[str], frac: float = 0.05, rounds: int = 2) -> DataFrame:
     """Local linear regression of each cyclic trace, tricube weights, ``rounds`` robust passes (column smooth).
 
-    The window holds frac of three copies of the trace, as many neighbours to both sides.
+    The window holds frac of three copies of the trace, as many neighbours to both sides, and at most two rounds of the circle. A trace is one group.
     """
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_pos")
-        y = pdf["value"].to_numpy(float)
-        n = len(y)
-        k = max(2, int(np.ceil(frac * 3 * n)))
-        offs = np.arange(n * 3) - n
-        tripled = y[offs % n]
-        fit, robust = y.copy(), np.ones(3 * n)
-        for _ in range(rounds + 1):
-            for i in range(n):
-                d = np.abs(offs - i)
-                near = np.argsort(d, kind="stable")[:k]
-                h = d[near].max() or 1
-                wt = (1 - np.minimum(d[near] / (h * 1.0001), 1) ** 3) ** 3 * robust[near]
-                x = offs[near] - i
-                sw = wt.sum()
-                if sw <= 0:
-                    continue
-                mx, my = (wt * x).sum() / sw, (wt * tripled[near]).sum() / sw
-                var = (wt * (x - mx) ** 2).sum()
-                slope = (wt * (x - mx) * (tripled[near] - my)).sum() / var if var > 0 else 0.0
-                fit[i] = my - slope * mx
-            res = np.abs(y - fit)
-            scale = 6 * np.median(res)
-            robust = (np.clip(1 - (res / scale) ** 2, 0, None) ** 2)[offs % n] if scale > 0 else np.ones(3 * n)
-        return pdf.assign(smooth=fit)
+        return pdf.assign(smooth=lowess_circle(pdf["value"].to_numpy(float), int(np.ceil(frac * 3 * len(pdf))), rounds))
 
     return cells.groupBy(*keys).applyInPandas(smooth, ", ".join(f"`{c}` {t}" for c, t in [*cells.dtypes, ("smooth", "double")]))
 

@@ -47,16 +47,16 @@ def pair_measures(products: DataFrame, keys: Sequence[str], measures: Sequence[s
     return products.groupBy(*keys, "a", "b", "f_pos", "freq").agg(*(_measures(F.avg)[m].alias(m) for m in measures))
 
 
-def windowed_measures(products: DataFrame, keys: Sequence[str], half: dict[int, int], measures: Sequence[str] = MEASURES, idx: str = "sample_idx") -> DataFrame:
-    """Measures in centred windows of half[f_pos] rows to both sides; NULL where the window leaves the record.
+def windowed_measures(products: DataFrame, keys: Sequence[str], half: dict[int, int], measures: Sequence[str] = MEASURES, idx: str = "sample_idx", hop: int = 1) -> DataFrame:
+    """Measures in centred windows of half[f_pos] samples, ``hop`` indexes apart, to both sides; NULL where the window leaves the record or lacks a sample.
 
     Frequencies of equal window length share one plan branch.
     """
     out = None
     for h in sorted(set(half.values())):
         own = products.where(F.col("f_pos").isin([f for f, v in half.items() if v == h]))
-        w = Window.partitionBy(*keys, "a", "b", "f_pos").orderBy(idx).rowsBetween(-h, h)
-        whole = F.count("*").over(w) == 2 * h + 1
+        w = Window.partitionBy(*keys, "a", "b", "f_pos").orderBy(idx).rangeBetween(-h * hop, h * hop)
+        whole = F.count("re").over(w) == 2 * h + 1
         got = _measures(lambda c, w=w: F.avg(c).over(w))
         part = own.select(*keys, "a", "b", "f_pos", "freq", idx, *(F.when(whole, got[m]).alias(m) for m in measures))
         out = part if out is None else out.unionByName(part)
@@ -82,15 +82,16 @@ def granger(signal: DataFrame, pairs: DataFrame, keys: Sequence[str], lags: int
     """Directed score log(var restricted / var full) of b given its own past and a's: keys, a, b, value.
 
     Spark builds the Gram sums of lagged products (one aggregation over all samples); a small least squares per
-    pair follows. ``reverse`` runs time backwards.
+    pair follows. ``reverse`` runs time backwards. Lags are steps of the sample index: a sample counts only if it and all its lags are there, in both channels.
     """
     w = Window.partitionBy(*keys, channel).orderBy(F.desc(idx) if reverse else F.asc(idx))
-    past = signal.select(*keys, channel, idx, F.col("value").alias("_v0"), *(F.lag("value", i).over(w).alias(f"_v{i}") for i in range(1, lags + 1)))
+    back = lambda i: F.when(F.abs(F.col(idx) - F.lag(idx, i).over(w)) == i, F.lag("value", i).over(w)).alias(f"_v{i}")
+    past = signal.select(*keys, channel, idx, F.col("value").alias("_v0"), *(back(i) for i in range(1, lags + 1)))
     p = pairs.select("a", "b")
     b = past.join(p, past[channel] == p["b"]).drop(channel)
-    a = past.select(*keys, idx, F.col(channel).alias("a"), *(F.col(f"_v{i}").alias(f"_u{i}") for i in range(1, lags + 1)))
+    a = past.select(*keys, idx, F.col(channel).alias("a"), *(F.col(f"_v{i}").alias(f"_u{i}") for i in range(lags + 1)))
     names = [f"_v{i}" for i in range(lags + 1)] + [f"_u{i}" for i in range(1, lags + 1)]
-    met = meet(b, a, [*keys, idx, "a"]).where(f"_v{lags} is not null and _u{lags} is not null")
+    met = meet(b, a, [*keys, idx, "a"]).where(" and ".join(f"{n} is not null" for n in (*names, "_u0")))
     cols = [F.lit(1.0), *(F.col(n) for n in names)]
     sums = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
     gram = met.groupBy(*keys, "a", "b").agg(*sums)

@@ -112,6 +112,30 @@ def apply_sync(events: DataFrame, lag: float, ratio: float, length: float, t: st
     return events.withColumn(t, (F.col(t) + lag) * ratio).where(F.col(t).between(0, length))
 
 
+def sync_samples(signal: DataFrame, keys: Sequence[str], lag: float, rate: float, idx: str = "sample_idx", value: str = "value") -> DataFrame:
+    """Samples on the clock of a synchronised record: the first lag * rate (halves to even) are cut off, or with a negative lag as many zeros stand before them.
+
+    A record that would be cut off whole is an error. Columns but keys, idx and value are dropped.
+    """
+    if rate <= 0:
+        raise ValueError("the rate is above 0")
+    shift = round(lag * rate)
+    moved = signal.select(*keys, F.col(idx).cast("long").alias(idx), value)
+    if shift >= 0:
+        if not moved.groupBy(*keys).agg(F.max(idx).alias("_m")).where(F.col("_m") < shift).isEmpty():
+            raise ValueError("the lag cuts off a whole record")
+        return moved.where(F.col(idx) >= shift).withColumn(idx, F.col(idx) - shift)
+    zeros = moved.select(*keys).distinct().withColumn(idx, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-shift - 1).cast("long"))))
+    return moved.withColumn(idx, F.col(idx) - shift).unionByName(zeros.withColumn(value, F.lit(0.0).cast(dict(signal.dtypes)[value])))
+
+
+def sync_annotations(annotations: DataFrame, lag: float, before: float, after: float, length: float) -> DataFrame:
+    """Annotations (start, end in seconds) of a record whose rate turned out to be ``after`` instead of ``before``, moved by the lag; those that start outside 0 and ``length`` go."""
+    scale = before / after
+    out = annotations.withColumns({"start": F.col("start") * scale - lag, "end": F.col("end") * scale - lag})
+    return out.where(F.col("start").between(0, length))
+
+
 def pair_markers(pairs: DataFrame, ref: DataFrame, ext: DataFrame) -> DataFrame:
     """Explicit pairs (ref_id, ext_id) with the times of both markers; a missing marker is an error."""
     out = pairs.join(ref.select(F.col("id").alias("ref_id"), F.col("t").alias("ref_s")), "ref_id", "left").join(ext.select(F.col("id").alias("ext_id"), F.col("t").alias("ext_s")), "ext_id", "left")

@@ -12,10 +12,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.intervals import meet
+from tracewell.operators.intervals import clip, meet, points_in, union_intervals
 
 
 def blocks(signal: DataFrame, keys: Sequence[str], size: int, halo: int, idx: str = "sample_idx") -> DataFrame:
@@ -199,29 +199,57 @@ def envelope(signal: DataFrame, keys: Sequence[str], rate: float, bands: Sequenc
     return _per_block(signal, keys, size, halo, run, f"band string, {idx} long, value double", idx)
 
 
-def thresholds(env: DataFrame, keys: Sequence[str], percentile: float, baseline: DataFrame | None = None, idx: str = "sample_idx") -> DataFrame:
+def thresholds(env: DataFrame, keys: Sequence[str], percentile: float, baseline: DataFrame | None = None, idx: str = "sample_idx", fallback: str = "full") -> DataFrame:
     """Percentile per key (channel, band) over baseline samples: keys, threshold.
 
-    baseline: (record keys in common with env, start, end) in samples; without any overlap for a key, all its samples.
+    baseline: (record keys in common with env, start, end) in samples; without any overlap for a key, all its samples
+    (``fallback="full"``) or an error (``"raise"``).
     """
+    if fallback not in ("full", "raise"):
+        raise ValueError(f"unknown fallback {fallback}")
     p = percentile / 100
     if baseline is None:
         return env.groupBy(*keys).agg(F.percentile("value", p).alias("threshold"))
     on = [c for c in baseline.columns if c in env.columns and c not in ("start", "end")]
     marks = meet(env, baseline.select(*on, "start", "end"), on, "left")
     flagged = marks.groupBy(*keys, idx, "value").agg(F.max(F.coalesce(F.col(idx).between(F.col("start"), F.col("end")), F.lit(False))).alias("_in"))
-    return flagged.groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col("_in"), F.col("value")), p), F.percentile("value", p)).alias("threshold"))
-
-
-def burst_mask(env: DataFrame, limits: DataFrame, keys: Sequence[str], centres: dict[str, float], rate: float, min_cycles: float, guard: int = 0, idx: str = "sample_idx") -> DataFrame:
+    own, every = F.percentile(F.when(F.col("_in"), F.col("value")), p), F.percentile("value", p)
+    if fallback == "full":
+        return flagged.groupBy(*keys).agg(F.coalesce(own, every).alias("threshold"))
+    out = flagged.groupBy(*keys).agg(own.alias("threshold"), F.max("_in").alias("_some"))
+    return out.withColumn("threshold", F.when(F.col("_some"), F.col("threshold")).otherwise(F.raise_error(F.lit("no sample of a baseline label")).cast("double"))).drop("_some")
+
+
+def label_samples(annotations: DataFrame, keys: Sequence[str], labels: Sequence[str], rate: float, mode: str = "substring") -> DataFrame:
+    """Sample ranges (start, end, both within) of annotations (label, start, end in seconds) that a label matches; points stand for one sample's length."""
+    if mode not in ("substring", "exact"):
+        raise ValueError(f"unknown mode {mode}")
+    text = F.trim(F.lower("label"))
+    hit = F.lit(False)
+    for name in labels:
+        hit = hit | (text == name.lower() if mode == "exact" else F.contains(text, F.lit(name.lower())))
+    end = F.when(F.col("end") <= F.col("start"), F.col("start") + 1 / rate).otherwise(F.col("end"))
+    at = lambda t: F.greatest(F.lit(0), F.bround(t * rate)).cast("long")
+    return annotations.where(hit).select(*keys, at(F.col("start")).alias("start"), at(end).alias("end"))
+
+
+def guarded(edges: DataFrame, keys: Sequence[str], guard_s: float, low: Column, high: Column) -> DataFrame:
+    """Edge spans in seconds widened by a guard on both sides, such as a filter's length ``len(taps) / rate``, cut to the record and merged."""
+    return union_intervals(clip(edges, low, high, max(0.0, guard_s)), keys)
+
+def burst_mask(env: DataFrame, limits: DataFrame, keys: Sequence[str], centres: dict[str, float], rate: float, min_cycles: float, guard: int = 0, idx: str = "sample_idx", edges: DataFrame | None = None) -> DataFrame:
     """Samples over their threshold in runs of at least ceil(cycles * rate / centre): keys, idx, burst.
 
-    Samples within ``guard`` of the record's ends are no bursts.
+    Samples within ``guard`` of the record's ends are no bursts, nor are those within ``edges`` (record keys, start, end in samples, both within).
     """
     need = F.create_map(*(F.lit(x) for b, f in centres.items() for x in (b, int(math.ceil(min_cycles * rate / f)))))
     ends = Window.partitionBy(*keys)
     df = meet(env, limits, keys).withColumns({"_lo": F.min(idx).over(ends), "_hi": F.max(idx).over(ends)})
     on = (F.col("value") > F.col("threshold")) & F.col(idx).between(F.col("_lo") + guard, F.col("_hi") - guard)
+    if edges is not None:
+        own = [c for c in edges.columns if c in keys]
+        bad = points_in(df.select(*own, idx).distinct(), edges, own, idx).withColumn("_bad", F.lit(True))
+        df, on = meet(df, bad, [*own, idx], "left"), on & F.col("_bad").isNull()
     run = F.col(idx) - F.row_number().over(Window.partitionBy(*keys, "_on").orderBy(idx))
     df = df.withColumn("_on", on).withColumn("_run", run)
     n = F.count("*").over(Window.partitionBy(*keys, "_on", "_run"))

@@ -138,6 +138,29 @@ def models_by_band(df: DataFrame, band: str, x: str, y: str, least: int = 4) ->
     return out.where(F.col("n") >= least)
 
 
+#: What a point must be on each basis of the interval search: significant by the plain test, by the robust one, or by both in one direction.
+BASES = ("plain", "robust", "joint")
+
+
+def significance(df: DataFrame, alpha: float = 0.05, estimate: str = "estimate", p: str = "p", robust: str = "robust", robust_p: str = "robust_p") -> DataFrame:
+    """Adds direction, robust_direction (above_0, below_0, none) and plain_sig, robust_sig, joint_sig: a missing p is not significant, and a direction of none is not joint."""
+    way = lambda x: F.when(F.col(x) > 0, "above_0").when(F.col(x) < 0, "below_0").otherwise("none")
+    sig = lambda x: F.coalesce(F.col(x) < alpha, F.lit(False))
+    out = df.withColumns({"direction": way(estimate), "robust_direction": way(robust), "plain_sig": sig(p), "robust_sig": sig(robust_p)})
+    same = (F.col("direction") == F.col("robust_direction")) & (F.col("direction") != "none")
+    return out.withColumn("joint_sig", F.col("plain_sig") & F.col("robust_sig") & same)
+
+
+def basis_intervals(df: DataFrame, keys: Sequence[str], pos: str, n: int, least: int = 5) -> DataFrame:
+    """``interval_search`` on every basis at once, from rows of ``significance``: keys, basis, first, last, span, way.
+
+    The robust basis goes by the robust direction, the others by the plain one.
+    """
+    rows = [F.struct(F.lit(b).alias("basis"), F.col(f"{b}_sig").alias("_on"), F.col("robust_direction" if b == "robust" else "direction").alias("_dir")) for b in BASES]
+    each = df.select(*keys, pos, F.explode(F.array(*rows)).alias("_e")).select(*keys, pos, "_e.*")
+    return interval_search(each, [*keys, "basis"], pos, F.col("_on") & (F.col("_dir") != "none"), F.col("_dir"), n, least)
+
+
 def interval_search(df: DataFrame, keys: Sequence[str], pos: str, active: Column, way: Column, n: int, least: int = 5) -> DataFrame:
     """Segments of adjacent active points of one direction on a cycle of n points: keys, first, last, span, way.
 

@@ -288,6 +288,26 @@ def interval_search_circular(spark, sf_dir):
     return S.interval_search(e, ["rec"], "h", F.abs("d") > 2, F.when(F.col("d") > 0, "positive").otherwise("negative"), 24, 3)
 
 
+_CIRCLE = """u AS (SELECT user_id AS rec, CAST(hour(ts) AS INTEGER) AS h, avg(value) AS v, median(value) AS r FROM events GROUP BY ALL), m AS (SELECT rec, h, v - avg(v) OVER (PARTITION BY rec) AS e, r - avg(r) OVER (PARTITION BY rec) AS r FROM u),
+d AS (SELECT *, CASE WHEN e > 0 THEN 'above_0' WHEN e < 0 THEN 'below_0' ELSE 'none' END AS de, CASE WHEN r > 0 THEN 'above_0' WHEN r < 0 THEN 'below_0' ELSE 'none' END AS dr, coalesce(1 / (1 + abs(e)) < 0.3, false) AS se, coalesce(0.75 / (1 + abs(r)) < 0.3, false) AS sr FROM m)"""
+
+
+@register("interval_bases", f"""WITH {_CIRCLE}, a AS (SELECT rec, 'plain' AS basis, h, de AS way FROM d WHERE se AND de <> 'none' UNION ALL SELECT rec, 'robust', h, dr FROM d WHERE sr AND dr <> 'none' UNION ALL SELECT rec, 'joint', h, de FROM d WHERE se AND sr AND de = dr AND de <> 'none'),
+s AS (SELECT *, sum(n) OVER (PARTITION BY rec, basis ORDER BY h) AS seg FROM (SELECT *, CASE WHEN lag(h) OVER w = h - 1 AND lag(way) OVER w = way THEN 0 ELSE 1 END AS n FROM a WINDOW w AS (PARTITION BY rec, basis ORDER BY h))),
+g AS (SELECT rec, basis, seg, way, min(h) AS f, max(h) AS l, count(*) AS span FROM s GROUP BY ALL), x AS (SELECT *, count(*) OVER p AS k, first_value(f) OVER w AS ff, first_value(l) OVER w AS fl, first_value(way) OVER w AS fw, first_value(span) OVER w AS fs, last_value(l) OVER w AS ll, last_value(way) OVER w AS lw, row_number() OVER (PARTITION BY rec, basis ORDER BY seg) AS r
+FROM g WINDOW p AS (PARTITION BY rec, basis), w AS (PARTITION BY rec, basis ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), y AS (SELECT *, k > 1 AND ff = 0 AND ll = 23 AND fw = lw AS wrap FROM x)
+SELECT rec, basis, f AS first, CASE WHEN wrap AND r = k THEN fl ELSE l END AS last, CAST(CASE WHEN wrap AND r = k THEN span + fs ELSE span END AS BIGINT) AS span, way FROM y WHERE NOT (wrap AND r = 1) AND CASE WHEN wrap AND r = k THEN span + fs ELSE span END >= 2""")
+def interval_bases(spark, sf_dir):
+    """Active stretches of the daily circle on the plain, the robust and the joint basis."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("rec")
+    u = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("rec"), F.hour("ts").alias("h")).agg(F.avg("value").alias("v"), F.median("value").alias("r"))
+    u = u.withColumns({"estimate": F.col("v") - F.avg("v").over(own), "robust": F.col("r") - F.avg("r").over(own)})
+    u = u.withColumns({"p": 1 / (1 + F.abs("estimate")), "robust_p": 0.75 / (1 + F.abs("robust"))})
+    return S.basis_intervals(S.significance(u, 0.3), ["rec"], "h", 24, 2)
+
+
 @register("candidate_rank", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders")
 def candidate_rank(spark, sf_dir):
     """Candidates ranked over several keys."""

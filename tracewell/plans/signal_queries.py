@@ -356,7 +356,7 @@ def pair_measures_multitaper(spark, sf_dir):
 def pair_measures_windowed(spark, sf_dir):
     """The same in centred windows that depend on frequency."""
     prod = K.pair_products(_coefficients(spark, sf_dir), _neighbours(spark, sf_dir), ["rec"])
-    return rounded(K.windowed_measures(prod, ["rec"], {0: 8, 1: 8, 2: 4, 3: 4}, ("coh", "plv")), "coh", "plv")
+    return rounded(K.windowed_measures(prod, ["rec"], {0: 8, 1: 8, 2: 4, 3: 4}, ("coh", "plv"), hop=2), "coh", "plv")
 
 
 _BANDS = [("low", 8.0, 16.0), ("all", 8.0, 24.0)]
