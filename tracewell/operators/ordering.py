@@ -75,9 +75,9 @@ class Ordered:
         """The least, greatest or sum (``kind``) of ``value`` over the rows up to and with each row (``after``: from each row on); NULL values count for nothing."""
         of, with_carried, join = _KINDS[kind]
         carried = self._carried(of(F.col(f"`{value}`")), join, after)
-        w = Window.partitionBy("_part", *self.by).orderBy("_place")
-        frame = w.rowsBetween(Window.currentRow, Window.unboundedFollowing) if after else w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return self._with(carried, of(F.col(f"`{value}`")).over(frame), name, with_carried)
+        # Backwards by an order from the end: a frame up to the partition's end would be added up anew for each row.
+        w = Window.partitionBy("_part", *self.by).orderBy(F.desc("_place") if after else F.asc("_place"))
+        return self._with(carried, of(F.col(f"`{value}`")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), name, with_carried)
 
     def frame(self) -> DataFrame:
         return self.rows.select(*(F.col(f"`{c}`") for c in self.columns))
