@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tracewell.operators.prominence import nearest_higher, prominences
+from tracewell.operators.intervals import meet
+from tracewell.operators.prominence import nearest_block, nearest_higher, prominences
 
 
 def by_hand(x):
@@ -52,3 +53,27 @@ def test_nearest_higher():
 
 def test_empty(spark):
     assert prominences(spark.createDataFrame([], "k string, sample_idx int, value double"), ["k"]).count() == 0
+
+
+def test_nearest_block_against_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 17, 64):
+        most = rng.integers(0, 12, n).astype(float)
+        least = most - rng.integers(0, 5, n)
+        first, v = np.tile(np.arange(n), 3), rng.integers(-1, 12, 3 * n).astype(float)
+        place, passed = nearest_block(least, most, first, v)
+        for f, x, p, low in zip(first, v, place, passed):
+            want = max((i for i in range(f) if most[i] > x), default=-1)
+            assert p == want and low == min(least[want + 1 : f], default=np.inf)
+
+
+def test_one_row_a_slice_meets_the_extremes_of_its_record(spark, monkeypatch):
+    """Each open peak once met its record's extremes by itself: rows times blocks."""
+    from tracewell.operators import prominence as module
+
+    rows = []
+    monkeypatch.setattr(module, "meet", lambda a, b, on: (rows.append((a.columns, a.count())), meet(a, b, on))[1])
+    x = np.random.default_rng(6).normal(size=400)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, sample_idx long, value double")
+    assert {r.sample_idx: r.prominence for r in prominences(df, ["k"], size=8).collect()} == pytest.approx({i: p for i, (_, p) in by_hand(x).items()})
+    assert rows[0] == (["k", "_slice", "_open"], 1)

@@ -28,14 +28,14 @@ class Scan:
     after: bool = False
     own: bool = True
 
-    def over(self, value: Column, w: Window) -> Column:
-        one = 0 if self.own else 1
-        frame = w.rowsBetween(one, Window.unboundedFollowing) if self.after else w.rowsBetween(Window.unboundedPreceding, -one)
-        return self._of(value).over(frame)
+    def over(self, value: Column, keys: Sequence[str], place: str) -> Column:
+        """Along ``place``, which tells all rows of the keys apart; backwards by an order from the end, as a frame up to the end would be read anew for each row."""
+        w = Window.partitionBy(*keys).orderBy(F.desc(place) if self.after else F.asc(place))
+        return self._of(value).over(w.rowsBetween(Window.unboundedPreceding, 0 if self.own else -1))
 
     def _of(self, value: Column) -> Column:
         if self.kind == "near":
-            return F.first(value, ignorenulls=True) if self.after else F.last(value, ignorenulls=True)
+            return F.last(value, ignorenulls=True)
         return {"sum": F.sum, "min": F.min, "max": F.max}[self.kind](value)
 
     def total(self, value: Column, order: Sequence[str]) -> Column:
@@ -60,11 +60,12 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Colum
     """df with a column for each running value in ascending ``order`` within its keys; ``bucket`` must not fall in that order. NULL keys are a key."""
     names = {name: f"_v{i}" for i, name in enumerate(values)}
     d = df.withColumns({"_b": bucket} | {names[n]: s.value for n, s in values.items()})
-    own, record = Window.partitionBy(*keys, "_b").orderBy(*order), Window.partitionBy(*keys).orderBy("_b")
+    bucketed = [*keys, "_b"]
     totals = d.groupBy(*keys, "_b").agg(*(s.total(F.col(names[n]), order).alias(names[n]) for n, s in values.items()))
-    others = [Scan(F.col(names[n]), s.kind, s.after, own=False).over(F.col(names[n]), record).alias(f"_c{i}") for i, (n, s) in enumerate(values.items())]
+    others = [Scan(F.col(names[n]), s.kind, s.after, own=False).over(F.col(names[n]), keys, "_b").alias(f"_c{i}") for i, (n, s) in enumerate(values.items())]
     carried = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), *others)
-    here = d.withColumns({f"_h{i}": s.over(F.col(names[n]), own) for i, (n, s) in enumerate(values.items())})
+    here = d.withColumn("_at", F.row_number().over(Window.partitionBy(*bucketed).orderBy(*order)))
+    here = here.withColumns({f"_h{i}": s.over(F.col(names[n]), bucketed, "_at") for i, (n, s) in enumerate(values.items())})
     on = reduce_and([here[k].eqNullSafe(carried[f"_k{i}"]) for i, k in enumerate(keys)]) & here["_b"].eqNullSafe(carried["_kb"])
     kept = [F.col(f"`{c}`") for c in df.columns if c not in values]
     return here.join(carried, on).select(*kept, *(s.both(F.col(f"_h{i}"), F.col(f"_c{i}")).alias(n) for i, (n, s) in enumerate(values.items())))

@@ -109,11 +109,9 @@ def circular_fill(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(*keys))
     df = cells.withColumn("_n", n)
     copies = df.withColumn("_c", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_p", F.col("t_pos") + F.col("_c") * F.col("_n"))
-    w = Window.partitionBy(*keys).orderBy("_p")
     known = F.when(F.col("value").isNotNull(), F.struct("_p", "value"))
-    lo = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = copies.withColumns({"_lo": lo, "_hi": hi}).where("_c = 0")
+    near = lambda order: F.last(known, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    out = copies.withColumns({"_lo": near("_p"), "_hi": near(F.desc("_p"))}).where("_c = 0")
     blend = F.when(F.col("_hi._p") == F.col("_lo._p"), F.col("_lo.value")).otherwise(F.col("_lo.value") + (F.col("_hi.value") - F.col("_lo.value")) * (F.col("_p") - F.col("_lo._p")) / (F.col("_hi._p") - F.col("_lo._p")))
     value = F.when(F.col("_lo").isNull() & F.col("_hi").isNull(), F.raise_error(F.lit("a trace holds no value")).cast("double")).otherwise(blend)
     return out.withColumn("value", value).drop("_n", "_c", "_p", "_lo", "_hi")
