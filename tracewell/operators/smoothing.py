@@ -8,10 +8,10 @@ NULL samples are left out of a frame, and a frame without samples gives NULL.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,17 +65,27 @@ def _in_blocks(rows: DataFrame, columns: list[tuple[str, str]], keys: Sequence[s
     reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col(pos) - half) / block)), F.floor((F.col(pos) + half) / block))
     dealt = rows.withColumn("_block", F.explode(F.when(F.col(pos) + half >= 0, reach)))
     names = [c for c, _ in columns]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[pos].to_numpy().astype(np.int64)
-        place = at - at.min()
-        x, w = np.full(place.max() + 1, np.nan), np.full(place.max() + 1, np.nan)
-        x[place], w[place] = pdf["value"].to_numpy(float), pdf["_w"].to_numpy(float)
-        own = ~pdf["edge"].to_numpy(bool) & (at // block == pdf["_block"].to_numpy())
-        return pdf.loc[own, names].assign(smooth=fn(x, w)[place[own]])
-
+    inner = [c for c in names if c not in keys]
     schema = ", ".join([*(f"`{c}` {k}" for c, k in columns), "smooth double"])
-    return dealt.groupBy(*keys, "_block").applyInPandas(run, schema).withColumn("smooth", F.nanvl("smooth", F.lit(None).cast("double")))
+    packed = dealt.groupBy(*keys, "_block").agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in inner), "edge", "_w")).alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, flat = batch.column("_x").value_lengths().to_numpy(), batch.column("_x").flatten()
+            of, edges = np.repeat(np.arange(len(size)), size), np.cumsum(np.r_[0, size])
+            at, x, w, edge = (flat.field(c).to_numpy(zero_copy_only=False) for c in (pos, "value", "_w", "edge"))
+            at, x, smooth = at.astype(np.int64), x.astype(float), np.empty(len(at))
+            for s, e in zip(edges[:-1], edges[1:]):
+                place = at[s:e] - at[s:e].min()
+                whole = np.full((2, place.max() + 1), np.nan)
+                whole[:, place] = x[s:e], w[s:e]
+                smooth[s:e] = fn(*whole)[place]
+            own = np.flatnonzero(~edge.astype(bool) & (at // block == batch.column("_block").to_numpy()[of]))
+            near = pa.array(own)
+            cells = [batch.column(c).take(pa.array(of[own])) if c in keys else flat.field(c).take(near) for c in names]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(smooth[own])], names=[*names, "smooth"])
+
+    return packed.mapInArrow(run, schema).withColumn("smooth", F.nanvl("smooth", F.lit(None).cast("double")))
 
 
 def sliding_median(values: Sequence[float], half: int) -> np.ndarray:
