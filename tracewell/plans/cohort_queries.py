@@ -274,6 +274,11 @@ def models_by_band(spark, sf_dir):
     return rounded(rounded(S.models_by_band(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_retailprice"), "slope", "r2"), "intercept", digits=4)
 
 
+def _level(c):
+    """A level without the noise of summation, so that one on a threshold is judged alike whatever order its rows come in."""
+    return F.round(c, 9)
+
+
 @register("interval_search_circular", """WITH b AS (SELECT user_id AS rec, CAST(hour(ts) AS INTEGER) AS h, avg(value) AS v FROM events GROUP BY ALL), m AS (SELECT *, v - avg(v) OVER (PARTITION BY rec) AS d FROM b), a AS (SELECT rec, h, CASE WHEN d > 0 THEN 'positive' ELSE 'negative' END AS way FROM m WHERE abs(d) > 2),
 s AS (SELECT *, sum(n) OVER (PARTITION BY rec ORDER BY h) AS seg FROM (SELECT *, CASE WHEN lag(h) OVER w = h - 1 AND lag(way) OVER w = way THEN 0 ELSE 1 END AS n FROM a WINDOW w AS (PARTITION BY rec ORDER BY h))),
 g AS (SELECT rec, seg, way, min(h) AS f, max(h) AS l, count(*) AS span FROM s GROUP BY ALL), x AS (SELECT *, count(*) OVER p AS k, first_value(f) OVER w AS ff, first_value(l) OVER w AS fl, first_value(way) OVER w AS fw, first_value(span) OVER w AS fs, last_value(l) OVER w AS ll, last_value(way) OVER w AS lw, row_number() OVER (PARTITION BY rec ORDER BY seg) AS r
@@ -284,7 +289,7 @@ def interval_search_circular(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("rec"), F.hour("ts").alias("h")).agg(F.avg("value").alias("v"))
     from pyspark.sql import Window
 
-    e = e.withColumn("d", F.col("v") - F.avg("v").over(Window.partitionBy("rec")))
+    e = e.withColumn("d", _level(F.col("v") - F.avg("v").over(Window.partitionBy("rec"))))
     return S.interval_search(e, ["rec"], "h", F.abs("d") > 2, F.when(F.col("d") > 0, "positive").otherwise("negative"), 24, 3)
 
 
@@ -303,7 +308,7 @@ def interval_bases(spark, sf_dir):
 
     own = Window.partitionBy("rec")
     u = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("rec"), F.hour("ts").alias("h")).agg(F.avg("value").alias("v"), F.median("value").alias("r"))
-    u = u.withColumns({"estimate": F.col("v") - F.avg("v").over(own), "robust": F.col("r") - F.avg("r").over(own)})
+    u = u.withColumns({"estimate": _level(F.col("v") - F.avg("v").over(own)), "robust": _level(F.col("r") - F.avg("r").over(own))})
     u = u.withColumns({"p": 1 / (1 + F.abs("estimate")), "robust_p": 0.75 / (1 + F.abs("robust"))})
     return S.basis_intervals(S.significance(u, 0.3), ["rec"], "h", 24, 2)
 
