@@ -259,6 +259,15 @@ def test_wrappers_decide(spark, bound):
     assert all(main_text(h) != t for h, t in made)
 
 
+@pytest.mark.parametrize("bound", [16_000_000, 0])
+def test_every_page_decides_on_literals(spark, bound):
+    """A text on which the samples agree is no frame if one of the other pages holds another text there."""
+    odd = lambda h, k: f"Only {h}" if k == h else "Same"
+    rows = [(100 * h + k, f"http://h{h}.org/{k}", f"<p>Site</p><div>{odd(h, k)}</div><div>own {k}</div>") for h in range(12) for k in range(30)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=bound).collect()}
+    assert got == {100 * h + k: f"{odd(h, k)}\n\nown {k}" for h in range(12) for k in range(30)}
+
+
 def test_wrapper_fits_its_pages():
     """Every page is in the language of the wrapper that it helped to infer: a brute-force matcher consumes it whole."""
     def ends(items, page, at):

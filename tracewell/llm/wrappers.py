@@ -10,6 +10,9 @@ matched against it; where they part, the mismatch becomes
 * a repeated group, when the square before the mismatch occurs once more on one side,
 * an optional group otherwise, up to the nearest token on which both sides agree again.
 
+Then every page of a template is held against its wrapper: a literal text that any of them does not bear out
+becomes a slot, so that a frame text is one on which all pages agree, sampled or not.
+
 Every page is then matched against its template's wrapper. Text that falls on a literal is
 frame; text in slots, repeated and optional groups, and text that the wrapper does not
 know, is content. Elements whose tag, role, class or id names a menu, header, footer, sidebar,
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import keep
@@ -257,9 +260,9 @@ def align(wrapper: list, page: list[str]) -> list:
     return out.items
 
 
-def match(wrapper: list, page: list[str]) -> list[bool]:
-    """For each text of a page, in order: whether it falls on a literal of the wrapper."""
-    places, frame = _Places(page), [False] * len(page)
+def _met(wrapper: list, page: list[str]) -> list[tuple[int, int]]:
+    """(item, page place) of the literal texts of a wrapper that stand in a page where the wrapper has them."""
+    places, met = _Places(page), []
     i = j = 0
     while i < len(wrapper) and j < len(page):
         item = wrapper[i]
@@ -274,7 +277,8 @@ def match(wrapper: list, page: list[str]) -> list[bool]:
             j += page[j][0] == "="
             i += 1
         elif item[1] == page[j]:
-            frame[j] = item[1][0] == "="
+            if item[1][0] == "=":
+                met.append((i, j))
             i, j = i + 1, j + 1
         elif page[j][0] == "=":
             j += 1
@@ -283,7 +287,23 @@ def match(wrapper: list, page: list[str]) -> list[bool]:
             i += 1
         else:
             i, j = places.agree(wrapper, i, j) or (len(wrapper), len(page))
-    return [f for f, token in zip(frame, page) if token[0] == "="]
+    return met
+
+
+def match(wrapper: list, page: list[str]) -> list[bool]:
+    """For each text of a page, in order: whether it falls on a literal of the wrapper."""
+    frame = {j for _, j in _met(wrapper, page)}
+    return [j in frame for j, token in enumerate(page) if token[0] == "="]
+
+
+def refuted(wrapper: list, page: list[str]) -> set[int]:
+    """Items of literal text that a page does not bear out: it holds other text in their place, or none."""
+    return {i for i, item in enumerate(wrapper) if item[0] == "t" and item[1][0] == "="} - {i for i, _ in _met(wrapper, page)}
+
+
+def without(wrapper: list, items: set[int]) -> list:
+    """The wrapper with slots in place of some literal texts. A page takes the same way through it."""
+    return [["slot"] if i in items else item for i, item in enumerate(wrapper)]
 
 
 def _loosen(items: list) -> list:
@@ -356,8 +376,48 @@ def main_text(html: str | None, wrapper: list | None = None) -> str:
     return "\n\n".join(inside or outside)
 
 
-def infer_wrappers(pages: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(host, template, wrapper JSON) of every template of a host with two different pages or more."""
+def _template(html: str) -> Column:
+    @F.arrow_udf("string")
+    def template(html: pa.Array) -> pa.Array:
+        return pa.array([template_of(flatten(h or "")) for h in html.to_pylist()], pa.string())
+
+    return template(html)
+
+
+def infer_wrappers(pages: DataFrame, samples: int = SAMPLES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(host, template, wrapper JSON) of every template of a host with two different pages or more.
+
+    Their form comes from the samples, their literal texts are those that every page of the template bears out.
+    """
+    found = keep(_sampled_wrappers(pages, samples), "sampled")
+    sure = found.where(F.contains("wrapper", F.lit('["t", "=')))
+    if sure.isEmpty():
+        return found
+    near = F.broadcast if _bytes(sure) <= broadcast_bytes else lambda df: df
+    asked = pages.where("html is not null").join(near(sure.select("host").distinct()), "host", "left_semi")
+    met = asked.select("host", "html", _template("html").alias("template")).join(near(sure), ["host", "template"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: dict[tuple[str, str], set[int]] = {}
+        for batch in batches:
+            for host, template, html, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "template", "html", "wrapper"))):
+                items.setdefault((host, template), set()).update(refuted(_read_wrapper(wrapper), flatten(html)))
+        rows = [(*key, i) for key, own in items.items() for i in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["host", "template", "item"])
+
+    @F.arrow_udf("string")
+    def slotted(wrapper: pa.Array, items: pa.Array) -> pa.Array:
+        return pa.array([json.dumps(without(json.loads(w), set(i)), ensure_ascii=False) if i else w for w, i in zip(wrapper.to_pylist(), items.to_pylist())], pa.string())
+
+    refutes = met.select("host", "template", "html", "wrapper").mapInArrow(gather, "host string, template string, item int").groupBy("host", "template").agg(F.collect_set("item").alias("items"))
+    return found.join(refutes, ["host", "template"], "left").select("host", "template", slotted("wrapper", "items").alias("wrapper"))
+
+
+def _bytes(wrappers: DataFrame) -> int:
+    return wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 16)).first()[0] or 0
+
+
+def _sampled_wrappers(pages: DataFrame, samples: int) -> DataFrame:
 
     @F.arrow_udf("template string, stream long")
     def marks_of(html: pa.Array) -> pa.Array:
@@ -397,9 +457,8 @@ def extract_main_text(pages: DataFrame, samples: int = SAMPLES, broadcast_bytes:
     decoded, white space inside a block becomes one space. Wrappers of more than ``broadcast_bytes`` are joined.
     """
     pages = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url").cast("string")).alias("host"))
-    wrappers = keep(infer_wrappers(pages, samples), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 16)).first()[0] or 0
-    if size <= broadcast_bytes:
+    wrappers = keep(infer_wrappers(pages, samples, broadcast_bytes), "wrappers")
+    if _bytes(wrappers) <= broadcast_bytes:
         known = pages.sparkSession.sparkContext.broadcast({(r.host, r.template): r.wrapper for r in wrappers.collect()})
 
         @F.arrow_udf("string")
@@ -411,15 +470,11 @@ def extract_main_text(pages: DataFrame, samples: int = SAMPLES, broadcast_bytes:
         out = pages.select("page_id", "url", text_of("html", "host").alias("text"))
     else:
 
-        @F.arrow_udf("string")
-        def template(html: pa.Array) -> pa.Array:
-            return pa.array([template_of(flatten(h or "")) for h in html.to_pylist()], pa.string())
-
         @F.arrow_udf("string")
         def text_by(html: pa.Array, wrapper: pa.Array) -> pa.Array:
             return pa.array([main_text(h, _read_wrapper(w)) for h, w in zip(html.to_pylist(), wrapper.to_pylist())], pa.string())
 
-        out = pages.withColumn("template", template("html")).join(wrappers, ["host", "template"], "left").select("page_id", "url", text_by("html", "wrapper").alias("text"))
+        out = pages.withColumn("template", _template("html")).join(wrappers, ["host", "template"], "left").select("page_id", "url", text_by("html", "wrapper").alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
