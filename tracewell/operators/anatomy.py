@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tracewell.operators.cohort import pair_key
 from tracewell.operators.intervals import meet
 
+#: Channels on a side of a square of pairs.
+SIDE = 2048
+
 
 def join_coordinates(features: DataFrame, dim: DataFrame, on: Sequence[str], order: str, small: bool = True) -> DataFrame:
     """Left join to a dimension, its first row per key (by ``order``) kept; clashing columns get ``_repcoord``.
@@ -49,13 +53,36 @@ def _pairs(channels: DataFrame, keys: Sequence[str], regions: Sequence[tuple[str
     own = [c for c in channels.columns if c not in keys and c != name]
     left = channels.select(*keys, F.col(name).alias("a"), *(F.col(c).alias(f"{c}_a") for c in own))
     right = channels.select(*keys, F.col(name).alias("b"), *(F.col(c).alias(f"{c}_b") for c in own))
-    out = meet(left, right, keys).where(which)
+    out = _squares(left, right, keys).where(which)
     flag = lambda r, s: F.coalesce(F.col(f"{r}_in_{s}"), F.lit(False))
     marks = {f"{p}-{q}_in": (flag(p, "a") & flag(q, "b")) | (flag(q, "a") & flag(p, "b") if both else F.lit(False)) for p, q in regions}
     xyz = [c for c in own if not c.endswith("_in")]
     return out.withColumns(marks).select(*keys, "a", "b", *(f"{c}_{s}" for c in xyz for s in ("a", "b")), *marks)
 
 
+def _squares(left: DataFrame, right: DataFrame, keys: Sequence[str], side: int = SIDE) -> DataFrame:
+    """Inner join of two sides of the same rows by keys (NULL is a key), as ``meet``.
+
+    A record of n rows has n * n pairs however few bytes it holds, so its rows are dealt into parts of about ``side``, and every two parts are a square
+    that is met on its own; there are as many tasks as squares of full size. What is exchanged is a row for each ``side / 2`` pairs.
+    """
+    n = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    pairs = n.agg(F.sum(F.col("_n").cast("double") ** 2)).first()[0] or 0
+    if pairs <= side * side:
+        return meet(left, right, keys)
+    tasks = min(math.ceil(pairs / side / side), 20000)
+    n = n.withColumn("_n", F.ceil(F.col("_n") / side))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*rows.columns), F.col("_n"))
+        out = meet(rows, n, keys).withColumns({own: part, other: F.explode(F.sequence(F.lit(0), F.col("_n") - 1))})
+        # One column of one type on both sides: its NULLs are equal, and its partitions are those of the join.
+        square = F.struct(*keys, *(F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("_l", "_r")))
+        return out.withColumn("_square", square).drop("_n", "_l", "_r").repartition(tasks, "_square")
+
+    return dealt(left, "_l", "_r").join(dealt(right, "_r", "_l").drop(*keys), "_square").drop("_square")
+
+
 def contact_coordinates(channels: DataFrame, contacts: DataFrame, keys: Sequence[str], rep: str = "midpoint") -> DataFrame:
     """Coordinates of channels (anode, cathode) at the anode, the cathode or between; a case or ground cathode allows the anode only."""
     c = F.broadcast(contacts)
@@ -102,7 +129,8 @@ def self_pairs(channels: DataFrame, keys: Sequence[str], ordered: bool = False,
     on = [*keys, *([group] if group else [])]
     a = channels.select(*on, F.col(pos).alias("_pa"), F.col(name).alias("a"))
     b = channels.select(*on, F.col(pos).alias("_pb"), F.col(name).alias("b"))
-    return a.join(b, on).where(F.col("_pa") != F.col("_pb") if ordered else F.col("_pa") < F.col("_pb")).select(*on, "a", "b")
+    a, b = (x.dropna(subset=on) for x in (a, b))
+    return _squares(a, b, on).where(F.col("_pa") != F.col("_pb") if ordered else F.col("_pa") < F.col("_pb")).select(*on, "a", "b")
 
 
 def resolve_pairs(channels: DataFrame, keys: Sequence[str], pairs: DataFrame | None = None, group: str | None = None, ordered: bool = False) -> DataFrame:
