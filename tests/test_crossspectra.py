@@ -122,3 +122,14 @@ def test_empty(spark):
     signal, pairs = table(spark, recordings(5)), spark.createDataFrame(PAIRS, "a string, b string")
     for s, p in ((signal.limit(0), pairs), (signal, pairs.limit(0))):
         assert C.measures_of(C.cross_sums(s, p, ["rec"], FREQS, kernels("morlet")), ["rec"]).count() == 0
+
+
+def test_batches_go_in_slices():
+    """A task works on few blocks at a time, however many an Arrow batch holds; rows and order stay."""
+    import pyarrow as pa
+
+    from tracewell.operators.crossspectra import slices
+
+    got = list(slices([pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 1000, 5)]))
+    assert max(b.num_rows for b in got) <= 64
+    assert [x for b in got for x in b.column("x").to_pylist()] == [*range(1000), *range(5)]
