@@ -53,17 +53,18 @@ def correlation_peaks(signal: DataFrame, templates: DataFrame, keys: Sequence[st
 
     def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, row in enumerate(batch.select(["block", "x", "template"]).to_pylist()):
-                t = np.asarray(row["template"], float)
+            for n in range(batch.num_rows):
+                block, x, t = (batch.column(c)[n] for c in ("block", "x", "template"))
+                t = t.values.to_numpy(zero_copy_only=False).astype(float)
                 if not 2 <= len(t) <= longest:
                     raise ValueError(f"a template has {len(t)} numbers")
-                at = np.array([s["i"] for s in row["x"]], np.int64)
+                at, values = x.values.field("i").to_numpy(), x.values.field("value").to_numpy(zero_copy_only=False).astype(float)
                 x = np.full(at.max() - at.min() + 1, np.nan)
-                x[at - at.min()] = [np.nan if s["value"] is None else s["value"] for s in row["x"]]
+                x[at - at.min()] = values
                 r = np.nan_to_num(sliding_correlation(x, t), nan=-2.0)
                 top = np.flatnonzero((r > np.r_[-2.0, r[:-1]]) & (r >= np.r_[r[1:], -2.0])) if len(r) else np.empty(0, int)
                 place = top + at.min() + int(np.argmax(np.abs(t)))
-                core = place // size == row["block"]
+                core = place // size == block.as_py()
                 own = [batch.column(k).take(pa.array([n] * int(core.sum()), pa.int32())) for k in keys]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(place[core], pa.int64()), pa.array(r[top[core]])], names=[*keys, idx, "r"])
 
