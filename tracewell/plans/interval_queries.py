@@ -173,8 +173,8 @@ SELECT x.k AS l_orderkey, x.i AS l_linenumber, CAST(x.i - (SELECT count(*) FROM
 def remove_and_close(spark, sf_dir):
     """Bad samples removed and the rest renumbered."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_returnflag")
-    bad = li.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end")).distinct()
-    return I.remove_and_close(li.select("l_orderkey", "l_linenumber").distinct(), bad, ["l_orderkey"], "l_linenumber")
+    bad = li.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"))
+    return I.remove_and_close(I.dealt(li.select("l_orderkey", "l_linenumber"), ["l_orderkey"]).distinct(), bad, ["l_orderkey"], "l_linenumber")
 
 
 @register("compress_annotations", f"""WITH {_SIDES} SELECT c.rec, c.id, CAST(c.s - coalesce((SELECT sum(greatest(0, least(c.s, u.e) - u.s)) FROM u WHERE u.rec = c.rec AND u.s < c.e), 0) AS BIGINT) AS start,
