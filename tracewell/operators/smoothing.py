@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.intervals import reduce_and
+from tracewell.operators.intervals import dealt, reduce_and
 
 MODES = ("nearest", "reflect", "mirror", "constant", "wrap")
 #: Samples of a block of a long trace.
@@ -36,26 +36,32 @@ def _copies(p: Column, n: Column, half: int, mode: str) -> Column:
     return F.filter(at, lambda t: t.between(-half, -1) | t.between(n, n + half - 1))
 
 
-def with_edges(cells: DataFrame, keys: Sequence[str], half: int, mode: str, pos: str = "t_pos", cval: float = 0.0) -> DataFrame:
+def with_edges(cells: DataFrame, keys: Sequence[str], half: int, mode: str, pos: str = "t_pos", cval: float = 0.0, whole: bool = False) -> DataFrame:
     """cells and copies of their rows up to ``half`` positions beyond both ends of each trace (column edge: whether a row is one).
 
-    Only rows within reach of an end are copied, however long a trace is; traces shorter than ``half`` are repeated as often as it takes.
+    Only rows within reach of an end are copied, however long a trace is; traces shorter than ``half`` are repeated as often as it takes. ``whole``: the traces
+    stand in one partition each (``intervals.dealt``), and their ends are found there.
     """
     if mode not in MODES:
         raise ValueError(f"unknown edge mode {mode}")
-    ends = cells.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg((F.max(pos) + 1).cast("int").alias("_n"))
-    met = cells.join(ends, reduce_and([cells[k].eqNullSafe(ends[f"_k{i}"]) for i, k in enumerate(keys)])).select(*(cells[c] for c in cells.columns), "_n")
-    near = met.where((F.col(pos) <= half) | (F.col(pos) >= F.col("_n") - 1 - half))
-    extra = near.withColumn("_to", F.explode(_copies(F.col(pos).cast("int"), F.col("_n"), half, mode)))
-    kinds = dict(cells.dtypes)
-    value = F.lit(float(cval)) if mode == "constant" else F.col("value")
-    extra = extra.select(*(F.col("_to").cast(kinds[c]).alias(c) if c == pos else value.cast(kinds[c]).alias(c) if c == "value" else F.col(f"`{c}`") for c in cells.columns), F.lit(True).alias("edge"))
-    return met.drop("_n").withColumn("edge", F.lit(False)).unionByName(extra)
-
-
-def _padded(cells: DataFrame, keys: Sequence[str], half: int, mode: str | None, pos: str, cval: float) -> DataFrame:
+    if whole:
+        met = cells.withColumn("_n", (F.max(pos).over(Window.partitionBy(*keys)) + 1).cast("int"))
+    else:
+        ends = cells.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg((F.max(pos) + 1).cast("int").alias("_n"))
+        met = cells.join(ends, reduce_and([cells[k].eqNullSafe(ends[f"_k{i}"]) for i, k in enumerate(keys)])).select(*(cells[c] for c in cells.columns), "_n")
+    near = (F.col(pos) <= half) | (F.col(pos) >= F.col("_n") - 1 - half)
+    none = F.array().cast("array<int>")
+    copies = F.when(near, _copies(F.col(pos).cast("int"), F.col("_n"), half, mode)).otherwise(none)
+    # A row's own place is the NULL before its copies' places.
+    met = met.withColumn("_to", F.explode(F.concat(F.array(F.lit(None).cast("int")), copies)))
+    kinds, edge = dict(cells.dtypes), F.col("_to").isNotNull()
+    value = F.when(edge, F.lit(float(cval))).otherwise(F.col("value")) if mode == "constant" else F.col("value")
+    return met.select(*(F.coalesce("_to", pos).cast(kinds[c]).alias(c) if c == pos else value.cast(kinds[c]).alias(c) if c == "value" else F.col(f"`{c}`") for c in cells.columns), edge.alias("edge"))
+
+
+def _padded(cells: DataFrame, keys: Sequence[str], half: int, mode: str | None, pos: str, cval: float, whole: bool = False) -> DataFrame:
     """Cells with their edges and the weight that a row has in a frame's total: 1, or for constant edges their value, as for a signal of ones."""
-    rows = with_edges(cells, keys, half, mode, pos, cval) if mode and half else cells.withColumn("edge", F.lit(False))
+    rows = with_edges(cells, keys, half, mode, pos, cval, whole) if mode and half else cells.withColumn("edge", F.lit(False))
     weight = F.when(F.col("edge"), F.lit(float(cval))).otherwise(1.0) if mode == "constant" else F.lit(1.0)
     return rows.withColumn("_w", F.when(F.col("value").isNotNull(), weight))
 
@@ -119,7 +125,7 @@ def smooth_median(cells: DataFrame, keys: Sequence[str], size: int, pos: str = "
 def _weighted(cells: DataFrame, keys: Sequence[str], weights: np.ndarray, pos: str, mode: str | None, cval: float, block: int | None) -> DataFrame:
     """Weighted mean of a frame of odd length; in blocks, or without ``block`` by a window over each trace."""
     half = len(weights) // 2
-    rows = _padded(cells, keys, half, mode, pos, cval)
+    rows = _padded(cells if block is not None else dealt(cells, keys), keys, half, mode, pos, cval, block is None)
     if block is not None:
 
         def mean(x: np.ndarray, w: np.ndarray) -> np.ndarray:
