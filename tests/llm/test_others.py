@@ -457,6 +457,24 @@ def test_paraphrase_by_words_that_keep_company(spark):
     assert got[1000] == [1]
 
 
+def test_latent_space_comes_in_slices(spark, monkeypatch):
+    """Nothing large reaches the driver as one value, and the slices make up the whole matrix."""
+    r = random.Random(3)
+    docs = H.docs(spark, [(i, " ".join(f"w{i % 8 * 100 + r.randrange(40)}" for _ in range(32))) for i in range(300)])  # eight topics
+    sizes, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: [sizes.extend(len(v) for v in x if isinstance(v, (bytes, bytearray))) or x for x in collect(self)])
+    space = fit_space(docs.select("text"), [], 64)
+    assert max(sizes) <= 256 * 1024
+    hashes = [tokenize([x.text]).hashes for x in collect(docs)]
+    tf = np.stack([np.bincount((h % np.uint64(DIMS)).astype(int), minlength=DIMS) for h in hashes]).astype(float)
+    idf = np.log((len(tf) + 2) / (tf.sum(0) + 1)).clip(0.05)
+    x = tf * idf
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    exact = np.linalg.svd(x, compute_uv=False)
+    assert np.allclose(space.values[:8], exact[:8], rtol=1e-3)
+    assert ((np.abs(space.axes[:-1]).sum(1) > 1e-6) == (tf.sum(0) > 0)).mean() > 0.999
+
+
 def test_leaks_among_common_words(spark):
     """Words outside the items must not hide a paraphrase, however many there are."""
     items = [(k, H.prose(40, 5000 + k, 150)) for k in range(5)]

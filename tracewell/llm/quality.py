@@ -112,8 +112,8 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, f array<double>")
 
 
-def _sums(rows: DataFrame, of) -> np.ndarray:
-    """Sum over rows of of(x, positive, unlabelled), first in each task, then (beyond SUMS tasks) over SUMS tasks, then here."""
+def _sums(rows: DataFrame, of, tasks: int) -> np.ndarray:
+    """Sum over rows (in so many tasks) of of(x, positive, unlabelled), first in each task, then (beyond SUMS tasks) over SUMS tasks, then here."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -131,7 +131,7 @@ def _sums(rows: DataFrame, of) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([np.sum(found, axis=0).tobytes()], pa.binary())], names=["s"])
 
     parts = rows.mapInArrow(partial, "s binary")
-    if rows.rdd.getNumPartitions() > SUMS:
+    if tasks > SUMS:
         parts = parts.repartition(SUMS).mapInArrow(add, "s binary")
     found = parts.collect()
     return np.sum([np.frombuffer(r.s) for r in found], axis=0) if found else np.empty(0)
@@ -155,7 +155,8 @@ def fit_quality(table: DataFrame, labels: DataFrame, ridge: float = 2e-3, start:
     def moments(x, pos, unl):
         return np.r_[len(x), pos.sum(), x.sum(0), (x * x).sum(0)]
 
-    got = _sums(rows, moments)
+    tasks = rows.rdd.getNumPartitions()  # asked once: each call plans the table anew
+    got = _sums(rows, moments, tasks)
     width = RATES * 2 + 3
     if not len(got) or not got[1]:
         return QualityModel(np.zeros(width), np.ones(width), np.r_[np.log(prior / (1 - prior)), np.zeros(width)], prior)
@@ -175,7 +176,7 @@ def fit_quality(table: DataFrame, labels: DataFrame, ridge: float = 2e-3, start:
             pull = slope if sigmoid else p
             return np.r_[p.sum(), p[pos].sum(), slope[pos] @ x[pos], x[pos].sum(0), pull @ x, ((x * bend[:, None]).T @ x).ravel()]
 
-        s = _sums(rows, of)
+        s = _sums(rows, of, tasks)
         d = width + 1
         pos_slope, pos_x, unl_x = s[2 : 2 + d] / n_pos, s[2 + d : 2 + 2 * d] / n_pos, s[2 + 2 * d : 2 + 3 * d] / n
         curve = s[2 + 3 * d :].reshape(d, d) / n
