@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm import helpers as H
 from tracewell.llm import decontaminate as D
 from tracewell.llm.textops import tokenize
@@ -52,3 +53,16 @@ def test_space_of_more_passages_than_a_sample_held(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     exact = np.sqrt(np.linalg.eigvalsh(x.T @ x)[::-1])
     assert np.allclose(space.values[:8], exact[:8], rtol=1e-2)
+
+
+def test_pipeline_keeps_every_passage_for_the_fit(spark, monkeypatch, tmp_path):
+    """The pipeline's step fits its space on all of 40,000 passages."""
+    kept, keep = [], D.keep
+    monkeypatch.setattr(D, "keep", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(12)), "en", "web", 0) for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, rows[5][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert {x.doc_id for x in left.select("doc_id").collect()} == set(range(40_000)) - {5}
+    assert sum(D.passage_count(np.frombuffer(x["size"], np.int32)) for x in kept[0].collect()) == 40_000
